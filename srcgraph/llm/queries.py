@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from . import dedup, mixing, packing, sharding
+from srcgraph.session import shipped
+
+from . import dedup, langid, lm, mixing, near, packing, quality, sharding
 
 QUERIES = {
+    "op1_language_id": langid.op1_langid,
+    "op2_quality": quality.op2_quality,
     "op3_best_fit_packing": packing.op3_pack,
     "op5_sharding": sharding.op5_shard,
     "op6_mixing": mixing.op6_mix,
     "op8_exact_dedup": dedup.op8_dedup,
+    "op9_lm_scoring": lm.op9_lm,
+    "op10_ngram_jaccard": near.op10_near,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {
     "op5_sharding": sharding.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op8_exact_dedup": dedup.ORACLE_SQL,
+    "op9_lm_scoring": lm.ORACLE_SQL,
+    "op10_ngram_jaccard": near.ORACLE_SQL,
 }
