@@ -204,6 +204,36 @@ def arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return built.join(nodes.select("node", "digest"), "digest").select("node", "hashes").dropDuplicates(["node"])
 
 
+def may_match(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes p and q whose bitmaps differ in `apart` bits may be similar: each such bit is a shingle of one of them alone."""
+    common = (p + q - apart) // 2
+    return 100 * np.minimum(common, np.minimum(p, q)) >= LEAST * (p + q - np.minimum(common, np.minimum(p, q)))
+
+
+def fold(own: bytes, width: int) -> np.ndarray:
+    """A bitmap as one of `width` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(own, np.uint8).reshape(-1, width), 0)
+
+
+def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps don't rule out."""
+
+    def test(batches):
+        for t in batches:
+            x, y = t.column("x").to_pylist(), t.column("y").to_pylist()
+            apart = np.zeros(t.num_rows, np.int64)
+            for i, (p, q) in enumerate(zip(x, y)):
+                width = min(len(p), len(q))
+                apart[i] = np.bitwise_count(fold(p, width) ^ fold(q, width)).sum(dtype=np.int64)
+            keep = pa.array(may_match(t.column("p").to_numpy(), t.column("q").to_numpy(), apart))
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
+
+    both = pairs.join(classes.select(F.col("node").alias("a"), F.col("n").alias("p"), F.col("bits").alias("x")), "a")
+    both = both.join(classes.select(F.col("node").alias("b"), F.col("n").alias("q"), F.col("bits").alias("y")), "b")
+    sized = (100 * F.least("p", "q") >= LEAST * F.greatest("p", "q")) & (F.col("a") != F.col("b"))
+    return both.where(sized).select("a", "b", "p", "q", "x", "y").mapInArrow(test, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by intersecting sorted arrays."""
 
@@ -261,8 +291,7 @@ def crossing(members: DataFrame) -> DataFrame:
             if len(part) < 2 or (comp[part] == comp[part[0]]).all():
                 continue
             width = min(len(own[i]) for i in part)
-            folded = np.array([np.bitwise_xor.reduce(np.frombuffer(own[i], np.uint8).reshape(-1, width), 0) for i in part])
-            words = folded.view(np.uint64)
+            words = np.array([fold(own[i], width) for i in part]).view(np.uint64)
             s = side[part]
             for x in range(len(part)):
                 if s[x] == 2:
@@ -274,9 +303,7 @@ def crossing(members: DataFrame) -> DataFrame:
                 if not len(rest):
                     continue
                 apart = np.bitwise_count(words[rest] ^ words[x]).sum(1, dtype=np.int64)
-                both = p + n[part[rest]]
-                common = (both - apart) // 2
-                for y in rest[100 * common >= LEAST * (both - common)].tolist():
+                for y in rest[may_match(np.full(len(rest), p), n[part[rest]], apart)].tolist():
                     a, c = int(node[part[x]]), int(node[part[y]])
                     found.add((min(a, c), max(a, c)))
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
@@ -304,7 +331,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rank = F.struct("m", "token", "leader")
     stars = stars.groupBy("node").agg(F.min(rank)["leader"].alias("p"), F.max(rank)["leader"].alias("q"))
     stars = stars.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
-    stars = stage(stars.select("a", "b"), "near-stars")
+    stars = stage(plausible(stars.select("a", "b").distinct(), classes), "near-stars")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
