@@ -66,7 +66,7 @@ def full_text(g: PropertyGraph, query: str, edits: int = 0, repo: str | None = N
     def points(word: str) -> Column:
         out = []
         for c, p in (("name", 3), ("docstring", 2), ("source", 1)):
-            same = (lambda t, w=word: F.levenshtein(t, F.lit(w), edits) >= 0) if edits else (lambda t, w=word: t == w)
+            same = (lambda t: F.levenshtein(t, F.lit(word), edits) >= 0) if edits else (lambda t: t == word)
             out.append(F.when(F.exists(tokens(F.regexp_replace(F.col(c), "_", " ")), same), p).otherwise(0))
         return F.greatest(*out)
 
