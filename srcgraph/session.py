@@ -15,6 +15,9 @@ def ship(spark: SparkSession) -> None:
     """Adds the folder of this package to the workers' path; on a cluster the package is installed or sent at the same place."""
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")  # gives memory back between batches
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "1000000")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
