@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .staging import drop, narrow, read, stage
+from .staging import BROADCAST_ROWS, drop, narrow, read, stage
 
 WORDS = 5
 #: Shared / united shingles, in hundredths.
@@ -28,7 +28,11 @@ FREQUENT, MOST_FREQUENT = 32, 1_000_000
 #: Prefix shingles, or shingles counted, that a task holds before it sends them.
 HELD = 2_000_000
 #: Members of a block, and rows that one call compares.
-BLOCK, CALL_ROWS = 1500, 100_000
+BLOCK, CALL_ROWS = 1500, 30_000
+#: Sets that meet in one tile, about, and pairs that one call intersects.
+MET, CALL_PAIRS = 200, 2000
+#: Turns in which documents are tied to leaders before all open pairs are compared.
+STARS = 3
 _FACTORS = textkit.mix64(np.arange(1, 64, dtype=np.uint64) * textkit.BASE) | np.uint64(1)
 
 
@@ -57,8 +61,8 @@ def digest(own: np.ndarray) -> bytes:
 
 
 def bits(own: np.ndarray) -> bytes:
-    """The parity of how many hashes fall on each of 256 to 8192 bits, about a bit for each hash."""
-    n = 1 << min(13, max(8, int(len(own) - 1).bit_length()))
+    """The parity of how many hashes fall on each of 256 to 65536 bits, about four bits for each hash."""
+    n = 1 << min(16, max(8, int(4 * len(own) - 1).bit_length()))
     return np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -129,7 +133,8 @@ def prefix(own: np.ndarray, values: np.ndarray, times: np.ndarray, maybe: np.nda
 
 
 def shared(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """(token, node) for every prefix shingle that two sets or more have; node: the first 64 bits of the set's digest."""
+    """(token, node, m, leader, sign) for every prefix shingle that two sets or more have. node: the first 64 bits of the set's digest;
+    m: how many have the token; leader: one of them; sign: a hash of them all."""
     hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches):
@@ -182,26 +187,34 @@ def shared(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> D
         tokens, nodes = tokens[order], nodes[order]
         once = np.ones(len(tokens), bool)
         once[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-        return pa.table({"token": pa.array((tokens[once] | np.uint64(part) << np.uint64(40)).view(np.int64)), "node": pa.array(nodes[once].view(np.int64))})
+        tokens, nodes = tokens[once], nodes[once]
+        head = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
+        m = np.diff(np.append(head, len(tokens)))
+        sign = np.bitwise_xor.reduceat(textkit.mix64(nodes), head) if len(head) else np.zeros(0, np.uint64)
+        more = np.repeat(m > 1, m)
+        names = tokens | np.uint64(part) << np.uint64(40)
+        columns = (names, nodes, np.repeat(m, m).astype(np.uint64), np.repeat(nodes[head], m), np.repeat(sign, m))
+        return pa.table([pa.array(c[more].view(np.int64)) for c in columns], names=["token", "node", "m", "leader", "sign"])
 
-    return docs.select("text").mapInArrow(send, "part int, blob binary").groupBy("part").applyInArrow(meet, "token long, node long")
+    return docs.select("text").mapInArrow(send, "part int, blob binary").groupBy("part").applyInArrow(meet, "token long, node long, m long, leader long, sign long")
 
 
 def arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes), sorted hashes of the sets named in nodes (node, digest, first); one row a node."""
+    """(node, hashes), sorted hashes of the sets named in nodes (node, digest, first), from the text of that document; its repeated rows repeat it."""
 
     def build(batches):
-        for _, texts, _ in textkit.chunks(batches):
+        for rows, texts, _ in textkit.chunks(batches):
             found, edges = shingles(texts)
             sets = [np.unique(found[a:b]) for a, b in zip(edges[:-1], edges[1:])]
             values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["digest", "hashes"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array([digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "digest", "hashes"])
 
-    ids = narrow(nodes.select("first"))
-    some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first"]), "left_semi")
-    built = some.select("text").mapInArrow(build, "digest binary, hashes array<long>")
-    return built.join(nodes.select("node", "digest"), "digest").select("node", "hashes").dropDuplicates(["node"])
+    some = nodes if (n := nodes.count()) > BROADCAST_ROWS else F.broadcast(nodes)
+    ids = some.select("first").distinct()
+    built = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, docs["doc_id"].eqNullSafe(ids["first"]), "left_semi")
+    built = built.select("doc_id", "text").mapInArrow(build, "doc_id long, digest binary, hashes array<long>")
+    return built.join(some, (built["digest"] == some["digest"]) & built["doc_id"].eqNullSafe(some["first"])).select("node", "hashes")
 
 
 def may_match(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -235,34 +248,52 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays."""
+    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays.
 
-    def test(batches):
-        for t in batches:
-            x, y = t.column("x"), t.column("y")
-            xo, yo, xv, yv = x.offsets.to_numpy(), y.offsets.to_numpy(), x.values.to_numpy(), y.values.to_numpy()
-            keep = np.zeros(t.num_rows, bool)
-            for i in range(t.num_rows):
-                p, q = xv[xo[i] : xo[i + 1]].view(np.uint64), yv[yo[i] : yo[i + 1]].view(np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep[i] = 100 * common >= LEAST * (len(p) + len(q) - common)
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(keep)), t.column("b").filter(pa.array(keep))], names=["u", "v"])
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "u long, v long")
-
-
-def crossing(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (token, node, comp, n, bits) of a token that are in different components and may be similar.
-
-    Sizes of similar sets are at most one band of ratio 4/3 apart. A band of a token is cut into blocks; two blocks, of one
-    band or of neighbours, meet in a tile.
+    Pairs that hang together are dealt to the same calls, so an array is moved once for all its pairs there; where more than
+    MET sets hang together, they are cut into blocks, and the pairs of two blocks are a tile.
+    """
+    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sized = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("k"))
+    roots = roots.join(sized, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("i"))
+    roots = stage(roots, "near-roots")
+    x = pairs.join(roots.select(F.col("node").alias("a"), "root", F.col("i").alias("i")), "a").join(roots.select(F.col("node").alias("b"), F.col("i").alias("j")), "b")
+    x = stage(x.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "a", "b"), "near-tiled")
+    calls = F.lit(max(8, -(-x.count() // CALL_PAIRS)))
+    needs = stage(x.select(F.pmod("tile", calls).alias("call"), F.explode(F.array("a", "b")).alias("node")).distinct(), "near-needs")
+    rows = sets.join(narrow(needs), "node").select("call", "node", "hashes", F.lit(None).cast("long").alias("b"))
+    rows = rows.unionByName(x.select(F.pmod("tile", calls).alias("call"), F.col("a").alias("node"), F.lit(None).cast("array<long>").alias("hashes"), "b"))
+
+    def test(t: pa.Table) -> pa.Table:
+        is_set = t.column("b").is_null()
+        own, asked = t.filter(is_set), t.filter(t.column("b").is_valid())
+        arrays_, found = {}, ([], [])
+        for chunk in own.to_batches():
+            column = chunk.column("hashes")
+            values, edges = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+            for node, p, q in zip(chunk.column("node").to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
+                arrays_[node] = values[p:q]
+        for a, b in zip(asked.column("node").to_pylist(), asked.column("b").to_pylist()):
+            p, q = arrays_[a], arrays_[b]
+            if len(p) > len(q):
+                p, q = q, p
+            at = np.searchsorted(q, p)
+            common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+            if 100 * common >= LEAST * (len(p) + len(q) - common):
+                found[0].append(a)
+                found[1].append(b)
+        return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
+
+    return rows.groupBy("call").applyInArrow(test, "u long, v long")
+
+
+def crossing(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (token, node, m, comp, n) of a token that are in different components and may be similar.
+
+    Up to BLOCK members are one tile. More are dealt by size: sizes of similar sets are at most one band of ratio 4/3 apart;
+    a band is cut into blocks, and two blocks, of one band or of neighbours, meet in a tile.
     """
-    band = F.floor(F.log("n") / float(np.log(100 / LEAST)) + 1e-9).cast("int")
+    band = F.when(F.col("m") <= BLOCK, 0).otherwise(F.floor(F.log("n") / float(np.log(100 / LEAST)) + 1e-9) + 1).cast("int")
     m = members.withColumn("band", band)
     blocks = m.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
     m = m.join(blocks, ["token", "band"])
@@ -279,8 +310,9 @@ def crossing(members: DataFrame) -> DataFrame:
         tile(F.col("up"), lambda j: F.struct(F.xxhash64(token, b + 1, j, i, F.lit(1)).alias("tile"), F.lit(1).alias("side"))),
         tile(F.col("down"), lambda j: F.struct(F.xxhash64(token, b, i, j, F.lit(1)).alias("tile"), F.lit(2).alias("side"))),
     )
-    m = stage(m.select("node", "comp", "n", "bits", F.explode(made).alias("at")).select("at.tile", "at.side", "node", "comp", "n", "bits"), "near-tiles")
+    m = stage(m.select("node", "comp", "n", F.explode(made).alias("at")).select("at.tile", "at.side", "node", "comp", "n"), "near-tiles")
     calls = max(8, -(-m.count() // CALL_ROWS))
+    m = m.join(classes.select("node", "bits"), "node")
 
     def compare(t: pa.Table) -> pa.Table:
         tiles, side, node, comp, n = (t.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n"))
@@ -326,29 +358,38 @@ def near_groups(docs: DataFrame) -> DataFrame:
     classes = meta.where("n > 0").groupBy("digest", "n", "bits").agg(F.min("doc_id").alias("first"))
     classes = stage(classes.withColumn("node", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")), "near-classes")
     tokens = stage(shared(docs, frequent(seen), max(16, 4 * docs.rdd.getNumPartitions())), "near-tokens")
-    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader"))
-    stars = tokens.join(groups, "token").where("node <> leader")
-    rank = F.struct("m", "token", "leader")
-    stars = stars.groupBy("node").agg(F.min(rank)["leader"].alias("p"), F.max(rank)["leader"].alias("q"))
-    stars = stars.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
-    stars = stage(plausible(stars.select("a", "b").distinct(), classes), "near-stars")
+    # tokens of the same documents, as those of a passage are, would only repeat the work: one of them stays
+    once = tokens.where("node = leader").groupBy("m", "leader", "sign").agg(F.min("token").alias("token")).select("token")
+    kept = stage(tokens.drop("sign").join(once, "token", "left_semi"), "near-kept")
+    drop(tokens)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return stage(arrays(docs, stage(classes.join(nodes, "node").select("node", "digest", "first"), "near-nodes")), "near-sets")
 
-    sets = sets_of(stars)
-    links = stage(verified(stars, sets), "near-links")
-    drop(sets)
-    labels = components(links)
-    members = tokens.join(labels, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
-    members = stage(members, "near-members")
+    links = None
+    labels = kept.select("node", F.col("node").alias("root")).limit(0)
+    for turn in range(STARS):  # each turn ties documents to another leader of a small and of a large group
+        h = F.xxhash64("node", F.lit(turn))
+        x = kept.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("token", "node", "m", "comp", h.alias("h"))
+        lead = x.groupBy("token").agg(F.min("h").alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "h")
+        lead = x.join(lead, ["token", "h"]).select("token", F.col("node").alias("leader"), F.col("comp").alias("of"))
+        rank = F.struct("m", "token", "leader")
+        stars = x.join(lead, "token").where("comp <> of").groupBy("node").agg(F.min(rank)["leader"].alias("p"), F.max(rank)["leader"].alias("q"))
+        stars = stars.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
+        stars = stage(plausible(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes), "near-stars")
+        sets = sets_of(stars)
+        found = stage(verified(stars, sets), "near-links")
+        drop(sets)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    members = stage(kept.join(labels, "node", "left").select("token", "node", "m", F.coalesce("root", "node").alias("comp")), "near-members")
     open_ = members.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    members = members.join(open_, "token").join(classes.select("node", "n", "bits"), "node")
-    more = stage(crossing(members), "near-crossing")
+    members = members.join(open_, "token", "left_semi").join(classes.select("node", "n"), "node")
+    more = stage(crossing(members, classes), "near-crossing")
     sets = sets_of(more)
     links = links.unionByName(stage(verified(more, sets), "near-links"))
-    drop(sets, tokens)
+    drop(sets, kept)
     labels = components(links)
     named = classes.join(labels, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     named = stage(named, "near-named")
