@@ -24,7 +24,9 @@ ALPHA, MIN_COUNT = 0.4, 2
 #: Share of all words that makes a word or bigram frequent; there are at most 1 / HOT of each.
 HOT = 0.001
 #: Occurrences that a sender packs at once.
-HELD = 3_000_000
+HELD = 1_500_000
+#: Occurrences that an owner joins to their counts at once; more words than that of one part are taken in turns.
+TURN = 250_000
 START = np.uint64(0x0123456789AB)
 U = np.uint64
 
@@ -102,14 +104,19 @@ def pack_rows(words: np.ndarray, others: np.ndarray | None, docs: np.ndarray, ne
     return b"".join([*out, docs.astype(np.uint32 if wide else np.uint16).tobytes()])
 
 
-def unpack_rows(blob: bytes, with_others: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+def unpack_asked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Words and docs of pack_rows() without others."""
     m, n, wide = np.frombuffer(blob, np.uint32, 3).tolist()
     words = np.repeat(np.frombuffer(blob, U, m, 12), np.frombuffer(blob, np.uint32, m, 12 + 8 * m))
-    at, others = 12 + 12 * m, None
-    if with_others:
-        others = np.frombuffer(blob, np.uint32, n, at).astype(U) | np.frombuffer(blob, np.uint16, n, at + 4 * n).astype(U) << U(32)
-        at += 6 * n
-    return words, others, np.frombuffer(blob, np.uint32 if wide else np.uint16, n, at).astype(np.int64)
+    return words, np.frombuffer(blob, np.uint32 if wide else np.uint16, n, 12 + 12 * m).astype(np.int64)
+
+
+def runs_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, run lengths, where runs begin and end, others and docs of pack_rows()."""
+    m, n, wide = np.frombuffer(blob, np.uint32, 3).tolist()
+    times, at = np.frombuffer(blob, np.uint32, m, 12 + 8 * m).astype(np.int64), 12 + 12 * m
+    others = np.frombuffer(blob, np.uint32, n, at).astype(U) | np.frombuffer(blob, np.uint16, n, at + 4 * n).astype(U) << U(32)
+    return np.frombuffer(blob, U, m, 12), times, np.concatenate(([0], np.cumsum(times))), others, np.frombuffer(blob, np.uint32 if wide else np.uint16, n, at + 6 * n)
 
 
 def pack_sums(docs: np.ndarray, values: np.ndarray, hits: np.ndarray) -> bytes:
@@ -197,45 +204,62 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT)
             return t
         senders = t.column("sender").to_numpy()
         names, which = np.unique(senders, return_inverse=True)
-        w, v, d, s = [], [], [], []
-        for blob, i in zip(t.column("blob").to_pylist(), which.ravel()):
-            a, b, c = unpack_rows(blob, True)
-            w.append(a), v.append(b), d.append(c), s.append(np.full(len(a), i, np.int64))
-        w, v, d, s = (np.concatenate(x) for x in (w, v, d, s))
-        order = np.lexsort((v, w))
-        w, v, d, s = w[order], v[order], d[order], s[order]
-        rows = []
-        head = groups(w)
-        counts = np.diff(np.append(head, len(w)))
-        frequent = lookup(hw, hc, w[head])
-        several = (frequent == 0) & (counts >= min_count)
-        c_w = np.repeat(np.where(frequent > 0, frequent, counts), counts)
-        both = groups(w, v)
-        c_vw = np.repeat(k := np.diff(np.append(both, len(w))), k)
-        seen = c_vw >= min_count
-        value = np.where(seen, np.log(c_vw), np.log(alpha) + np.log(c_w) - np.log(total))
-        c_v = lookup(hw, hc, v)
-        value = value - np.where(seen & (c_v > 0), np.log(np.maximum(c_v, 1)), 0)
-        to = s << 32 | d
-        place, which = np.unique(to, return_inverse=True)
-        which = which.ravel()
-        sums, hits = np.bincount(which, value), np.bincount(which, seen)
-        edges = np.searchsorted(place >> 32, np.arange(len(names) + 1))
+        held = [(*runs_of(b), i) for b, i in zip(t.column("blob").to_pylist(), which.ravel().tolist())]
+        del t
+        top = max(int(d.max()) for *_, d, _ in held) + 1
+        sums, hits = np.zeros((len(names), top)), np.zeros((len(names), top), np.int64)
+        heads, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.argsort(heads)
+        total_rows = np.cumsum(sizes[order])
+        ends = np.unique(heads[order][np.minimum(np.searchsorted(total_rows, np.arange(TURN, total_rows[-1] + TURN, TURN)), len(heads) - 1)])
+        del heads, sizes, order, total_rows
+        rows, tables, below = [], [], None
+        asks: dict[tuple[int, int], list] = {}
+        for end in ends:
+            w, v, d, s = [], [], [], []
+            for words, times, edges, others, docs, i in held:
+                a, b = 0 if below is None else int(np.searchsorted(words, below, "right")), int(np.searchsorted(words, end, "right"))
+                w.append(np.repeat(words[a:b], times[a:b]))
+                v.append(others[edges[a] : edges[b]])
+                d.append(docs[edges[a] : edges[b]])
+                s.append(np.full(edges[b] - edges[a], i, np.int64))
+            below = end
+            w, v, d, s = (np.concatenate(x) for x in (w, v, d, s))
+            if not len(w):
+                continue
+            order = np.lexsort((v, w))
+            w, v, d, s = w[order], v[order], d[order].astype(np.int64), s[order]
+            head = groups(w)
+            counts = np.diff(np.append(head, len(w)))
+            frequent = lookup(hw, hc, w[head])
+            several = (frequent == 0) & (counts >= min_count)
+            tables.append(np.stack([w[head][several], counts[several].astype(U)]))
+            c_w = np.repeat(np.where(frequent > 0, frequent, counts), counts)
+            k = np.diff(np.append(groups(w, v), len(w)))
+            c_vw = np.repeat(k, k)
+            seen = c_vw >= min_count
+            c_v = lookup(hw, hc, v)
+            value = np.where(seen, np.log(c_vw) - np.log(np.maximum(c_v, 1)), np.log(alpha) + np.log(c_w) - np.log(total))
+            sums += np.bincount(s * top + d, value, sums.size).reshape(sums.shape)
+            hits += np.bincount(s * top + d, seen, hits.size).astype(np.int64).reshape(hits.shape)
+            ask = np.flatnonzero(seen & (c_v == 0))
+            p = part_of(v[ask], parts)
+            order = np.lexsort((v[ask], s[ask], p))
+            ask, p = ask[order], p[order]
+            cut = np.append(groups(p, s[ask]), len(ask))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                asks.setdefault((int(p[a]), int(s[ask[a]])), []).append((v[ask[a:b]], d[ask[a:b]].astype(np.uint32)))
         for i, name in enumerate(names.tolist()):
-            a, b = edges[i], edges[i + 1]
-            rows.append((SUMS, None, name, None, None, None, pack_sums(place[a:b] & 0xFFFFFFFF, sums[a:b], hits[a:b])))
-        ask = np.flatnonzero(seen & (c_v == 0))
-        p = part_of(v[ask], parts)
-        ask = ask[np.lexsort((v[ask], s[ask], p))]
-        p = part_of(v[ask], parts)
-        cut = np.append(groups(p, s[ask]), len(ask))
-        for a, b in zip(cut[:-1], cut[1:]):
-            rows.append((ASKED, int(p[a]), int(names[s[ask[a]]]), None, None, None, pack_rows(v[ask[a:b]], None, d[ask[a:b]])))
-        if several.any():
-            table = np.concatenate([w[head][several], counts[several].astype(U)])
-            for q in np.unique(part_of(w[head][several], parts)).tolist():
-                mine = part_of(w[head][several], parts) == q
-                rows.append((COUNTS, q, None, None, None, None, table.reshape(2, -1)[:, mine].tobytes()))
+            place = np.flatnonzero((sums[i] != 0) | (hits[i] > 0))
+            rows.append((SUMS, None, name, None, None, None, pack_sums(place, sums[i, place], hits[i, place])))
+        for (p, i), found in asks.items():
+            v, d = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(v, kind="stable")
+            rows.append((ASKED, p, int(names[i]), None, None, None, pack_rows(v[order], None, d[order])))
+        table = np.concatenate(tables, 1)
+        part = part_of(table[0], parts)
+        for q in np.unique(part).tolist():
+            rows.append((COUNTS, q, None, None, None, None, table[:, part == q].tobytes()))
         return batch(rows)
 
     def reply(t: pa.Table) -> pa.Table:
@@ -247,7 +271,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT)
         rows = []
         for kind, blob, sender in zip(kinds, blobs, senders):
             if kind == ASKED:
-                v, _, d = unpack_rows(blob, False)
+                v, d = unpack_asked(blob)
                 place, which = np.unique(d, return_inverse=True)
                 value = np.bincount(which.ravel(), -np.log(lookup(keys, counts, v)))
                 rows.append((SUMS, None, sender, None, None, None, pack_sums(place, value, np.zeros(len(place)))))
