@@ -59,6 +59,10 @@ class PropertyGraph:
         found = self.edges.get(kind)
         return found if found is not None else self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in EDGE_COLUMNS.items() if c != "type"))
 
+    def pairs(self, kind: str) -> DataFrame:
+        """The ends of edges only."""
+        return self.edge(kind).select("src", "dst")
+
     def all_nodes(self, labels: tuple[str, ...] | None = None) -> DataFrame:
         """The union view of nodes; a filter on label reads the labels it asks for only."""
         parts = [shaped(self.node(x).withColumn("label", F.lit(x)), NODE_COLUMNS) for x in labels or tuple(self.nodes)]

@@ -56,21 +56,21 @@ def modifiers(g: PropertyGraph, variable: str, repo: str | None = None, n: int =
     """What contains the variables of a name: a function, class or file."""
     v = g.node("Variable").where(F.col("name") == variable).select(F.col("id").alias("dst"), F.col("line_number").alias("variable_line"), "value")
     c = g.all_nodes(tuple(x for x in ("Function", "Class", "File") if x in g.nodes)).where(in_repo(F.col("path"), repo)).select(F.col("id").alias("src"), F.lower("label").alias("container_type"), F.col("name").alias("container_name"), "path", "is_dependency")
-    return g.edge("CONTAINS").join(v, "dst").join(c, "src").select("container_type", "container_name", "path", "variable_line", "value", "is_dependency").orderBy("is_dependency", "path", "variable_line").limit(n)
+    return g.pairs("CONTAINS").join(v, "dst").join(c, "src").select("container_type", "container_name", "path", "variable_line", "value", "is_dependency").orderBy("is_dependency", "path", "variable_line").limit(n)
 
 
 def hierarchy(g: PropertyGraph, cls: str, path: str | None = None, repo: str | None = None) -> DataFrame:
     """Direct parents, direct children and methods of the classes of a name."""
     own = g.node("Class").where((F.col("name") == cls) & (F.lit(True) if path is None else F.col("path") == path)).select("id")
     every = g.node("Class").where(in_repo(F.col("path"), repo)).select("id", *PLACE)
-    inherits = g.edge("INHERITS")
+    inherits = g.pairs("INHERITS")
 
     def side(one: str, other: str, section: str, edges: DataFrame, nodes: DataFrame) -> DataFrame:
         ids = edges.join(own.select(F.col("id").alias(one)), one, "left_semi").select(F.col(other).alias("id")).distinct()
         return nodes.join(ids, "id").select(F.lit(section).alias("section"), *PLACE).distinct()
 
     methods = g.node("Function").where(in_repo(F.col("path"), repo)).select("id", *PLACE)
-    found = side("src", "dst", "parent", inherits, every).unionByName(side("dst", "src", "child", inherits, every)).unionByName(side("src", "dst", "method", g.edge("CONTAINS"), methods))
+    found = side("src", "dst", "parent", inherits, every).unionByName(side("dst", "src", "child", inherits, every)).unionByName(side("src", "dst", "method", g.pairs("CONTAINS"), methods))
     return found.orderBy("section", "is_dependency", "name", "path", "line_number")
 
 
@@ -78,7 +78,7 @@ def overrides(g: PropertyGraph, function: str, repo: str | None = None, n: int =
     """Classes that contain a function of this name."""
     f = g.node("Function").where((F.col("name") == function) & in_repo(F.col("path"), repo)).select(F.col("id").alias("dst"), "name", "path", "line_number", "is_dependency")
     c = g.node("Class").select(F.col("id").alias("src"), F.col("name").alias("class_name"))
-    return g.edge("CONTAINS").join(f, "dst").join(c, "src").select("class_name", "name", "path", "line_number", "is_dependency").orderBy("is_dependency", "class_name", "path", "line_number").limit(n)
+    return g.pairs("CONTAINS").join(f, "dst").join(c, "src").select("class_name", "name", "path", "line_number", "is_dependency").orderBy("is_dependency", "class_name", "path", "line_number").limit(n)
 
 
 def module_importers(g: PropertyGraph, module: str, repo: str | None = None, n: int = 50) -> DataFrame:
@@ -99,7 +99,7 @@ def variable_scope(g: PropertyGraph, variable: str, path: str | None = None, rep
     """Variables of a name with their container, and those nothing contains; path: a whole path or its end."""
     v = g.node("Variable").where((F.col("name") == variable) & in_repo(F.col("path"), repo) & (F.lit(True) if path is None else F.col("path").endswith(path)))
     c = g.all_nodes(tuple(x for x in ("Function", "Class", "File") if x in g.nodes)).select(F.col("id").alias("src"), F.lower("label").alias("scope_type"), F.col("name").alias("scope_name"))
-    held = g.edge("CONTAINS").select("src", F.col("dst").alias("id"))
+    held = g.pairs("CONTAINS").select("src", F.col("dst").alias("id"))
     inside = v.join(held.join(c, "src"), "id").select("scope_type", "scope_name", "path", "line_number", "value", "is_dependency")
     orphans = v.join(held, "id", "left_anti").select(F.lit("module").alias("scope_type"), F.lit(None).cast("string").alias("scope_name"), "path", "line_number", "value", "is_dependency")
     return inside.unionByName(orphans).orderBy(F.coalesce("is_dependency", F.lit(False)), F.coalesce("path", F.lit("")), F.coalesce("line_number", F.lit(0)))
@@ -115,7 +115,7 @@ def caller_files(g: PropertyGraph, path: str) -> DataFrame:
 def inheritance_neighbours(g: PropertyGraph, path: str) -> DataFrame:
     """Files of classes that inherit from a class in a file, or that one there inherits from."""
     c = g.node("Class").select("id", "path")
-    e = g.edge("INHERITS").join(c.select(F.col("id").alias("src"), F.col("path").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("path").alias("b")), "dst")
+    e = g.pairs("INHERITS").join(c.select(F.col("id").alias("src"), F.col("path").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("path").alias("b")), "dst")
     e = e.where((F.col("a") == path) | (F.col("b") == path))
     return e.select(F.when(F.col("a") == path, F.col("b")).otherwise(F.col("a")).alias("path")).where(F.col("path") != path).distinct()
 

@@ -106,7 +106,7 @@ def related(g: PropertyGraph, query: str, fuzzy: bool = False, edits: int = 2, r
 def by_argument(g: PropertyGraph, arg: str, path: str | None = None, repo: str | None = None) -> DataFrame:
     p = g.node("Parameter").where(F.col("name") == arg).select(F.col("id").alias("dst"))
     f = _places(g, "Function").where(in_repo(F.col("path"), repo) & (F.lit(True) if path is None else F.col("path") == path))
-    hits = g.edge("HAS_PARAMETER").join(p, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    hits = g.pairs("HAS_PARAMETER").join(p, "dst", "left_semi").select(F.col("src").alias("id")).distinct()
     return _top(f.join(hits, "id"), "is_dependency", "path", "line_number", "id")
 
 

@@ -82,7 +82,7 @@ def call_chains(g: PropertyGraph, start: str, end: str, max_depth: int = 5, star
 
 def containment_counts(g: PropertyGraph, root_label: str = "Repository") -> DataFrame:
     """(root, id, n_paths): along how many paths of CONTAINS each root leads to each node. The relation has no cycles."""
-    edges = g.edge("CONTAINS").select("src", "dst")
+    edges = g.pairs("CONTAINS").select("src", "dst")
     level = _cut(edges.join(g.node(root_label).select(F.col("id").alias("src")), "src").groupBy(F.col("src").alias("root"), F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
     total = level
     while True:
@@ -95,7 +95,7 @@ def containment_counts(g: PropertyGraph, root_label: str = "Repository") -> Data
 def subgraph(g: PropertyGraph, repo: str, n: int = 50_000) -> DataFrame:
     """Everything a repository contains, itself included, with its outgoing edges."""
     start = g.node("Repository").where(F.col("path") == repo)
-    ids = reachable(start, g.edge("CONTAINS"), with_start=True).select("id")
+    ids = reachable(start, g.pairs("CONTAINS"), with_start=True).select("id")
     nodes = g.all_nodes().join(ids, "id").select("id", "label", "name", F.when(F.col("label").isin("Repository", "Class", "Interface", "Trait"), 4).otherwise(2).alias("val"))
     out = nodes.join(g.all_edges().select(F.col("src").alias("id"), "dst", F.col("type").alias("edge_type")).distinct(), "id", "left")
     return out.orderBy("id", "edge_type", "dst").limit(n)
@@ -103,7 +103,7 @@ def subgraph(g: PropertyGraph, repo: str, n: int = 50_000) -> DataFrame:
 
 def inheritance_depth(g: PropertyGraph) -> DataFrame:
     """(id, depth): the longest way up from each class; 0 without a parent. Levels of longest ways only, so ways don't multiply."""
-    edges = g.edge("INHERITS").select("src", "dst").distinct()
+    edges = g.pairs("INHERITS").select("src", "dst").distinct()
     level = _cut(g.node("Class").select("id", F.lit(0).alias("depth")))
     best, depth = level, 0
     while True:

@@ -116,7 +116,7 @@ HC = "(SELECT name FROM cls WHERE id = 'C6')"
 query("class_hierarchy", f"""SELECT 'parent' AS section, p.name, p.path, p.line_number, p.is_dependency FROM inherits i JOIN cls c ON c.id = i.src JOIN cls p ON p.id = i.dst WHERE c.name = {HC} UNION SELECT 'child', p.name, p.path, p.line_number, p.is_dependency FROM inherits i JOIN cls c ON c.id = i.dst JOIN cls p ON p.id = i.src WHERE c.name = {HC}
  UNION SELECT 'method', f.name, f.path, f.line_number, f.is_dependency FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE c.name = {HC}""")(lambda g: relations.hierarchy(g, first(g.node("Class").where("id = 'C6'").select("name"), "name")))
 ON = "(SELECT min(f.name) FROM methods m JOIN func f ON f.id = m.dst)"
-query("overrides", f"SELECT c.name AS class_name, f.name, f.path, f.line_number, f.is_dependency FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE f.name = {ON} ORDER BY is_dependency, class_name, f.path, f.line_number LIMIT 20")(lambda g: relations.overrides(g, first(g.node("Function").join(g.edge("CONTAINS").where("src like 'C%'").select(F.col("dst").alias("id")), "id", "left_semi").select("name"), "name")))
+query("overrides", f"SELECT c.name AS class_name, f.name, f.path, f.line_number, f.is_dependency FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE f.name = {ON} ORDER BY is_dependency, class_name, f.path, f.line_number LIMIT 20")(lambda g: relations.overrides(g, first(g.node("Function").join(g.pairs("CONTAINS").where("src like 'C%'").select(F.col("dst").alias("id")), "id", "left_semi").select("name"), "name")))
 query("module_importers", "SELECT DISTINCT f.path, i.line_number, f.is_dependency FROM imports i JOIN file f ON f.id = i.src WHERE i.dst = (SELECT min(id) FROM mod) ORDER BY is_dependency, path, line_number LIMIT 50")(lambda g: relations.module_importers(g, first(g.node("Module").select("name"), "name")))
 query("module_coimports", "SELECT m.name AS module, count(DISTINCT b.src) AS n_files FROM imports a JOIN imports b ON a.src = b.src AND b.dst <> a.dst JOIN mod m ON m.id = b.dst WHERE a.dst = (SELECT min(id) FROM mod) GROUP BY m.name ORDER BY module LIMIT 50")(lambda g: relations.co_imports(g, first(g.node("Module").select("name"), "name")))
 query("variable_scope", "SELECT CASE WHEN ok % 4 = 0 THEN 'module' ELSE 'file' END AS scope_type, CASE WHEN ok % 4 = 0 THEN NULL ELSE f.name END AS scope_name, v.path, v.line_number, v.value, v.is_dependency FROM var v JOIN file f ON f.id = v.up WHERE v.name = (SELECT min(name) FROM var)")(lambda g: relations.variable_scope(g, first(g.node("Variable").select("name"), "name")))
@@ -168,7 +168,7 @@ query("cookbook_15_imported_modules", "SELECT DISTINCT m.name FROM imports i JOI
 query("cookbook_21_functions_in_file", f"SELECT name, line_number FROM func WHERE ends_with(path, (SELECT relative_path FROM file WHERE path = {PATH}))")(lambda g: g.node("Function").where(F.col("path").endswith(text_of(g))).select("name", "line_number"))
 query("cookbook_26_many_arguments", "SELECT name, len(args)::INT AS n_args FROM func WHERE len(args) > 1")(lambda g: g.node("Function").where(F.size("args") > 1).select("name", F.size("args").alias("n_args")))
 query("cookbook_27_docstrings", "SELECT name, docstring FROM func WHERE docstring IS NOT NULL AND docstring <> ''")(lambda g: g.node("Function").where("docstring is not null and docstring <> ''").select("name", "docstring"))
-query("cookbook_32_functions_per_file", "SELECT f.path, count(*) AS n FROM func x JOIN file f ON f.id = x.up GROUP BY f.path")(lambda g: g.edge("CONTAINS").join(g.node("File").select(F.col("id").alias("src"), "path"), "src").join(g.node("Function").select(F.col("id").alias("dst")), "dst").groupBy("path").agg(F.count(F.lit(1)).alias("n")))
+query("cookbook_32_functions_per_file", "SELECT f.path, count(*) AS n FROM func x JOIN file f ON f.id = x.up GROUP BY f.path")(lambda g: g.pairs("CONTAINS").join(g.node("File").select(F.col("id").alias("src"), "path"), "src").join(g.node("Function").select(F.col("id").alias("dst")), "dst").groupBy("path").agg(F.count(F.lit(1)).alias("n")))
 query("cookbook_33_overriding_methods", "SELECT DISTINCT a.name AS child, b.name AS parent, f.name AS method FROM inherits i JOIN cls a ON a.id = i.src JOIN cls b ON b.id = i.dst JOIN methods m ON m.src = a.id JOIN func f ON f.id = m.dst JOIN methods n ON n.src = b.id JOIN func h ON h.id = n.dst WHERE f.name = h.name")(lambda g: overriding(g))
 query("cookbook_34_self_calls", f"SELECT a.name, count(*) AS n FROM calls c JOIN func a ON a.id = c.src JOIN func b ON b.id = c.dst WHERE starts_with({FULL}, 'self.') GROUP BY a.name")(lambda g: g.edge("CALLS").where(F.col("full_call_name").startswith("self.")).join(g.node("Function").select(F.col("id").alias("src"), "name"), "src").groupBy("name").agg(F.count(F.lit(1)).alias("n")))
 query("cookbook_35_calls_with_argument", "SELECT a.name, c.line_number FROM calls c JOIN func a ON a.id = c.src WHERE c.arg = 'R'")(lambda g: g.edge("CALLS").where(F.array_contains("args", "R")).join(g.node("Function").select(F.col("id").alias("src"), "name"), "src").select("name", "line_number"))
@@ -187,8 +187,8 @@ def text_of(g: PropertyGraph) -> str:
 
 
 def overriding(g: PropertyGraph) -> DataFrame:
-    c, held = g.node("Class").select("id", "name"), g.edge("CONTAINS").join(g.node("Function").select(F.col("id").alias("dst"), F.col("name").alias("method")), "dst").select("src", "method").distinct()
-    e = g.edge("INHERITS").join(held, "src").join(held.select(F.col("src").alias("dst"), "method"), ["dst", "method"])
+    c, held = g.node("Class").select("id", "name"), g.pairs("CONTAINS").join(g.node("Function").select(F.col("id").alias("dst"), F.col("name").alias("method")), "dst").select("src", "method").distinct()
+    e = g.pairs("INHERITS").join(held, "src").join(held.select(F.col("src").alias("dst"), "method"), ["dst", "method"])
     return e.join(c.select(F.col("id").alias("src"), F.col("name").alias("child")), "src").join(c.select(F.col("id").alias("dst"), F.col("name").alias("parent")), "dst").select("child", "parent", "method").distinct()
 
 
