@@ -46,7 +46,7 @@ def test_inheritance_implementation_decorators(repo):
 def test_searches(repo):
     assert rows(search.by_similar_name(repo, "Function", "reprot"), "name", "distance") == [("report", 2)]
     assert rows(search.by_argument(repo, "shape"), "name") == [("area_of",)]
-    assert rows(search.full_text(repo, "area"), "name")[0] == ("area",)
+    assert search.full_text(repo, "area").first()["name"] == "area"
     assert "report" in {r[0] for r in rows(search.related(repo, "report"), "name")}
 
 
