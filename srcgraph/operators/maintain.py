@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions.text import in_repo
 from srcgraph.graph import PropertyGraph
+from srcgraph.operators.traverse import cut, reachable
 
 
 def without(g: PropertyGraph, gone: DataFrame) -> PropertyGraph:
-    """The graph without the nodes gone (id) and their edges."""
-    ids = gone.select("id").distinct()
+    """The graph without the nodes gone (id) and their edges. gone is worked out once, not for each label and type."""
+    ids = cut(gone.select("id").distinct())
     src, dst = ids.withColumnRenamed("id", "src"), ids.withColumnRenamed("id", "dst")
     return PropertyGraph(g.spark, {k: v.join(ids, "id", "left_anti") for k, v in g.nodes.items()}, {k: v.join(src, "src", "left_anti").join(dst, "dst", "left_anti") for k, v in g.edges.items()})
 
@@ -51,18 +52,16 @@ def delete_inherits_of(g: PropertyGraph, paths: DataFrame) -> PropertyGraph:
 
 def clean(g: PropertyGraph) -> PropertyGraph:
     """Without symbols, files and folders that nothing contains, again and again until none is left. Repositories, and modules, parameters and decorators with edges, stay."""
-    from srcgraph.operators.traverse import reachable
-
     # what peeling leaves is what a repository still leads to; peeling would also keep cycles, which containment has none of
     kept = reachable(g.node("Repository"), g.edge("CONTAINS"), with_start=True).select("id")
     contained = tuple(x for x in g.nodes if x not in ("Repository", "Module", "Parameter", "Decorator"))
     gone = g.all_nodes(contained).join(kept, "id", "left_anti").select("id")
     new = without(g, gone)
-    ends = new.all_edges().select(F.col("src").alias("id")).unionByName(new.all_edges().select(F.col("dst").alias("id"))).distinct()
-    loose = [new.node(x).join(ends, "id", "left_anti").select("id") for x in ("Module", "Parameter", "Decorator") if x in new.nodes]
-    for df in loose:
-        new = without(new, df)
-    return new
+    loose = tuple(x for x in ("Module", "Parameter", "Decorator") if x in new.nodes)
+    if not loose:
+        return new
+    ends = new.all_edges().select(F.explode(F.array("src", "dst")).alias("id"))
+    return without(new, new.all_nodes(loose).join(ends, "id", "left_anti"))
 
 
 def indexed_files(g: PropertyGraph, repo: str) -> DataFrame:

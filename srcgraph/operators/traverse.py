@@ -11,7 +11,7 @@ from srcgraph.functions.text import in_repo
 from srcgraph.graph import PropertyGraph
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df written to the folder all executors share, so that a loop's plan stays short and survives lost executors."""
     spark: SparkSession = df.sparkSession
     root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
@@ -26,13 +26,13 @@ def reachable(start: DataFrame, edges: DataFrame, with_start: bool = False, max_
     Each round joins the newest nodes to the distinct edges and drops what is known; rounds are as many as the farthest node is away.
     """
     edges = edges.select("src", "dst").distinct()
-    frontier = _cut(start.select("id").distinct())
+    frontier = cut(start.select("id").distinct())
     seen = frontier.select("id", F.lit(0).alias("depth")) if with_start else frontier.select("id", F.lit(0).alias("depth")).limit(0)
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
         new = edges.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = _cut(new.join(seen.select("id"), "id", "left_anti"))
+        frontier = cut(new.join(seen.select("id"), "id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier.select("id", F.lit(depth).alias("depth")))
@@ -73,7 +73,7 @@ def call_chains(g: PropertyGraph, start: str, end: str, max_depth: int = 5, star
     found = None
     for depth in range(1, max_depth + 1):
         step = trails.join(edges.where(F.col("left") <= max_depth - depth), F.col("last") == F.col("src")).where(~F.array_contains("calls", F.col("eid")))
-        trails = _cut(step.select(F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("calls", F.array("eid")).alias("calls")))
+        trails = cut(step.select(F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("calls", F.array("eid")).alias("calls")))
         hits = trails.join(ends, "last", "left_semi").select(F.lit(depth).alias("chain_length"), "nodes", "calls")
         found = hits if found is None else found.unionByName(hits)
     found = found.select("chain_length", F.array_join("nodes", ">").alias("nodes"), F.array_join("calls", ">").alias("calls")).orderBy("chain_length", "nodes", "calls")
@@ -83,10 +83,10 @@ def call_chains(g: PropertyGraph, start: str, end: str, max_depth: int = 5, star
 def containment_counts(g: PropertyGraph, root_label: str = "Repository") -> DataFrame:
     """(root, id, n_paths): along how many paths of CONTAINS each root leads to each node. The relation has no cycles."""
     edges = g.pairs("CONTAINS").select("src", "dst")
-    level = _cut(edges.join(g.node(root_label).select(F.col("id").alias("src")), "src").groupBy(F.col("src").alias("root"), F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    level = cut(edges.join(g.node(root_label).select(F.col("id").alias("src")), "src").groupBy(F.col("src").alias("root"), F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
     total = level
     while True:
-        level = _cut(level.join(edges, level["id"] == edges["src"]).groupBy("root", F.col("dst").alias("id")).agg(F.sum("n").alias("n")))
+        level = cut(level.join(edges, level["id"] == edges["src"]).groupBy("root", F.col("dst").alias("id")).agg(F.sum("n").alias("n")))
         if level.isEmpty():
             return total.groupBy("root", "id").agg(F.sum("n").alias("n_paths"))
         total = total.unionByName(level)
@@ -104,11 +104,11 @@ def subgraph(g: PropertyGraph, repo: str, n: int = 50_000) -> DataFrame:
 def inheritance_depth(g: PropertyGraph) -> DataFrame:
     """(id, depth): the longest way up from each class; 0 without a parent. Levels of longest ways only, so ways don't multiply."""
     edges = g.pairs("INHERITS").select("src", "dst").distinct()
-    level = _cut(g.node("Class").select("id", F.lit(0).alias("depth")))
+    level = cut(g.node("Class").select("id", F.lit(0).alias("depth")))
     best, depth = level, 0
     while True:
         depth += 1
-        level = _cut(edges.join(level.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().select("id", F.lit(depth).alias("depth")))
+        level = cut(edges.join(level.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().select("id", F.lit(depth).alias("depth")))
         if level.isEmpty() or depth > 100:
             return best.groupBy("id").agg(F.max("depth").alias("depth"))
         best = best.unionByName(level)

@@ -224,7 +224,10 @@ SELECT path, epoch_ms(min(ts)) AS first_ms, count(*) AS n_events, arg_max(kind,
 def watch_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     from srcgraph.streaming.watch import debounced, events_of
 
-    return debounced(events_of(spark.read.parquet(f"{sf_dir}/events.parquet")), "6 hours").select("path", F.unix_millis(F.col("start")).alias("first_ms"), "n_events", "action")
+    # by the fields of the local time, so that the session's time zone plays no part
+    day = F.unix_date(F.col("start").cast("date")).cast("long")
+    ms = (day * 24 + F.hour("start")) * 3_600_000 + F.minute("start") * 60_000 + (F.date_part(F.lit("SECOND"), F.col("start")) * 1000).cast("long")
+    return debounced(events_of(spark.read.parquet(f"{sf_dir}/events.parquet")), "6 hours").select("path", ms.alias("first_ms"), "n_events", "action")
 
 
 @query("latest_by_window", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1", over_graph=False)
