@@ -3,8 +3,9 @@
 Of similar sets one shingle at least is common to both prefixes, the first quarter of each set in an order all sets share
 (frequent shingles last). Documents that share such a shingle meet in tiles: bands of set size, cut into blocks. In a tile
 the bits in which two hashed bitmaps differ bound the overlap from above; pairs that pass are intersected as sorted arrays.
-Only connected components are wanted, so a first round joins each document to one or two others of its tokens, and tiles
-then compare documents of different components only. No pair of different components is left out.
+Only connected components are wanted, so first turns join each document to one or two others of its tokens, and tiles then
+compare documents of different components only; of the pairs that pass there, each set's likeliest one is intersected first,
+and pairs that this brings together are not. No pair of different components is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BLOCK, CALL_ROWS = 1500, 30_000
 MET, CALL_PAIRS = 200, 2000
 #: Turns in which documents are tied to leaders before all open pairs are compared.
 STARS = 3
+#: Turns in which each set is compared with the likeliest of its open pairs only, before the pairs still open are.
+PICKS = 2
 _FACTORS = textkit.mix64(np.arange(1, 64, dtype=np.uint64) * textkit.BASE) | np.uint64(1)
 
 
@@ -288,7 +291,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def crossing(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members (token, node, m, comp, n) of a token that are in different components and may be similar.
+    """Pairs (a, b, apart) of members (token, node, m, comp, n) of a token that are in different components and may be similar.
+
+    apart: the share of their shingles that bitmaps tell apart.
 
     Up to BLOCK members are one tile. More are dealt by size: sizes of similar sets are at most one band of ratio 4/3 apart;
     a band is cut into blocks, and two blocks, of one band or of neighbours, meet in a tile.
@@ -318,7 +323,7 @@ def crossing(members: DataFrame, classes: DataFrame) -> DataFrame:
         tiles, side, node, comp, n = (t.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n"))
         own = t.column("bits").to_pylist()
         order = np.argsort(tiles, kind="stable")
-        found = set()
+        found = {}
         for part in np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1):
             if len(part) < 2 or (comp[part] == comp[part[0]]).all():
                 continue
@@ -335,13 +340,31 @@ def crossing(members: DataFrame, classes: DataFrame) -> DataFrame:
                 if not len(rest):
                     continue
                 apart = np.bitwise_count(words[rest] ^ words[x]).sum(1, dtype=np.int64)
-                for y in rest[may_match(np.full(len(rest), p), n[part[rest]], apart)].tolist():
+                keep = may_match(np.full(len(rest), p), n[part[rest]], apart)
+                share = apart[keep] / (p + n[part[rest[keep]]])
+                for y, d in zip(rest[keep].tolist(), share.tolist()):
                     a, c = int(node[part[x]]), int(node[part[y]])
-                    found.add((min(a, c), max(a, c)))
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+                    pair = (min(a, c), max(a, c))
+                    found[pair] = max(d, found.get(pair, 0.0))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64()), "apart": pa.array(list(found.values()), pa.float64())})
+
+    pairs = m.withColumn("call", F.pmod("tile", F.lit(calls))).groupBy("call").applyInArrow(compare, "a long, b long, apart double")
+    return pairs.groupBy("a", "b").agg(F.max("apart").alias("apart"))
+
+
+def likeliest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, apart) the one of each set that bitmaps tell apart least; of equals, the one with the least hash."""
+    rank = F.struct("apart", F.xxhash64("a", "b").alias("h"), "a", "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), rank.alias("rank"))
+    return ends.groupBy("node").agg(F.min("rank").alias("rank")).select("rank.a", "rank.b").distinct()
+
 
-    pairs = m.withColumn("call", F.pmod("tile", F.lit(calls))).groupBy("call").applyInArrow(compare, "a long, b long")
-    return pairs.distinct()
+def still_open(pairs: DataFrame, asked: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs that were not asked for and that links don't bring together."""
+    roots = components(links)
+    x = pairs.join(asked, ["a", "b"], "left_anti")
+    x = x.join(roots.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
+    return x.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b", "apart")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -388,7 +411,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     members = members.join(open_, "token", "left_semi").join(classes.select("node", "n"), "node")
     more = stage(crossing(members, classes), "near-crossing")
     sets = sets_of(more)
-    links = links.unionByName(stage(verified(more, sets), "near-links"))
+    for _ in range(PICKS):
+        asked = stage(likeliest(more), "near-asked")
+        links = links.unionByName(stage(verified(asked, sets), "near-links"))
+        rest = stage(still_open(more, asked, links), "near-open")
+        drop(more, asked)
+        more = rest
+    links = links.unionByName(stage(verified(more.select("a", "b"), sets), "near-links"))
     drop(sets, kept)
     labels = components(links)
     named = classes.join(labels, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
