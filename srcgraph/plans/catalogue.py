@@ -226,7 +226,7 @@ def watch_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # by the fields of the local time, so that the session's time zone plays no part
     day = F.unix_date(F.col("start").cast("date")).cast("long")
-    ms = (day * 24 + F.hour("start")) * 3_600_000 + F.minute("start") * 60_000 + (F.date_part(F.lit("SECOND"), F.col("start")) * 1000).cast("long")
+    ms = (day * 24 + F.hour("start")) * 3_600_000 + F.minute("start") * 60_000 + F.round(F.date_part(F.lit("SECOND"), F.col("start")) * 1000).cast("long")
     return debounced(events_of(spark.read.parquet(f"{sf_dir}/events.parquet")), "6 hours").select("path", ms.alias("first_ms"), "n_events", "action")
 
 
