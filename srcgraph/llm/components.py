@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node at its least neighbour, follows the pointers a few steps and contracts the graph; at least
     every node that is not a least one among its neighbours goes. Self-loops and repeated edges are ignored; no edges, no rows.
+    The rows are a table of their own, so that plans over them stay small.
     """
     now = stage(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "components-edges")
     steps = []
@@ -39,4 +40,6 @@ def components(edges: DataFrame) -> DataFrame:
     out = steps[0].select(F.col("a").alias("node"), F.col("t").alias("root"))
     for to in steps[1:]:
         out = out.join(to, out["root"] == to["a"], "left").select("node", F.coalesce("t", "root").alias("root"))
+    out = stage(out, "components")
+    drop(now, *steps)
     return out
