@@ -84,8 +84,8 @@ QUERIES = {
     "MATCH (f:Function)-[:CALLS]->(g:Function {name: 'format_value'}) RETURN f.name AS caller": {("report",)},
     "MATCH (c:Class)-[:INHERITS]->(p:Class) RETURN c.name AS c, p.name AS p": {("Square", "Shape")},
     "MATCH (f:Function) WHERE size(f.args) > 5 RETURN f.name AS name": {("unused",)},
-    "MATCH (f:Function) WHERE f.name STARTS WITH 'a' AND NOT (()-[:CALLS]->(f)) AND f.lang = 'python' RETURN f.name AS n, f.path ENDS WITH 'shapes.py' AS s ORDER BY n LIMIT 5": {("area", True)},
-    "MATCH (a:Function {name: 'main'})-[:CALLS*1..3]->(b:Function) RETURN DISTINCT b.name AS n": {("area_of",), ("report",), ("format_value",), ("inner",), ("area",), ("scale",)},
+    "MATCH (f:Function) WHERE f.name STARTS WITH 'u' AND NOT (()-[:CALLS]->(f)) AND f.lang = 'python' RETURN f.name AS n, f.path ENDS WITH 'shapes.py' AS s ORDER BY n LIMIT 5": {("unused", False)},
+    "MATCH (a:Function {name: 'main'})-[:CALLS*1..3]->(b:Function) RETURN DISTINCT b.name AS n": {("area_of",), ("report",), ("format_value",), ("inner",), ("area",)},
     "MATCH (c:Class) OPTIONAL MATCH (c)-[:INHERITS]->(p:Class) RETURN c.name AS c, p.name AS p": {("Square", "Shape"), ("Shape", None)},
     "MATCH (x:File)-[:CONTAINS]->(f:Function) WHERE x.name = 'helpers.py' RETURN x.name AS file, count(f) AS n": {("helpers.py", 2)},
     "MATCH (f:Function) WHERE any(k IN ['value'] WHERE k IN f.args) AND f.name <> 'x' WITH f LIMIT 9 RETURN toLower(f.name) AS n": {("report",), ("format_value",)},
