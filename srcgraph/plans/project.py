@@ -22,10 +22,10 @@ ELEMENTS = {
     "mod": "SELECT DISTINCT concat('M', p_brand) AS id, p_brand AS name, concat('pkg.', p_brand) AS full_import_name FROM {part}",
     "var": "SELECT concat('V', o_orderkey) AS id, o_orderpriority AS name, f.path AS path, cast(o_orderkey AS int) AS line_number, cast(o_orderkey % 100 AS string) AS value, f.is_dependency AS is_dependency, f.id AS up, o_orderkey AS ok FROM (SELECT o_orderkey, o_orderpriority, o_orderkey % nsup AS fid FROM {orders} CROSS JOIN {nsup}) o JOIN {file} f ON o.fid = f.fid",
     "trait": "SELECT DISTINCT concat('T', c_mktsegment) AS id, c_mktsegment AS name, '/traits' AS path FROM {customer}",
-    "calls": "SELECT DISTINCT concat('F', a.l_partkey) AS src, concat('F', b.l_partkey) AS dst, cast(a.l_orderkey AS int) AS line_number, a.l_returnflag AS arg FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 10 = 0",
+    "calls": "SELECT DISTINCT concat('F', a.l_partkey) AS src, concat('F', b.l_partkey) AS dst, cast(a.l_orderkey AS int) AS line_number, a.l_returnflag AS arg FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1",
     "inherits": "SELECT concat('C', c_custkey) AS src, concat('C', cast(floor(c_custkey / 2) AS bigint)) AS dst FROM {customer} WHERE c_custkey > 0 UNION SELECT concat('C', c_custkey) AS src, concat('C', cast(floor(c_custkey / 3) AS bigint)) AS dst FROM {customer} WHERE c_custkey > 0 AND c_custkey % 3 = 0",
-    "methods": "SELECT DISTINCT concat('C', o_custkey) AS src, concat('F', l_partkey) AS dst FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE o_orderkey % 20 = 0",
-    "imports": "SELECT concat('L', l_suppkey) AS src, concat('M', p_brand) AS dst, cast(max(l_orderkey) AS int) AS line_number, max(p_type) AS alias, min(p_type) AS imported_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0 GROUP BY l_suppkey, p_brand",
+    "methods": "SELECT DISTINCT concat('C', o_custkey) AS src, concat('F', l_partkey) AS dst FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey",
+    "imports": "SELECT concat('L', l_suppkey) AS src, concat('M', p_brand) AS dst, cast(max(l_orderkey) AS int) AS line_number, max(p_type) AS alias, min(p_type) AS imported_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand",
     "implements": "SELECT concat('C', c_custkey) AS src, concat('T', c_mktsegment) AS dst, cast(c_custkey AS int) AS line_number FROM {customer} WHERE c_custkey % 5 = 0",
 }
 
