@@ -21,17 +21,18 @@ from .staging import read
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled texts of a language that are learned from, about, and of all languages.
 PER_LANGUAGE, SAMPLE = 400, 20_000
-#: Symbols of a piece and of a stretch of a word; longer words are cut into stretches.
-PIECE, STRETCH = 6, 48
+#: Symbols of a stretch of a word; longer words are cut into stretches.
+STRETCH = 48
 ROUNDS, SMOOTH, SCALE = 4, 0.05, 24.0
-LETTERS, BLOCKS = 254, 64
+#: Pieces for letters that the vocabulary lacks, by their block.
+BLOCKS = 64
 NONE = "und"
 #: Words that a worker keeps.
 KEPT = 300_000
 
 
 class Vocabulary:
-    """Pieces of letters of a vocabulary, as a trie in an array. Letters that are none of its most used are pieces by their block."""
+    """All pieces of letters of a vocabulary, as a trie in a hash table of its steps. Letters that it lacks are pieces by their block."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -39,50 +40,73 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(path))
         texts = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-        texts = sorted(t for t in texts if 0 < len(t) <= PIECE and t.replace("▁", "", 1).isalpha())
-        used: dict[str, int] = {}
-        for t in texts:
-            for c in t:
-                used[c] = used.get(c, 0) + 1
-        used.pop("▁", None)
-        letters = sorted(sorted(used, key=lambda c: (-used[c], c))[:LETTERS])
-        self.index = np.full(0x110000, LETTERS + 1, np.int32)  # unknown letters
+        texts = {t for t in texts if t.replace("▁", "", 1).isalpha()}
+        letters = sorted({"▁", *(c for t in texts for c in t)})
+        self.index = np.full(0x110000, -1, np.int32)
         for i, c in enumerate(letters):
             self.index[ord(c)] = i
-        self.index[0x2581] = LETTERS
-        width = LETTERS + 2
-        steps, pieces = [dict()], [-1]
-        whole = {*letters, "▁", *(t for t in texts if all(self.index[ord(c)] <= LETTERS for c in t))}
-        self.pieces = sorted(whole)
+        self.letters = len(letters)
+        self.pieces = sorted({*texts, *letters})
+        self.longest = max(map(len, self.pieces))
+        places, steps, pieces = {"": 0}, [], [-1]
         for k, t in enumerate(self.pieces):
-            at = 0
-            for c in t:
-                nxt = steps[at].get(int(self.index[ord(c)]))
-                if nxt is None:
-                    nxt = steps[at][int(self.index[ord(c)])] = len(steps)
-                    steps.append({})
+            for i, c in enumerate(t):
+                if t[: i + 1] not in places:
+                    places[t[: i + 1]] = len(places)
+                    steps.append(places[t[:i]] * self.letters + int(self.index[ord(c)]))
                     pieces.append(-1)
-                at = nxt
-            pieces[at] = k
-        dead = len(steps)
-        self.next = np.full((dead + 1, width), dead, np.int32)
-        for at, found in enumerate(steps):
-            for c, nxt in found.items():
-                self.next[at, c] = nxt
-        self.piece = np.array([*pieces, -1], np.int32)
-        self.dead, self.n = dead, len(self.pieces) + BLOCKS
+            pieces[places[t]] = k
+        self.piece = np.array(pieces, np.int32)
+        self.n = len(self.pieces) + BLOCKS
+        # step i leads to node i + 1; a place of the table is taken by at most one, those that collide go on to the next
+        self.mask = (1 << (4 * len(steps)).bit_length()) - 1
+        self.steps, self.nodes = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        self.probes = 1
+        for node, (step, at) in enumerate(zip(steps, self.places(np.array(steps, np.int64)).tolist()), 1):
+            n = 1
+            while self.steps[at] >= 0:
+                at, n = (at + 1) & self.mask, n + 1
+            self.steps[at], self.nodes[at] = step, node
+            self.probes = max(self.probes, n)
+
+    def places(self, steps: np.ndarray) -> np.ndarray:
+        return (textkit.mix64(steps.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def after(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The node that each letter leads to from each node, or -1."""
+        steps = nodes.astype(np.int64) * self.letters + letters
+        at, out = self.places(steps), np.full(len(steps), -1, np.int32)
+        left = np.flatnonzero(letters >= 0)
+        for _ in range(self.probes):
+            there = self.steps[at[left]]
+            hit = there == steps[left]
+            out[left[hit]] = self.nodes[at[left[hit]]]
+            left = left[~hit & (there >= 0)]
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & self.mask
+        return out
 
     def segments(self, words: np.ndarray) -> list[np.ndarray]:
         """words: rows of code points of one length. For each piece length from 1 the piece at each place, or n for none."""
         letter, n = self.index[words], words.shape[1]
-        node, out = np.zeros(words.shape, np.int32), []
-        for size in range(1, min(PIECE, n) + 1):
-            node = self.next[node[:, : n - size + 1], letter[:, size - 1 :]]
-            found = self.piece[node]
-            found = np.where(found < 0, self.n, found)
+        row, place = (x.ravel() for x in np.indices(words.shape))
+        node, out = np.zeros(len(row), np.int32), []
+        for size in range(1, min(self.longest, n) + 1):
+            if not len(row):
+                out.append(np.broadcast_to(np.int32(self.n), (len(words), n - size + 1)))
+                continue
+            fits = place + size <= n
+            row, place = row[fits], place[fits]
+            node = self.after(node[fits], letter[row, place + size - 1])
+            on = node >= 0
+            row, place, node = row[on], place[on], node[on]
+            found = np.full((len(words), n - size + 1), self.n, np.int32)
+            own = self.piece[node]
+            whole = own >= 0
+            found[row[whole], place[whole]] = own[whole]
             if size == 1:
-                unknown = letter == LETTERS + 1
-                found = np.where(unknown, len(self.pieces) + (words >> 8) % BLOCKS, found)
+                found = np.where(letter < 0, len(self.pieces) + (words >> 8).astype(np.int32) % BLOCKS, found)
             out.append(found)
         return out
 
@@ -94,12 +118,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 def forward(pieces: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
     """alpha[i]: probability, times SCALE per symbol, of the first i symbols. p: a row a piece and one of zeros, a column a language."""
-    n = pieces[0].shape[1]
+    n, none = pieces[0].shape[1], len(p) - 1
     alpha = [np.ones((len(pieces[0]), p.shape[1]))]
     for i in range(1, n + 1):
         a = np.zeros_like(alpha[0])
-        for size in range(1, min(PIECE, i) + 1):
-            a += alpha[i - size] * p[pieces[size - 1][:, i - size]] * SCALE**size
+        for size in range(1, min(len(pieces), i) + 1):
+            found = pieces[size - 1][:, i - size]
+            own = np.flatnonzero(found < none)  # long pieces are few
+            if 4 * len(own) > len(found):
+                a += alpha[i - size] * p[found] * SCALE**size
+            elif len(own):
+                a[own] += alpha[i - size][own] * p[found[own]] * SCALE**size
         alpha.append(np.maximum(a, 1e-280))
     return alpha
 
@@ -112,11 +141,14 @@ def expected(vocab: Vocabulary, words: np.ndarray, times: np.ndarray, p: np.ndar
     out = np.zeros(vocab.n + 1)
     for i in range(n - 1, -1, -1):
         b = np.zeros(len(words))
-        for size in range(1, min(PIECE, n - i) + 1):
-            found = pieces[size - 1][:, i]
-            through = p[found] * SCALE**size * beta[i + size]
-            b += through
-            out += np.bincount(found, alpha[i][:, 0] * through / alpha[n][:, 0] * times, vocab.n + 1)
+        for size in range(1, min(len(pieces), n - i) + 1):
+            own = np.flatnonzero(pieces[size - 1][:, i] < vocab.n)
+            if not len(own):
+                continue
+            found = pieces[size - 1][own, i]
+            through = p[found] * SCALE**size * beta[i + size][own]
+            b[own] += through
+            np.add.at(out, found, alpha[i][own, 0] * through / alpha[n][own, 0] * times[own])
         beta[i] = np.maximum(b, 1e-280)
     out[-1] = 0
     return out
