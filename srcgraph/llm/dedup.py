@@ -153,14 +153,18 @@ def op8_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """docs without the copies that exact_dedup drops. Of rows that repeat a kept doc_id one stays."""
+    """docs without the copies that exact_dedup drops. Of rows that repeat a kept doc_id with an equal text the longest stays."""
     found = stage(exact_dedup(docs), "dedup-found")
     names = docs.columns
-    doubled = found.where("group_size > 1").select(F.col("doc_id").alias("_id"), "kept")
-    ids = stage(doubled.groupBy("_id").agg(F.max("kept").alias("_kept")), "dedup-ids")
-    x = docs.join(narrow(ids), docs["doc_id"].eqNullSafe(ids["_id"]), "left")
+    # a doc_id may be null or that of other texts too, so it decides together with the digest
+    doubled = found.where("group_size > 1").select(F.col("doc_id").alias("_id"), F.substring("text_sha256", 1, 32).alias("_mark"), "kept")
+    pairs = doubled.groupBy("_id", "_mark").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("not _kept or _n > 1")
+    pairs = stage(pairs.select("_id", "_mark", "_kept"), "dedup-pairs")
+    own = docs.withColumn("_own", F.substring(F.sha2(bare(F.col("text")), 256), 1, 32))
+    x = own.join(narrow(pairs), own["doc_id"].cast("long").eqNullSafe(pairs["_id"]) & (own["_own"] == pairs["_mark"]), "left")
     alone = x.where(F.col("_kept").isNull()).select(*names)
-    once = x.where("_kept").dropDuplicates(["doc_id"]).select(*names)
+    best = F.max_by(F.struct(*[F.col(n) for n in names]), F.struct(F.length("text"), "text"))
+    once = x.where("_kept").groupBy("_id", "_mark").agg(best.alias("_best")).select("_best.*")
     return alone.unionByName(once)
 
 

@@ -75,7 +75,9 @@ def needed(n: int) -> int:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """kind 0: a row for each document: doc_id, digest, n, bits. kind 1: a shingle and in how many documents a task met it, if in two or more."""
+    """kind 0: a row for each document: doc_id, digest, n, bits, and mark if docs have it. kind 1: a shingle and in how many documents a task met it, if in two or more."""
+
+    marked = "mark" in docs.columns
 
     def look(batches):
         held, size = [], 0
@@ -84,13 +86,13 @@ def survey(docs: DataFrame) -> DataFrame:
             values, times = np.unique(np.concatenate(held), return_counts=True)
             values, times = values[times > 1], times[times > 1]
             m = len(values)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times.astype(np.int64)), pa.nulls(m, pa.binary()), pa.array(values.view(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times.astype(np.int64)), pa.nulls(m, pa.binary()), pa.array(values.view(np.int64)), *[pa.nulls(m, pa.int64())] * marked], names=names)
 
         for rows, texts, _ in textkit.chunks(batches):
             values, edges = shingles(texts)
             sets = [np.unique(values[a:b]) for a, b in zip(edges[:-1], edges[1:])]
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id").combine_chunks(), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bits(s) for s in sets], pa.binary()), pa.nulls(m, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id").combine_chunks(), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bits(s) for s in sets], pa.binary()), pa.nulls(m, pa.int64()), *[rows.column("mark").combine_chunks() for _ in range(marked)]], names=names)
             held += sets
             size += sum(map(len, sets))
             if size >= HELD:
@@ -99,8 +101,8 @@ def survey(docs: DataFrame) -> DataFrame:
         if held:
             yield tell()
 
-    names = ["kind", "doc_id", "digest", "n", "bits", "shingle"]
-    return docs.mapInArrow(look, "kind int, doc_id long, digest binary, n long, bits binary, shingle long")
+    names = ["kind", "doc_id", "digest", "n", "bits", "shingle", *["mark"] * marked]
+    return docs.mapInArrow(look, "kind int, doc_id long, digest binary, n long, bits binary, shingle long" + ", mark long" * marked)
 
 
 def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -367,17 +369,19 @@ def still_open(pairs: DataFrame, asked: DataFrame, links: DataFrame) -> DataFram
     return x.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b", "apart")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
     """A row for each document: doc_id, n_shingles, component_id, the least doc_id that links lead to, its own included.
 
     Links: 100 * common >= 75 * united shingles of five lower-cased words (fewer words: all as one). Without words or text:
     n_shingles 0 and a component of its own. Equal sets are linked. Rows that repeat a doc_id are documents of their own.
     Null doc_ids are never the least one of a component that has another.
+    by_text: also mark, the xxhash64 of the text, and root, a number that only one component has, null without words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stage(survey(docs), "near-survey")
+    seen = stage(survey(docs.withColumn("mark", F.xxhash64("text")) if by_text else docs), "near-survey")
+    more_of = ["mark"] if by_text else []
     # a set is a node; its number is the first 64 bits of its digest
-    meta = seen.where("kind = 0").select("doc_id", "digest", "n", "bits")
+    meta = seen.where("kind = 0").select("doc_id", "digest", "n", "bits", *more_of)
     classes = meta.where("n > 0").groupBy("digest", "n", "bits").agg(F.min("doc_id").alias("first"))
     classes = stage(classes.withColumn("node", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")), "near-classes")
     tokens = stage(shared(docs, frequent(seen), max(16, 4 * docs.rdd.getNumPartitions())), "near-tokens")
@@ -423,9 +427,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     named = classes.join(labels, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     named = stage(named, "near-named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id")
+    named = named.join(least, "root").select("digest", "component_id", "root")
     out = meta.join(named, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more_of, *["root"] * by_text)
 
 
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,15 +437,19 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; of rows that repeat it, one."""
-    found = stage(near_groups(docs), "near-found")
+    """docs with one document of each component, the one with the least doc_id; of rows that repeat it, one. Without words, all stay."""
+    found = stage(near_groups(docs, by_text=True).where("root is not null").select("doc_id", "mark", "root"), "near-found")
     names = docs.columns
-    sized = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    grouped = found.join(sized, "component_id").select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("component_id")).alias("_stays"))
-    ids = stage(grouped.groupBy("_id").agg(F.max("_stays").alias("_stays")), "near-ids")
-    x = docs.join(narrow(ids), docs["doc_id"] == ids["_id"], "left")
+    # a doc_id may be null or in other components too, so it decides together with the text's hash
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    sized = found.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.min(rank).alias("least")).where("m > 1")
+    grouped = found.join(sized, "root").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), rank.eqNullSafe(F.col("least")).alias("_stays"))
+    pairs = grouped.groupBy("_id", "_mark").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1")
+    pairs = stage(pairs.select("_id", "_mark", "_stays"), "near-pairs")
+    own = docs.withColumn("_own", F.xxhash64("text"))
+    x = own.join(narrow(pairs), own["doc_id"].cast("long").eqNullSafe(pairs["_id"]) & (own["_own"] == pairs["_mark"]), "left")
     alone = x.where(F.col("_stays").isNull()).select(*names)
-    return alone.unionByName(x.where("_stays").dropDuplicates(["doc_id"]).select(*names))
+    return alone.unionByName(x.where("_stays").dropDuplicates(["_id", "_mark"]).select(*names))
 
 
 ORACLE_SQL = r"""
