@@ -44,23 +44,27 @@ def when_due(demand: Column, target: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, y).otherwise((1 + tilt - root) / (2 * tilt))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, each_pass: bool = False) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target, taken, position.
 
     A source is a stream of its documents in the order of a hash of doc_id, gone through up to `most` times until the
     target is used up, so its takes add up to the whole part of its target; the last one may be cut. position: the time
     at which the first pass of the document is due, null if nothing of it is taken. Null or empty texts have size 0 and
     nothing taken; a null source is a source. Rows come in the order of position. Repeated rows count as documents.
+    each_pass: docs have a _mark, which is kept, and positions tell the time at which each pass is due, null for those not taken.
     """
-    sizes = docs.select("doc_id", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hex_key(F.col("doc_id")).alias("_key"))
+    sizes = docs.select("doc_id", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hex_key(F.col("doc_id")).alias("_key"), *["_mark"] * each_pass)
     sizes = stage(sizes, "mix-sizes")
-    x = running(sizes, ["_null", "_src"], "_key", ["doc_id", "size"], F.col("size"), sizes.count(), "_before")
+    x = running(sizes, ["_null", "_src"], "_key", ["doc_id", "size", *["_mark"] * each_pass], F.col("size"), sizes.count(), "_before")
     x = x.join(targets(sizes, weights, most), ["_null", "_src"])
     quota = F.floor("target")
     passes = [F.greatest(F.lit(0), F.least(quota - F.col("source_size") * p - F.col("_before"), F.col("size"))) for p in range(most)]
     x = x.withColumn("taken", sum(passes[1:], passes[0]).cast("long"))
     x = x.withColumn("position", F.when(F.col("taken") > 0, when_due(F.col("_before").cast("double"), F.col("target"), F.col("tilt"))))
-    x = stage(x.select("doc_id", "size", "source_size", "target", "taken", "position", "_key"), "mix-taken")
+    if each_pass:
+        due = [F.when(n > 0, when_due((F.col("_before") + F.col("source_size") * p).cast("double"), F.col("target"), F.col("tilt"))) for p, n in enumerate(passes)]
+        x = x.withColumn("positions", F.array(*due))
+    x = stage(x.select("doc_id", "size", "source_size", "target", "taken", "position", "_key", *["_mark", "positions"] * each_pass), "mix-taken")
     drop(sizes)
     return x
 
@@ -72,13 +76,18 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """docs as the mix reads them: each as often as its words are taken (to whole documents), in the order of positions."""
-    taken = mix(docs).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("_times"), "position", F.col("_key").alias("_order"))
-    taken = taken.groupBy("_id").agg(F.max("_times").alias("_times"), F.min("position").alias("position"), F.first("_order").alias("_order"))
+    """docs as the mix reads them: each as often as its words are taken (to whole documents), each pass at its own position."""
     names = docs.columns
-    x = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).where("_times > 0")
-    x = x.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_times")))
-    return x.repartitionByRange("position", "_order", "_pass").sortWithinPartitions("position", "_order", "_pass").select(*names)
+    # a doc_id may be null or that of other rows too, so a hash of the whole row decides with it
+    own = docs.withColumn("_mark", F.xxhash64(*names, *[F.col(n).isNull() for n in names]))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    taken = mix(own, each_pass=True).select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_row"), F.col("_key").alias("_order"), F.slice("positions", F.lit(1), times).alias("_takes"))
+    taken = taken.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_n"), F.flatten(F.collect_list("_takes")).alias("_takes"), F.first("_order").alias("_order")).where("size(_takes) > 0")
+    x = own.join(taken, own["doc_id"].eqNullSafe(taken["_id"]) & (own["_mark"] == taken["_row"]))
+    # rows equal in all columns take their passes together
+    x = x.where("_n = 1").unionByName(x.where("_n > 1").dropDuplicates(["_id", "_row"]))
+    x = x.withColumn("_at", F.explode("_takes"))
+    return x.repartitionByRange("_at", "_order", "_row").sortWithinPartitions("_at", "_order", "_row").select(*names)
 
 
 ORACLE_SQL = r"""
