@@ -60,7 +60,7 @@ def all_callees(g: PropertyGraph, name: str, path: str | None = None, repo: str
 def call_chains(g: PropertyGraph, start: str, end: str, max_depth: int = 5, start_path: str | None = None, end_path: str | None = None, n: int | None = 20) -> DataFrame:
     """Trails of calls, no call twice, from a function of one name to one of another, of 1 to max_depth calls, short ones first.
 
-    Trails grow only along edges from which an end is still within reach.
+    Trails grow only along edges from which an end is still within reach, and only until n are found: longer ones come later.
     """
     f = g.node("Function").select("id", "name", "path")
     at = lambda name, path: f.where((F.col("name") == name) & (F.lit(True) if path is None else F.col("path") == path))
@@ -76,6 +76,8 @@ def call_chains(g: PropertyGraph, start: str, end: str, max_depth: int = 5, star
         trails = cut(step.select(F.col("dst").alias("last"), F.concat("nodes", F.array("dst")).alias("nodes"), F.concat("calls", F.array("eid")).alias("calls")))
         hits = trails.join(ends, "last", "left_semi").select(F.lit(depth).alias("chain_length"), "nodes", "calls")
         found = hits if found is None else found.unionByName(hits)
+        if trails.isEmpty() or n and found.limit(n).count() == n:
+            break
     found = found.select("chain_length", F.array_join("nodes", ">").alias("nodes"), F.array_join("calls", ">").alias("calls")).orderBy("chain_length", "nodes", "calls")
     return found.limit(n) if n else found
 

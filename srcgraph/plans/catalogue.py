@@ -108,7 +108,7 @@ query(
     f""", e AS (SELECT c.src, c.dst, concat(c.src, '|', c.dst, '|', c.line_number, '|', c.arg, '|', {FULL}) AS eid FROM calls c JOIN func b ON b.id = c.dst),
 t AS (SELECT f.id AS last, [f.id] AS nodes, []::VARCHAR[] AS cs, 0 AS n FROM func f WHERE f.name = {BUSY} UNION ALL SELECT e.dst, list_append(nodes, e.dst), list_append(cs, e.eid), n + 1 FROM t JOIN e ON e.src = t.last WHERE n < 3 AND NOT list_contains(cs, e.eid))
 SELECT n::INT AS chain_length, array_to_string(nodes, '>') AS nodes, array_to_string(cs, '>') AS calls FROM t JOIN func f ON f.id = t.last WHERE n > 0 AND f.name = {HOT} ORDER BY 1, 2, 3 LIMIT 20""",
-)(lambda g: traverse.call_chains(g, most_calling(g), most_called(g), 3))
+)(lambda g: traverse.call_chains(g, most_calling(g), most_called(g)))
 query("who_imports", """SELECT f.path, f.is_dependency, count(*) AS n_imports, string_agg(concat(m.name, ':', i.line_number, ':', i.alias), ';' ORDER BY m.name, i.line_number, i.alias) AS imports FROM imports i JOIN file f ON f.id = i.src JOIN mod m ON m.id = i.dst
  WHERE m.name = 'Brand#1' OR contains(m.full_import_name, 'Brand#1') GROUP BY f.path, f.is_dependency ORDER BY is_dependency, path LIMIT 20""")(lambda g: relations.importers(g, "Brand#1"))
 query("who_modifies", "SELECT 'file' AS container_type, f.name AS container_name, f.path, v.line_number AS variable_line, v.value, f.is_dependency FROM var v JOIN file f ON f.id = v.up WHERE ok % 4 <> 0 AND v.name = (SELECT min(name) FROM var) ORDER BY is_dependency, path, variable_line LIMIT 20")(lambda g: relations.modifiers(g, first(g.node("Variable").select("name"), "name")))
