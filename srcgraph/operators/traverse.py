@@ -94,13 +94,13 @@ def containment_counts(g: PropertyGraph, root_label: str = "Repository") -> Data
         total = total.unionByName(level)
 
 
-def subgraph(g: PropertyGraph, repo: str, n: int = 50_000) -> DataFrame:
+def subgraph(g: PropertyGraph, repo: str) -> DataFrame:
     """Everything a repository contains, itself included, with its outgoing edges."""
     start = g.node("Repository").where(F.col("path") == repo)
     ids = reachable(start, g.pairs("CONTAINS"), with_start=True).select("id")
     nodes = g.all_nodes().join(ids, "id").select("id", "label", "name", F.when(F.col("label").isin("Repository", "Class", "Interface", "Trait"), 4).otherwise(2).alias("val"))
     out = nodes.join(g.all_edges().select(F.col("src").alias("id"), "dst", F.col("type").alias("edge_type")).distinct(), "id", "left")
-    return out.orderBy("id", "edge_type", "dst").limit(n)
+    return out.orderBy("id", "edge_type", "dst")
 
 
 def inheritance_depth(g: PropertyGraph) -> DataFrame:

@@ -5,10 +5,21 @@ import datetime
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
+
+from srcgraph.graph import PropertyGraph
+from srcgraph.operators import traverse
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_subgraph_of_a_repository_has_all_rows(spark):
+    repo = spark.createDataFrame([("R", "r", "/r")], "id string, name string, path string")
+    held = spark.range(50_010).select(F.concat(F.lit("f"), "id").alias("id"), F.lit("f").alias("name"), F.lit("/r/f").alias("path"))
+    g = PropertyGraph(spark, {"Repository": repo, "Function": held}, {"CONTAINS": held.select(F.lit("R").alias("src"), F.col("id").alias("dst"))})
+    assert traverse.subgraph(g, "/r").count() == 2 * 50_010
+
+
 #: What the functions call in turn, one list an order.
 ORDERS = [[0, 1, 2, 3, 4, 5], *[[0, 10]] * 3, *[[11, 5]] * 3]
 
