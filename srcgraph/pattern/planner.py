@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.graph import PropertyGraph
+from srcgraph.operators.traverse import cut
 from srcgraph.pattern.parser import Parser, QueryError
 
-#: Hops of a path without an upper bound.
-MOST_HOPS = 10
 AGGREGATES = {"count", "collect", "sum", "avg", "min", "max"}
 FUNCTIONS = {"tolower": F.lower, "toupper": F.upper, "trim": F.trim, "size": F.size, "coalesce": F.coalesce, "abs": F.abs, "tostring": lambda c: c.cast("string"), "tointeger": lambda c: c.cast("long"), "split": lambda a, b: F.split(a, F.concat(F.lit("\\Q"), b, F.lit("\\E"))), "replace": F.replace, "substring": lambda s, i, n: F.substring(s, i + 1, n), "exists": lambda c: c.isNotNull()}
 COMPARE = {"=": "__eq__", "<>": "__ne__", "<": "__lt__", ">": "__gt__", "<=": "__le__", ">=": "__ge__", "-": "__sub__", "*": "__mul__", "/": "__truediv__", "%": "__mod__"}
@@ -162,16 +162,20 @@ class Plan:
         return var, to
 
     def walk(self, at: str, edges: DataFrame, hops: tuple, var: str) -> DataFrame:
-        """Trails, no edge twice, of so many hops; _b: where they end."""
-        least, most = hops[0], hops[1] if hops[1] is not None else MOST_HOPS
+        """Trails, no edge twice, of so many hops; _b: where they end. Without an upper bound a table a round, until no trail goes on."""
+        least, most = hops
         kind = edges.schema["_r"].dataType.simpleString()
         now = self.frame.withColumns({"_b": F.col(at)["id"], var: F.array().cast(f"array<{kind}>")})
         found, steps = [now] if least == 0 else [], edges.withColumnRenamed("_b", "_to")
-        for n in range(1, most + 1):
+        for n in count(1) if most is None else range(1, most + 1):
             now = now.join(steps, F.col("_b") == F.col("_a")).where(~F.array_contains(F.col(var), F.col("_r")))
             now = now.select(*self.frame.columns, F.col("_to").alias("_b"), F.concat(F.col(var), F.array("_r")).alias(var))
-            if n >= least:
+            now = cut(now) if most is None else now
+            over = most is None and now.isEmpty()
+            if n >= least or over:
                 found.append(now)
+            if over:
+                break
         return reduce(DataFrame.unionByName, found)
 
     def bind_path(self, path: tuple) -> None:

@@ -9,10 +9,22 @@ from pyspark.sql import functions as F
 
 from srcgraph.graph import PropertyGraph
 from srcgraph.operators import traverse
+from srcgraph.pattern import run
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_unbounded_patterns_have_no_most_hops(spark):
+    nodes = spark.range(14).select(F.concat(F.lit("f"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("name"))
+    edges = spark.range(13).select(F.concat(F.lit("f"), "id").alias("src"), F.concat(F.lit("f"), (F.col("id") + 1)).alias("dst"))
+    back = edges.limit(1).select(F.lit("f13").alias("src"), F.lit("f12").alias("dst"))  # a cycle ends too, as edges are used once
+    g = PropertyGraph(spark, {"Function": nodes}, {"CALLS": edges.unionByName(back)})
+    pattern = "MATCH p = (a:Function {name: 'n0'})-[:CALLS*%s]->(b:Function) RETURN length(p) AS k, b.name AS b"
+    want = sorted([(n, f"n{n}") for n in range(14)] + [(14, "n12")])
+    got = lambda hops: sorted(tuple(r) for r in run(g, pattern % hops).collect())
+    assert got("") == want[1:]
+
+
 def test_subgraph_of_a_repository_has_all_rows(spark):
     repo = spark.createDataFrame([("R", "r", "/r")], "id string, name string, path string")
     held = spark.range(50_010).select(F.concat(F.lit("f"), "id").alias("id"), F.lit("f").alias("name"), F.lit("/r/f").alias("path"))
