@@ -50,7 +50,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Learned languages and token ids are beyond SQL; tests hold each stage against brute force.
+#: Learned languages and token ids are beyond SQL; tests hold the stages of dedup, near-duplicates and mixing against brute force.
 ORACLE_SQL = None
 
 
