@@ -3,40 +3,58 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.functions.text import in_repo
 from srcgraph.graph import PropertyGraph
+from srcgraph.session import shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder all executors share, so that a loop's plan stays short and survives lost executors."""
     spark: SparkSession = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{root}/traverse-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/traverse-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_cut_at", None):
+            p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def reachable(start: DataFrame, edges: DataFrame, with_start: bool = False, max_depth: int | None = None) -> DataFrame:
     """(id, depth) of what edges (src, dst) lead to from start (id). Without with_start, a start only counts if it is on a cycle.
 
-    Each round joins the newest nodes to the distinct edges and drops what is known; rounds are as many as the farthest node is away.
+    The distinct edges are worked out once. Each round joins the newest nodes to them and drops what is known; rounds are as many
+    as the farthest node is away. The rounds' tables go when the result, a table of its own, is written.
     """
-    edges = edges.select("src", "dst").distinct()
-    frontier = cut(start.select("id").distinct())
-    seen = frontier.select("id", F.lit(0).alias("depth")) if with_start else frontier.select("id", F.lit(0).alias("depth")).limit(0)
-    depth = 0
+    edges = cut(edges.select("src", "dst").distinct())
+    first = frontier = cut(start.select("id").distinct())
+    levels = [frontier.select("id", F.lit(0).alias("depth"))] if with_start else []
+    tables, depth = [edges, first], 0
     while max_depth is None or depth < max_depth:
         depth += 1
         new = edges.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(new.join(seen.select("id"), "id", "left_anti"))
+        for level in levels:
+            new = new.join(level.select("id"), "id", "left_anti")
+        frontier = cut(new)
+        tables.append(frontier)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.select("id", F.lit(depth).alias("depth")))
-    return seen
+        levels.append(frontier.select("id", F.lit(depth).alias("depth")))
+    found = reduce(DataFrame.unionByName, levels) if levels else first.select("id", F.lit(0).alias("depth")).limit(0)
+    found = cut(found)
+    drop(*tables)
+    return found
 
 
 def _closure(g: PropertyGraph, name: str, path: str | None, repo: str | None, backward: bool, n: int | None) -> DataFrame:
@@ -57,15 +75,18 @@ def all_callees(g: PropertyGraph, name: str, path: str | None = None, repo: str
     return _closure(g, name, path, repo, False, n)
 
 
-def call_chains(g: PropertyGraph, start: str, end: str, max_depth: int = 5, start_path: str | None = None, end_path: str | None = None, n: int | None = 20) -> DataFrame:
+def call_chains(g: PropertyGraph, start: str, end: str, max_depth: int = 5, start_path: str | None = None, end_path: str | None = None, n: int | None = 20, repo: str | None = None) -> DataFrame:
     """Trails of calls, no call twice, from a function of one name to one of another, of 1 to max_depth calls, short ones first.
 
+    repo: only trails through functions of this repository.
+
     Trails grow only along edges from which an end is still within reach, and only until n are found: longer ones come later.
     """
-    f = g.node("Function").select("id", "name", "path")
+    f = g.node("Function").where(in_repo(F.col("path"), repo)).select("id", "name", "path")
     at = lambda name, path: f.where((F.col("name") == name) & (F.lit(True) if path is None else F.col("path") == path))
     eid = F.concat_ws("|", "src", "dst", F.col("line_number").cast("string"), F.array_join("args", ","), "full_call_name")
     edges = g.edge("CALLS").select("src", "dst", eid.alias("eid"))
+    edges = edges if repo is None else edges.join(f.select(F.col("id").alias("src")), "src", "left_semi").join(f.select(F.col("id").alias("dst")), "dst", "left_semi")
     back = reachable(at(end, end_path), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), True, max_depth - 1)
     edges = edges.join(back.select(F.col("id").alias("dst"), F.col("depth").alias("left")), "dst")
     ends = at(end, end_path).select(F.col("id").alias("last"))
@@ -107,10 +128,12 @@ def inheritance_depth(g: PropertyGraph) -> DataFrame:
     """(id, depth): the longest way up from each class; 0 without a parent. Levels of longest ways only, so ways don't multiply."""
     edges = g.pairs("INHERITS").select("src", "dst").distinct()
     level = cut(g.node("Class").select("id", F.lit(0).alias("depth")))
-    best, depth = level, 0
+    best, depth, most = level, 0, level.count()
     while True:
         depth += 1
         level = cut(edges.join(level.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().select("id", F.lit(depth).alias("depth")))
-        if level.isEmpty() or depth > 100:
+        if level.isEmpty():
             return best.groupBy("id").agg(F.max("depth").alias("depth"))
+        if depth >= most:  # a way through every class and one more goes round a cycle
+            raise ValueError("classes inherit from each other in a circle")
         best = best.unionByName(level)
