@@ -50,6 +50,44 @@ def delete_inherits_of(g: PropertyGraph, paths: DataFrame) -> PropertyGraph:
     return PropertyGraph(g.spark, g.nodes, g.edges | {"INHERITS": e})
 
 
+def delete_links(g: PropertyGraph, repo: str | None = None) -> tuple[PropertyGraph, DataFrame]:
+    """Without the calls and inheritance that start in a repository, or in any; and how many of each type went."""
+    ids = g.all_nodes(tuple(x for x in ("Function", "Class", "File") if x in g.nodes)).where(in_repo(F.col("path"), repo)).select(F.col("id").alias("src"))
+    edges, counts = dict(g.edges), []
+    for kind in ("CALLS", "INHERITS"):
+        e = g.edge(kind)
+        edges[kind] = e.join(ids, "src", "left_anti")
+        counts.append(e.join(ids, "src", "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("type"), "n"))
+    return PropertyGraph(g.spark, g.nodes, edges), counts[0].unionByName(counts[1])
+
+
+def reindex(g: PropertyGraph, files: DataFrame, root: str, name: str | None = None, is_dependency: bool = False) -> PropertyGraph:
+    """The graph with a repository read anew: what it held goes, what its files hold now comes."""
+    from srcgraph.operators.resolve import index_repository
+
+    return merged(delete_repository(g, root.rstrip("/")), index_repository(files, root, name, is_dependency))
+
+
+def merged(g: PropertyGraph, new: PropertyGraph) -> PropertyGraph:
+    """Both graphs as one; of nodes with one id and of equal edges one stays."""
+
+    def both(old: dict, more: dict, key: list[str] | None) -> dict:
+        out = dict(old) | {k: v for k, v in more.items() if k not in old}
+        for k in old.keys() & more.keys():
+            every = old[k].unionByName(more[k], allowMissingColumns=True)
+            out[k] = every.dropDuplicates(key) if key else every.distinct()
+        return out
+
+    return PropertyGraph(g.spark, both(g.nodes, new.nodes, ["id"]), both(g.edges, new.edges, None))
+
+
+def delete_all(g: PropertyGraph, confirmed: int = 0) -> PropertyGraph:
+    """Nothing left of any repository. Asks to be confirmed twice, as this can't be taken back."""
+    if confirmed < 2:
+        raise PermissionError("deleting every repository must be confirmed twice")
+    return PropertyGraph(g.spark)
+
+
 def clean(g: PropertyGraph) -> PropertyGraph:
     """Without symbols, files and folders that nothing contains, again and again until none is left. Repositories, and modules, parameters and decorators with edges, stay."""
     # what peeling leaves is what a repository still leads to; peeling would also keep cycles, which containment has none of

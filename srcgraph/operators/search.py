@@ -139,11 +139,12 @@ def by_type(g: PropertyGraph, kind: str, n: int = 50) -> DataFrame:
 
 
 def everything_named(g: PropertyGraph, name: str) -> DataFrame:
-    """Functions, classes, files, variables and modules by name, with their kind."""
+    """Functions, classes, files, variables, modules and imports by name, with their kind."""
     own = [by_name(g, "Function", name).select("name", "path", "line_number", F.lit("function").alias("type")), by_name(g, "Class", name).select("name", "path", "line_number", F.lit("class").alias("type"))]
     own.append(g.node("File").where(F.col("name") == name).select("name", "path", F.lit(None).cast("int").alias("line_number"), F.lit("file").alias("type")))
     own.append(variables(g, name).select("name", "path", "line_number", F.lit("variable").alias("type")))
     own.append(modules(g, name).select("name", F.col("name").alias("path"), F.lit(None).cast("int").alias("line_number"), F.lit("module").alias("type")))
+    own.append(imports_of(g, name).select(F.col("module").alias("name"), "path", "line_number", F.lit("import").alias("type")))
     return reduce(DataFrame.unionByName, own)
 
 
