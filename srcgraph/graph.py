@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Labels, edge types and keys of the graph.
 SYMBOLS = ("Function", "Class", "Struct", "Enum", "Trait", "Interface", "Variable")
 NODE_LABELS = ("Repository", "Directory", "File", *SYMBOLS, "Module", "Parameter", "Decorator", "Macro", "Union", "Record", "Property", "Annotation")
 EDGE_TYPES = ("CONTAINS", "CALLS", "IMPORTS", "INHERITS", "IMPLEMENTS", "HAS_PARAMETER", "DECORATED_BY", "INCLUDES")
@@ -18,7 +19,7 @@ SYMBOL_KEY = ("name", "path", "line_number")
 NODE_COLUMNS = {
     "id": "string", "label": "string", "name": "string", "path": "string", "line_number": "int", "end_line": "int", "relative_path": "string", "is_dependency": "boolean",
     "args": "array<string>", "cyclomatic_complexity": "int", "context": "string", "context_type": "string", "class_context": "string", "decorators": "array<string>", "bases": "array<string>",
-    "kind": "string", "lang": "string", "is_async": "boolean", "source": "string", "docstring": "string", "value": "string", "type": "string", "alias": "string", "full_import_name": "string", "function_line_number": "int",
+    "kind": "string", "lang": "string", "is_async": "boolean", "source": "string", "docstring": "string", "value": "string", "type": "string", "alias": "string", "full_import_name": "string", "function_line_number": "int", "error": "string",
 }
 EDGE_COLUMNS = {"src": "string", "dst": "string", "type": "string", "line_number": "int", "args": "array<string>", "full_call_name": "string", "alias": "string", "imported_name": "string", "raw": "string"}
 

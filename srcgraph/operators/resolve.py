@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from srcgraph.extract import parsed
 from srcgraph.functions.text import normalised_decorator, parent
 from srcgraph.graph import PropertyGraph, node_id
+from srcgraph.operators.traverse import cut
 
 SELF = ("self", "this", "super", "super()", "cls", "@")
 #: Builtins whose calls are not linked.
-BUILTINS = tuple(
-    """print len range int str float bool list dict set tuple type isinstance issubclass hasattr getattr setattr delattr super property classmethod staticmethod abs all any bin chr dir divmod
-    enumerate eval exec filter format frozenset globals hash hex id input iter map max min next object oct open ord pow repr reversed round slice sorted sum vars zip callable compile complex
-    breakpoint __import__ memoryview bytearray bytes""".split()
-)
+BUILTINS = (
+    "print", "len", "range", "int", "str", "float", "bool", "list", "dict", "set", "tuple", "type", "isinstance", "issubclass", "hasattr", "getattr",
+    "setattr", "delattr", "super", "property", "classmethod", "staticmethod", "abs", "all", "any", "bin", "chr", "dir", "divmod", "enumerate", "eval",
+    "exec", "filter", "format", "frozenset", "globals", "hash", "hex", "id", "input", "iter", "map", "max", "min", "next", "object", "oct", "open",
+    "ord", "pow", "repr", "reversed", "round", "slice", "sorted", "sum", "vars", "zip", "callable", "compile", "complex", "breakpoint", "__import__",
+    "memoryview", "bytearray", "bytes",
+)
 
 
 def symbol_index(rows: DataFrame) -> DataFrame:
@@ -32,51 +35,93 @@ def local_imports(rows: DataFrame) -> DataFrame:
     return e.groupBy("path", key.alias("key")).agg(F.max_by("x.full_import_name", "i").alias("full_name"))
 
 
+def segment_runs(path: Column) -> Column:
+    """All runs of neighbouring segments of a path, without the file's suffix: what an import's path may be found as."""
+    parts = F.split(F.regexp_replace(path, r"^/|\.[^./]*$", ""), "/")
+    n = F.size(parts)
+    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(parts, i, k), "/")))
+    return F.array_distinct(F.flatten(runs))
+
+
+def import_keys(full_name: Column) -> Column:
+    """The paths that an import's thing may be in: 'pkg.mod.f' is looked for as pkg/mod/f and as pkg/mod."""
+    slashed = F.replace(full_name, F.lit("."), F.lit("/"))
+    module = F.regexp_replace(slashed, r"/[^/]*$", "")
+    return F.filter(F.array_distinct(F.array(slashed, module)), lambda k: k != "")
+
+
+def first_through(wanted: DataFrame, index: DataFrame) -> DataFrame:
+    """wanted (lang, name, full_name) with `through`, the first path that defines the name and holds the import's path as whole segments.
+
+    An equal join on (lang, name, run of segments): definitions of a common name meet only the imports that name their place.
+    """
+    wanted = wanted.distinct()
+    keys = wanted.select("lang", "name", "full_name", F.explode(import_keys(F.col("full_name"))).alias("run"))
+    named = index.join(wanted.select("lang", "name").distinct(), ["lang", "name"], "left_semi")
+    places = named.select("lang", "name", "path", F.explode(segment_runs(F.col("path"))).alias("run")).groupBy("lang", "name", "run").agg(F.min("path").alias("path"))
+    return keys.join(places, ["lang", "name", "run"]).groupBy("lang", "name", "full_name").agg(F.min("path").alias("through"))
+
+
 def resolve_calls(rows: DataFrame, skip_external: bool = False) -> DataFrame:
     """A row for each call that is no builtin's: caller, line, called name and the file it is resolved to.
 
-    In turn: self calls stay in the file; names the file defines; names only one file of the language defines; imported names by
-    the one file that defines the full name, or the first whose path holds the import's; then, flagged `external`, the first file
-    that defines the name, or the caller's own. The paths are compared after a join on names, never all with all.
+    In turn: self calls stay in the file; names the file defines; the first file with the type that the extractor inferred; names
+    only one file of the language defines; imported names by the one file that defines the full name, or the first that the
+    import names; the called name where the file itself defines it, or the first file with it that any import of the caller's
+    file names; then, flagged `external`, the first file that defines the name, or the caller's own.
     """
     calls = rows.select("path", "lang", F.explode("function_calls").alias("c")).select("path", "lang", "c.*").where(~F.col("name").isin(*BUILTINS))
     dots = F.length("full_name") - F.length(F.replace(F.col("full_name"), F.lit("."), F.lit("")))
     base = F.when(dots > 0, F.split_part("full_name", F.lit("."), F.lit(1)))
     own = base.isin(*SELF)
     lookup = F.when((dots > 1) & own, F.col("name")).otherwise(F.coalesce(base, "name"))
-    calls = calls.select("*", dots.alias("dots"), F.coalesce(own, F.lit(False)).alias("own"), lookup.alias("lookup"), F.monotonically_increasing_id().alias("n"))
+    calls = calls.select("*", dots.alias("dots"), F.coalesce(own, F.lit(False)).alias("own"), lookup.alias("lookup"))
     index = symbol_index(rows)
+    imports = local_imports(rows).withColumnRenamed("full_name", "full_import")
     here = index.select("path", F.col("name").alias("lookup"), F.lit(True).alias("local"))
     here_called = index.select("path", "name", F.lit(True).alias("local_called"))
     by = index.groupBy("lang", "name").agg(F.countDistinct("path").alias("files"), F.min("path").alias("first"))
-    only = by.select("lang", F.col("name").alias("lookup"), F.col("files"), F.col("first").alias("only"))
-    imported = local_imports(rows).select("path", F.col("key").alias("lookup"), "full_name")
-    x = calls.join(here, ["path", "lookup"], "left").join(here_called, ["path", "name"], "left").join(only, ["lang", "lookup"], "left").join(imported.withColumnRenamed("full_name", "full_import"), ["path", "lookup"], "left")
-    x = x.join(by.select("lang", F.col("name"), F.col("first").alias("first_called")), ["lang", "name"], "left")
-    several = x.where((F.col("files") > 1) & F.col("full_import").isNotNull()).select("n", "lang", F.col("lookup").alias("name"), "full_import")
-    # the import's module is where the name is; 'pkg.mod.f' is looked for as 'pkg/mod'
-    module = F.regexp_replace(F.regexp_replace("full_import", r"\.[^.]*$", ""), r"\.", "/")
-    through = several.join(index.select("lang", "name", F.col("path").alias("candidate")), ["lang", "name"]).where(F.contains(F.col("candidate"), F.replace(F.col("full_import"), F.lit("."), F.lit("/"))) | F.contains(F.col("candidate"), module))
-    through = through.groupBy("n").agg(F.min("candidate").alias("through"))
-    x = x.join(through, "n", "left")
-    sure = F.when(F.col("own") & (F.col("dots") <= 1), F.col("path")).when(F.col("local"), F.col("path")).when(F.col("files") == 1, F.col("only")).otherwise(F.coalesce("through", F.when(F.col("local_called"), F.col("path"))))
-    out = x.withColumn("called_path", F.coalesce(sure, "first_called", "path")).withColumn("external", sure.isNull())
+    only = by.select("lang", F.col("name").alias("lookup"), "files", F.col("first").alias("only"))
+    typed = by.select("lang", F.col("name").alias("inferred_obj_type"), F.col("first").alias("typed"))
+    x = calls.join(here, ["path", "lookup"], "left").join(here_called, ["path", "name"], "left").join(only, ["lang", "lookup"], "left")
+    x = x.join(imports.withColumnRenamed("key", "lookup"), ["path", "lookup"], "left").join(typed, ["lang", "inferred_obj_type"], "left")
+    x = x.join(by.select("lang", "name", F.col("first").alias("first_called")), ["lang", "name"], "left")
+    # an imported name that several files define: the one its import names, or that defines the full name
+    several = x.where((F.col("files") > 1) & F.col("full_import").isNotNull()).select("lang", F.col("lookup").alias("name"), F.col("full_import").alias("full_name"))
+    through = first_through(several, index).select("lang", F.col("name").alias("lookup"), F.col("full_name").alias("full_import"), "through")
+    direct = by.where("files = 1").select("lang", F.col("name").alias("full_import"), F.col("first").alias("direct"))
+    x = x.join(through, ["lang", "lookup", "full_import"], "left").join(direct, ["lang", "full_import"], "left")
+    imported = F.coalesce(F.when(F.col("files") > 1, F.col("direct")), "through")
+    sure = F.when(F.col("own") & (F.col("dots") <= 1), F.col("path")).when(F.col("local"), F.col("path")).otherwise(F.coalesce("typed", F.when(F.col("files") == 1, F.col("only")), imported, F.when(F.col("local_called"), F.col("path"))))
+    x = x.withColumn("sure", sure)
+    # what is left, by any import of the caller's file
+    open_ = x.where("sure is null and first_called is not null").select("path", "lang", "name").distinct().join(imports.select("path", F.col("full_import").alias("full_name")).distinct(), "path")
+    rescued = open_.join(first_through(open_.select("lang", "name", "full_name"), index), ["lang", "name", "full_name"]).groupBy("path", "lang", "name").agg(F.min("through").alias("rescued"))
+    x = x.join(rescued, ["path", "lang", "name"], "left").withColumn("sure", F.coalesce("sure", "rescued"))
+    out = x.withColumn("called_path", F.coalesce("sure", "first_called", "path")).withColumn("external", F.col("sure").isNull())
     out = out.where(~F.col("external")) if skip_external else out
-    return out.select("path", "lang", F.col("context.name").alias("caller_name"), F.col("context.kind").alias("caller_kind"), F.col("context.line").alias("caller_line"), "line_number", "args", F.col("name").alias("called_name"), "called_path", F.col("full_name").alias("full_call_name"), "external")
+    return out.select(
+        "path", "lang", F.col("context.name").alias("caller_name"), F.col("context.kind").alias("caller_kind"), F.col("context.line").alias("caller_line"),
+        "line_number", "args", F.col("name").alias("called_name"), "called_path", F.col("full_name").alias("full_call_name"), "external",
+    )
 
 
 def resolve_inheritance(rows: DataFrame) -> DataFrame:
-    """(path, child, parent, parent_path) of classes and their bases: in the file, else by import, else where the name is the only one."""
-    e = rows.select("path", "lang", F.explode("classes").alias("c")).select("path", "lang", F.col("c.name").alias("child"), F.explode("c.bases").alias("base")).where("base <> 'object'")
+    """(path, child, parent, parent_path) of classes and their bases.
+
+    A simple base: a class of the file, else what its import names, else, if nothing is imported so, the only file that defines
+    it. A dotted base: what the import of its first part names. An import that names no file with such a class links nothing.
+    """
+    e = rows.select("path", "lang", F.explode("classes").alias("c")).select("path", "lang", F.col("c.name").alias("child"), F.explode("c.bases").alias("base")).where("base <> 'object'").distinct()
     e = e.withColumn("parent", F.element_at(F.split("base", r"\."), -1)).withColumn("key", F.split_part("base", F.lit("."), F.lit(1)))
-    classes = rows.select("path", "lang", F.explode(F.transform("classes", lambda c: c["name"])).alias("parent")).distinct()
-    e = e.join(classes.select("path", "parent", F.lit(True).alias("local")), ["path", "parent"], "left").join(local_imports(rows), ["path", "key"], "left")
-    e = e.join(classes.select("lang", "parent", F.col("path").alias("candidate")), ["lang", "parent"])
-    module = F.regexp_replace(F.regexp_replace("full_name", r"\.[^.]*$", ""), r"\.", "/")
-    hit = F.coalesce(F.contains(F.col("candidate"), F.replace(F.col("full_name"), F.lit("."), F.lit("/"))) | F.contains(F.col("candidate"), module), F.lit(False))
-    g = e.groupBy("path", "child", "base", "parent").agg(F.max("local").alias("local"), F.countDistinct("candidate").alias("n"), F.min("candidate").alias("only"), F.min(F.when(hit, F.col("candidate"))).alias("through"))
-    to = F.when(F.col("local") & ~F.contains(F.col("base"), F.lit(".")), F.col("path")).otherwise(F.coalesce("through", F.when(F.col("n") == 1, F.col("only"))))
-    return g.select("path", "child", "parent", to.alias("parent_path")).where("parent_path is not null")
+    classes = rows.select("path", "lang", F.explode(F.transform("classes", lambda c: c["name"])).alias("name")).distinct()
+    only = classes.groupBy("lang", F.col("name").alias("parent")).agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("only"))
+    e = e.join(classes.select("path", F.col("name").alias("parent"), F.lit(True).alias("local")), ["path", "parent"], "left").join(local_imports(rows), ["path", "key"], "left").join(only, ["lang", "parent"], "left")
+    through = first_through(e.where("full_name is not null").select("lang", F.col("parent").alias("name"), "full_name"), classes).withColumnRenamed("name", "parent")
+    e = e.join(through, ["lang", "parent", "full_name"], "left")
+    dotted = F.contains(F.col("base"), F.lit("."))
+    simple = F.when(F.col("local"), F.col("path")).when(F.col("full_name").isNotNull(), F.col("through")).when(F.col("files") == 1, F.col("only"))
+    return e.select("path", "child", "parent", F.when(dotted, F.col("through")).otherwise(simple).alias("parent_path")).where("parent_path is not null").distinct()
 
 
 def folders(files: DataFrame, root: str) -> DataFrame:
@@ -89,14 +134,14 @@ def folders(files: DataFrame, root: str) -> DataFrame:
 def index_repository(files: DataFrame, root: str, name: str | None = None, is_dependency: bool = False, skip_external: bool = False) -> PropertyGraph:
     """The graph of files (path, relative_path, text) of a repository at root. Files that can't be parsed stay as files."""
     spark, root = files.sparkSession, root.rstrip("/")
-    rows = parsed(files).cache()
+    rows = cut(parsed(files))
     dep = F.lit(is_dependency)
     nodes, edges = {}, {}
     repo = spark.createDataFrame([(root, name or root.rsplit("/", 1)[-1], is_dependency)], "path string, name string, is_dependency boolean")
     nodes["Repository"] = repo.withColumn("id", node_id("Repository"))
     dirs = folders(rows, root)
     nodes["Directory"] = dirs.select("path", "name").withColumn("id", node_id("Directory"))
-    nodes["File"] = rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "relative_path", "lang", dep.alias("is_dependency")).withColumn("id", node_id("File"))
+    nodes["File"] = rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "relative_path", "lang", dep.alias("is_dependency"), "error").withColumn("id", node_id("File"))
     sep = "\u0001"
     file_id = F.concat_ws(sep, F.lit("File"), "path")
     folder = lambda up: F.when(up == root, F.concat_ws(sep, F.lit("Repository"), up)).otherwise(F.concat_ws(sep, F.lit("Directory"), up))
