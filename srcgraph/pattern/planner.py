@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.graph import PropertyGraph
+from srcgraph.operators import search
 from srcgraph.operators.traverse import cut
 from srcgraph.pattern.parser import Parser, QueryError
 
@@ -178,23 +179,86 @@ class Plan:
                 break
         return reduce(DataFrame.unionByName, found)
 
+    def start_of(self, nodes: list) -> int:
+        """The node that a path is planned from: one that is bound, else the one with most conditions."""
+        bound = [i for i, n in enumerate(nodes) if n[0] in self.kinds]
+        return bound[0] if bound else max(range(len(nodes)), key=lambda i: (len(nodes[i][2]), len(nodes[i][1]) == 1, -i))
+
     def bind_path(self, path: tuple) -> None:
         var, nodes, rels = path
-        at = self.bind_node(nodes[0])
-        used, passed = [], [at]
-        for rel, node in zip(rels, nodes[1:]):
-            r, at = self.step(at, rel, node)
-            same = [u for u in used if self.kinds[u] == self.kinds[r] == "rel"]
-            for u in same:  # a relationship is used once in a pattern
+        start = self.start_of(nodes)
+        used: list[str] = [""] * len(rels)
+        passed: list[str] = [""] * len(nodes)
+        passed[start] = self.bind_node(nodes[start])
+        for i in range(start, len(rels)):
+            used[i], passed[i + 1] = self.step(passed[i], rels[i], nodes[i + 1])
+        for i in range(start - 1, -1, -1):
+            used[i], passed[i] = self.step(passed[i + 1], flipped(rels[i]), nodes[i])
+            if self.kinds[used[i]] == "rels":
+                self.frame = self.frame.withColumn(used[i], F.reverse(used[i]))
+        single = [u for u in used if self.kinds[u] == "rel"]
+        for i, u in enumerate(single):  # a relationship is used once in a pattern
+            for r in single[i + 1 :]:
                 self.frame = self.frame.where(F.col(u) != F.col(r))
-            used.append(r)
-            passed.append(at)
         if var:
             parts = [F.col(r) if self.kinds[r] == "rels" else F.array(F.col(r)) for r in used]
             rel = F.concat(*parts) if parts else F.array()
             self.frame = self.frame.withColumn(var, F.struct(F.size(rel).alias("length"), rel.alias("relationships"), F.array(*[F.col(n)["id"] for n in passed]).alias("nodes")))
             self.kinds[var] = "path"
 
+    def bind_paths(self, paths: list, conditions: list) -> None:
+        """Paths in an order in which each hangs together with what is bound. What does not is planned apart, and joined by the conditions between the two."""
+        rest = list(paths)
+
+        def connected(plan: Plan) -> tuple | None:
+            i = next((i for i, p in enumerate(rest) if any(n[0] in plan.kinds for n in p[1])), None)
+            return None if i is None else rest.pop(i)
+
+        while rest:
+            if self.frame is None:
+                self.bind_path(rest.pop(0))
+            elif path := connected(self):
+                self.bind_path(path)
+            else:
+                other = Plan(self.g)
+                other.fresh = self.fresh
+                other.bind_path(rest.pop(0))
+                while path := connected(other):
+                    other.bind_path(path)
+                self.fresh = other.fresh
+                self.join(other, conditions)
+
+    def join(self, other: Plan, conditions: list) -> None:
+        mine, theirs = set(self.kinds), set(other.kinds)
+        between = [c for c in conditions if not is_pattern(c) and (used := variables(c)) <= mine | theirs and used & mine and used & theirs]
+        left, self.kinds = self.frame, self.kinds | other.kinds
+        self.frame = left.crossJoin(other.frame)  # kept only where no condition ties the two
+        if between:
+            self.frame = left.join(other.frame, reduce(lambda a, b: a & b, [self.column(c) for c in between]))
+
+    def procedure(self, name: str, args: list, found: dict | None, where) -> None:
+        """Calls that read the graph's own facts: labels, relationship types, and nodes by full text."""
+        known = name.lower()
+        if known == "db.labels":
+            rows, kinds = self.g.all_nodes().select("label").distinct(), {"label": "value"}
+        elif known == "db.relationshiptypes":
+            rows, kinds = self.g.all_edges().select(F.col("type").alias("relationshipType")).distinct(), {"relationshipType": "value"}
+        elif known == "db.index.fulltext.querynodes" and len(args) == 2 and args[1][0] == "value":
+            term, _, edits = str(args[1][1]).partition("~")
+            hits = search.full_text(self.g, term, int(edits) if edits.isdigit() else 2 if "~" in str(args[1][1]) else 0, n=None)
+            rows = self.nodes("node", []).join(hits.select(F.col("id").alias("_hit"), "score"), F.col("node")["id"] == F.col("_hit")).select("node", "score")
+            kinds = {"node": "node", "score": "value"}
+        else:
+            raise QueryError(f"unknown procedure {name}")
+        found = {k: k for k in kinds} if found is None else found
+        if unknown := set(found) - set(kinds):
+            raise QueryError(f"{name} yields no {', '.join(sorted(unknown))}")
+        rows = rows.select(*[F.col(k).alias(v) for k, v in found.items()])
+        self.frame = rows if self.frame is None else self.frame.crossJoin(rows)
+        self.kinds |= {v: kinds[k] for k, v in found.items()}
+        if where:
+            self.where(where)
+
     def where(self, e: tuple) -> None:
         for part in conjuncts(e):
             negated = part[0] == "not" and part[1][0] == "exists"
@@ -214,8 +278,7 @@ class Plan:
 
     def match(self, optional: bool, paths: list, where) -> None:
         before, kinds = self.frame, dict(self.kinds)
-        for p in paths:
-            self.bind_path(p)
+        self.bind_paths(paths, conjuncts(where) if where else [])
         if where:
             self.where(where)
         self.frame = self.frame.select(*[k for k in self.kinds if k in self.frame.columns])
@@ -260,6 +323,31 @@ def has_unhashable(e) -> bool:
     return isinstance(e, (list, dict)) or isinstance(e, tuple) and any(has_unhashable(x) for x in e)
 
 
+def flipped(rel: tuple) -> tuple:
+    """A relationship as it is met from its other end."""
+    return (*rel[:3], {"in": "out", "out": "in"}.get(rel[3], rel[3]), rel[4])
+
+
+def variables(e) -> set[str]:
+    """The variables that an expression reads, without those of its own."""
+    if isinstance(e, dict):
+        return set().union(*map(variables, e.values()))
+    if not isinstance(e, (tuple, list)) or not e:
+        return set()
+    if e[0] == "name":
+        return {e[1]}
+    if e[0] == "haslabel":
+        return {e[1]}
+    if e[0] == "quantifier":
+        return variables(e[3]) | (variables(e[4]) - {e[2]})
+    return set().union(*map(variables, e[1:] if isinstance(e[0], str) else e))
+
+
+def is_pattern(e: tuple) -> bool:
+    """Whether a condition is a pattern, or denies one."""
+    return e[0] == "exists" or e[0] == "not" and e[1][0] == "exists"
+
+
 def conjuncts(e: tuple) -> list[tuple]:
     return [*conjuncts(e[1]), *conjuncts(e[2])] if e[0] == "and" else [e]
 
