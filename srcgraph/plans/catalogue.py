@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions import text
 from srcgraph.graph import PropertyGraph
-from srcgraph.operators import maintain, quality, relations, search, traverse
-from srcgraph.plans.project import graph, with_clause
+from srcgraph.operators import maintain, quality, relations, resolve, search, traverse
+from srcgraph.operators.analyze import analyze, scopes
+from srcgraph.pattern import run
+from srcgraph.plans.project import elements, graph, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,7 +55,7 @@ REPO = "(SELECT min(path) FROM repo)"
 FULL = "CASE WHEN c.line_number % 3 = 0 THEN b.name WHEN c.line_number % 3 = 1 THEN concat(b.lang, '.', b.name) ELSE concat('self.', b.name) END"
 NODES = """(SELECT id, 'Repository' AS label, name, path FROM repo UNION ALL SELECT id, 'Directory', name, path FROM dir UNION ALL SELECT id, 'File', name, path FROM file UNION ALL SELECT id, 'Function', name, path FROM func UNION ALL SELECT id, 'Class', name, path FROM cls
  UNION ALL SELECT id, 'Module', name, NULL FROM mod UNION ALL SELECT id, 'Variable', name, path FROM var UNION ALL SELECT id, 'Trait', name, path FROM trait UNION ALL SELECT concat('P:', id, ':', a), 'Parameter', a, path FROM (SELECT DISTINCT id, path, unnest(args) AS a FROM func) UNION ALL SELECT DISTINCT concat('@', context), 'Decorator', context, NULL FROM func)"""
-CONTAINS = "(SELECT up AS src, id AS dst FROM dir UNION ALL SELECT up, id FROM file UNION ALL SELECT up, id FROM func UNION ALL SELECT up, id FROM cls UNION ALL SELECT up, id FROM var WHERE ok % 4 <> 0 UNION ALL SELECT src, dst FROM methods)"
+CONTAINS = "(SELECT up AS src, id AS dst FROM dir UNION ALL SELECT up, id FROM file UNION ALL SELECT up, id FROM func UNION ALL SELECT up, id FROM cls UNION ALL SELECT up, id FROM var WHERE status <> 'P' UNION ALL SELECT src, dst FROM methods)"
 EDGES = f"(SELECT src, dst, 'CONTAINS' AS type FROM {CONTAINS} UNION ALL SELECT src, dst, 'CALLS' FROM calls UNION ALL SELECT src, dst, 'INHERITS' FROM inherits UNION ALL SELECT src, dst, 'IMPORTS' FROM imports UNION ALL SELECT src, dst, 'IMPLEMENTS' FROM implements UNION ALL SELECT DISTINCT id, concat('P:', id, ':', a), 'HAS_PARAMETER' FROM (SELECT id, unnest(args) AS a FROM func) UNION ALL SELECT id, concat('@', context), 'DECORATED_BY' FROM func)"
 PLACES = "id, name, path, line_number, is_dependency"
 fn = lambda g: first(g.node("Function").select("name"), "name")
@@ -111,7 +113,7 @@ SELECT n::INT AS chain_length, array_to_string(nodes, '>') AS nodes, array_to_st
 )(lambda g: traverse.call_chains(g, most_calling(g), most_called(g)))
 query("who_imports", """SELECT f.path, f.is_dependency, count(*) AS n_imports, string_agg(concat(m.name, ':', i.line_number, ':', i.alias), ';' ORDER BY m.name, i.line_number, i.alias) AS imports FROM imports i JOIN file f ON f.id = i.src JOIN mod m ON m.id = i.dst
  WHERE m.name = 'Brand#1' OR contains(m.full_import_name, 'Brand#1') GROUP BY f.path, f.is_dependency ORDER BY is_dependency, path LIMIT 20""")(lambda g: relations.importers(g, "Brand#1"))
-query("who_modifies", "SELECT 'file' AS container_type, f.name AS container_name, f.path, v.line_number AS variable_line, v.value, f.is_dependency FROM var v JOIN file f ON f.id = v.up WHERE ok % 4 <> 0 AND v.name = (SELECT min(name) FROM var) ORDER BY is_dependency, path, variable_line LIMIT 20")(lambda g: relations.modifiers(g, first(g.node("Variable").select("name"), "name")))
+query("who_modifies", "SELECT 'file' AS container_type, f.name AS container_name, f.path, v.line_number AS variable_line, v.value, f.is_dependency FROM var v JOIN file f ON f.id = v.up WHERE status <> 'P' AND v.name = (SELECT min(name) FROM var) ORDER BY is_dependency, path, variable_line LIMIT 20")(lambda g: relations.modifiers(g, first(g.node("Variable").select("name"), "name")))
 HC = "(SELECT name FROM cls WHERE id = 'C6')"
 query("class_hierarchy", f"""SELECT 'parent' AS section, p.name, p.path, p.line_number, p.is_dependency FROM inherits i JOIN cls c ON c.id = i.src JOIN cls p ON p.id = i.dst WHERE c.name = {HC} UNION SELECT 'child', p.name, p.path, p.line_number, p.is_dependency FROM inherits i JOIN cls c ON c.id = i.dst JOIN cls p ON p.id = i.src WHERE c.name = {HC}
  UNION SELECT 'method', f.name, f.path, f.line_number, f.is_dependency FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE c.name = {HC}""")(lambda g: relations.hierarchy(g, first(g.node("Class").where("id = 'C6'").select("name"), "name")))
@@ -119,7 +121,7 @@ ON = "(SELECT min(f.name) FROM methods m JOIN func f ON f.id = m.dst)"
 query("overrides", f"SELECT c.name AS class_name, f.name, f.path, f.line_number, f.is_dependency FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE f.name = {ON} ORDER BY is_dependency, class_name, f.path, f.line_number LIMIT 20")(lambda g: relations.overrides(g, first(g.node("Function").join(g.pairs("CONTAINS").where("src like 'C%'").select(F.col("dst").alias("id")), "id", "left_semi").select("name"), "name")))
 query("module_importers", "SELECT DISTINCT f.path, i.line_number, f.is_dependency FROM imports i JOIN file f ON f.id = i.src WHERE i.dst = (SELECT min(id) FROM mod) ORDER BY is_dependency, path, line_number LIMIT 50")(lambda g: relations.module_importers(g, first(g.node("Module").select("name"), "name")))
 query("module_coimports", "SELECT m.name AS module, count(DISTINCT b.src) AS n_files FROM imports a JOIN imports b ON a.src = b.src AND b.dst <> a.dst JOIN mod m ON m.id = b.dst WHERE a.dst = (SELECT min(id) FROM mod) GROUP BY m.name ORDER BY module LIMIT 50")(lambda g: relations.co_imports(g, first(g.node("Module").select("name"), "name")))
-query("variable_scope", "SELECT CASE WHEN ok % 4 = 0 THEN 'module' ELSE 'file' END AS scope_type, CASE WHEN ok % 4 = 0 THEN NULL ELSE f.name END AS scope_name, v.path, v.line_number, v.value, v.is_dependency FROM var v JOIN file f ON f.id = v.up WHERE v.name = (SELECT min(name) FROM var)")(lambda g: relations.variable_scope(g, first(g.node("Variable").select("name"), "name")))
+query("variable_scope", "SELECT CASE WHEN status = 'P' THEN 'module' ELSE 'file' END AS scope_type, CASE WHEN status = 'P' THEN NULL ELSE f.name END AS scope_name, v.path, v.line_number, v.value, v.is_dependency FROM var v JOIN file f ON f.id = v.up WHERE v.name = (SELECT min(name) FROM var)")(lambda g: relations.variable_scope(g, first(g.node("Variable").select("name"), "name")))
 query("relink_neighbours", f"SELECT DISTINCT a.path FROM calls c JOIN func a ON a.id = c.src JOIN func b ON b.id = c.dst WHERE b.path = {PATH} AND a.path <> {PATH}")(lambda g: relations.caller_files(g, file_path(g)))
 query("inheritance_neighbours", f"SELECT DISTINCT p AS path FROM (SELECT CASE WHEN a.path = {PATH} THEN b.path ELSE a.path END AS p FROM inherits i JOIN cls a ON a.id = i.src JOIN cls b ON b.id = i.dst WHERE a.path = {PATH} OR b.path = {PATH}) WHERE p <> {PATH}")(lambda g: relations.inheritance_neighbours(g, file_path(g)))
 query("repo_class_lookup", f"SELECT path, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM cls WHERE starts_with(path, concat({REPO}, '/')) GROUP BY path")(lambda g: relations.class_lookup(g, repo_path(g)).withColumn("names", F.array_join("names", ",")))
@@ -182,6 +184,177 @@ query(
 query("cookbook_44_secrets", "SELECT name, path FROM func WHERE contains(lower(source), 'brand#1') OR contains(lower(source), 'token')")(lambda g: g.node("Function").where(F.exists(F.array(F.lit("brand#1"), F.lit("token")), lambda k: F.contains(F.lower(F.col("source")), k))).select("name", "path"))
 
 
+# documented queries in the pattern language itself
+def pattern(name: str, text: str, sql: str, params: Callable[[PropertyGraph], dict] = lambda g: {}) -> None:
+    """Registers a query text, run as a user would."""
+    query(name, sql)(lambda g: run(g, text, params(g)))
+
+
+pattern(
+    "cookbook_19_functions",
+    "MATCH (n:Function) RETURN n.name AS name, n.path AS path, n.line_number AS line_number ORDER BY path, line_number LIMIT 50",
+    "SELECT name, path, line_number FROM func ORDER BY path, line_number LIMIT 50",
+)
+pattern(
+    "cookbook_20_classes",
+    "MATCH (n:Class) RETURN n.name AS name, n.path AS path, n.line_number AS line_number ORDER BY path, line_number LIMIT 50",
+    "SELECT name, path, line_number FROM cls ORDER BY path, line_number LIMIT 50",
+)
+pattern(
+    "cookbook_22_classes_in_file",
+    "MATCH (c:Class) WHERE c.path ENDS WITH $file RETURN c.name AS name",
+    f"SELECT name FROM cls WHERE ends_with(path, (SELECT relative_path FROM file WHERE path = {PATH}))",
+    lambda g: {"file": text_of(g)},
+)
+pattern(
+    "cookbook_23_top_level_symbols",
+    "MATCH (f:File)-[:CONTAINS]->(n) WHERE f.path ENDS WITH $end AND (n:Function OR n:Class) AND n.context IS NULL RETURN n.name AS name",
+    "SELECT c.name FROM cls c JOIN file f ON f.id = c.up WHERE ends_with(f.path, '1') AND c.context IS NULL",
+    lambda g: {"end": "1"},
+)
+pattern(
+    "cookbook_24_calls_between_files",
+    "MATCH (caller:Function)-[:CALLS]->(callee:Function {name: $name}) WHERE caller.path ENDS WITH '1' AND callee.path ENDS WITH '2' RETURN caller.name AS caller, caller.path AS path",
+    f"SELECT a.name AS caller, a.path FROM calls c JOIN func a ON a.id = c.src JOIN func b ON b.id = c.dst WHERE b.name = {NAME} AND ends_with(a.path, '1') AND ends_with(b.path, '2')",
+    lambda g: {"name": fn(g)},
+)
+pattern(
+    "cookbook_25_circular_imports",
+    """MATCH (f1:File)-[:IMPORTS]->(m2:Module), (f2:File)-[:IMPORTS]->(m1:Module)
+       WHERE 'Brand#' + toString(toInteger(split(f1.name, '#')[1])) = m1.name AND 'Brand#' + toString(toInteger(split(f2.name, '#')[1])) = m2.name RETURN DISTINCT f1.name AS one, f2.name AS other""",
+    """, n AS (SELECT id, name, concat('Brand#', split_part(name, '#', 2)::BIGINT) AS module FROM file)
+    SELECT DISTINCT a.name AS one, b.name AS other FROM imports i JOIN n a ON a.id = i.src JOIN mod m2 ON m2.id = i.dst JOIN n b ON b.module = m2.name JOIN imports j ON j.src = b.id JOIN mod m1 ON m1.id = j.dst AND m1.name = a.module""",
+)
+pattern(
+    "cookbook_28_classes_with_method",
+    "MATCH (c:Class)-[:CONTAINS]->(m:Function {name: $name}) RETURN DISTINCT c.name AS name, c.path AS path",
+    f"SELECT DISTINCT c.name, c.path FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE f.name = {NAME}",
+    lambda g: {"name": fn(g)},
+)
+pattern(
+    "cookbook_29_inheritance_paths",
+    "MATCH (c:Class) OPTIONAL MATCH path = (c)-[:INHERITS*]->(parent:Class) RETURN c.id AS id, length(path) AS depth, count(*) AS n",
+    """, p AS (SELECT i.src AS id, i.dst AS at, 1 AS depth FROM inherits i UNION ALL SELECT p.id, i.dst, depth + 1 FROM p JOIN inherits i ON i.src = p.at)
+    SELECT c.id, p.depth, count(*) AS n FROM cls c LEFT JOIN (SELECT p.* FROM p JOIN cls x ON x.id = p.at) p USING (id) GROUP BY ALL""",
+)
+pattern(
+    "cookbook_31_decorated_methods",
+    "MATCH (c:Class {name: $name})-[:CONTAINS]->(m:Function) WHERE m.decorators IS NOT NULL AND size(m.decorators) > 0 RETURN m.name AS name, m.path AS path",
+    "SELECT f.name, f.path FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE c.name = (SELECT max(name) FROM cls)",
+    lambda g: {"name": first(g.node("Class").select("name"), F.desc("name"))},
+)
+pattern(
+    "cookbook_33_overriding_by_pattern",
+    "MATCH (c:Class)-[:INHERITS]->(p:Class), (c)-[:CONTAINS]->(m:Function), (p)-[:CONTAINS]->(n:Function) WHERE m.name = n.name RETURN DISTINCT m.name AS method, c.name AS child, p.name AS parent",
+    """SELECT DISTINCT f.name AS method, a.name AS child, b.name AS parent FROM inherits i JOIN cls a ON a.id = i.src JOIN cls b ON b.id = i.dst JOIN methods m ON m.src = a.id JOIN func f ON f.id = m.dst
+    JOIN methods n ON n.src = b.id JOIN func h ON h.id = n.dst WHERE f.name = h.name""",
+)
+pattern(
+    "cookbook_40_modules_of_file",
+    "MATCH (f:File {name: $name})-[:IMPORTS]->(m:Module) RETURN m.name AS imported_module_name",
+    "SELECT m.name AS imported_module_name FROM imports i JOIN file f ON f.id = i.src JOIN mod m ON m.id = i.dst WHERE f.name = (SELECT min(name) FROM file)",
+    lambda g: {"name": first(g.node("File").select("name"), "name")},
+)
+pattern(
+    "pattern_labels",
+    "CALL db.labels() YIELD label MATCH (n:Repository) RETURN label, count(n) AS repositories",
+    f"SELECT DISTINCT label, (SELECT count(*) FROM repo) AS repositories FROM {NODES}",
+)
+pattern(
+    "pattern_full_text",
+    "CALL db.index.fulltext.queryNodes('code_search_index', $term) YIELD node, score WHERE node:Function RETURN node.id AS id, score",
+    "SELECT * FROM (SELECT id, CASE WHEN contains(concat('_', lower(name), '_'), '_ring_') THEN 3 WHEN contains(concat(' ', replace(replace(lower(source), '_', ' '), ':', ' '), ' '), ' ring ') THEN 1 ELSE 0 END AS score FROM func) WHERE score > 0",
+    lambda g: {"term": "ring"},
+)
+UNDIRECTED = f", e AS (SELECT *, row_number() OVER () AS r FROM {EDGES}), u AS (SELECT src AS a, dst AS b, r FROM e UNION ALL SELECT dst, src, r FROM e WHERE src <> dst)"
+query(
+    "cookbook_43_hub_neighbourhood",
+    f"""{UNDIRECTED}, o AS (SELECT src AS id, count(DISTINCT dst) AS d FROM calls GROUP BY src), i AS (SELECT dst AS id, count(DISTINCT src) AS d FROM calls GROUP BY dst),
+    h AS (SELECT f.id FROM func f LEFT JOIN o ON o.id = f.id LEFT JOIN i ON i.id = f.id ORDER BY coalesce(o.d, 0) + coalesce(i.d, 0) DESC, f.id LIMIT 5),
+    p AS (SELECT id AS hub, id AS node, 0 AS hops, 0 AS r FROM h UNION ALL SELECT h.id, u.b, 1, u.r FROM h JOIN u ON u.a = h.id),
+    q AS (SELECT * FROM p UNION ALL SELECT p.hub, u.b, 2, u.r FROM p JOIN u ON u.a = p.node AND u.r <> p.r WHERE p.hops = 1)
+    SELECT hub, node, hops, count(*) AS n FROM q GROUP BY ALL""",
+)(lambda g: run(g, "MATCH (f:Function) WHERE f.id IN $hubs MATCH p = (f)-[*0..2]-(x) RETURN f.id AS hub, x.id AS node, length(p) AS hops, count(*) AS n", {"hubs": [r["id"] for r in hubs(g).collect()]}))
+
+# all relations through one entry
+query("analyze_find_callers", f"SELECT caller_name, caller_path, call_line FROM ({CALLERS} WHERE b.name = {HOT}{ORDER})")(lambda g: analyze(g, "find_callers", most_called(g)).results.select("caller_name", "caller_path", "call_line"))
+query("analyze_overrides", f"SELECT c.name AS class_name, f.name, f.path, f.line_number, f.is_dependency FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE f.name = {ON} ORDER BY is_dependency, class_name, f.path, f.line_number LIMIT 20")(
+    lambda g: analyze(g, "Polymorphism ", first(g.node("Function").join(g.pairs("CONTAINS").where("src like 'C%'").select(F.col("dst").alias("id")), "id", "left_semi").select("name"), "name")).results
+)
+query("analyze_complexity", "SELECT name, path, line_number, cyclomatic_complexity FROM func WHERE NOT is_dependency ORDER BY cyclomatic_complexity DESC, path, line_number LIMIT 7")(lambda g: analyze(g, "find_complexity", context="7").results)
+query("variable_scope_groups", "SELECT CASE WHEN status = 'P' THEN 'module' ELSE 'file' END AS scope_type, count(*) AS n FROM var WHERE name = (SELECT min(name) FROM var) GROUP BY 1")(
+    lambda g: scopes(g, first(g.node("Variable").select("name"), "name")).select("scope_type", "n")
+)
+query("deleted_links", f"SELECT 'CALLS' AS type, count(*) AS n FROM calls c JOIN func a ON a.id = c.src WHERE starts_with(a.path, concat({REPO}, '/')) UNION ALL SELECT 'INHERITS', count(*) FROM inherits i JOIN cls a ON a.id = i.src WHERE starts_with(a.path, concat({REPO}, '/'))")(
+    lambda g: maintain.delete_links(g, repo_path(g))[1]
+)
+
+# names to symbols across files, over parse rows made of the tables
+PARSED = """, fn AS (SELECT pk, path, CASE WHEN pk IN (SELECT min(pk) FROM func GROUP BY name) THEN concat(name, '_', lower(replace(lang, '#', ''))) ELSE name END AS name FROM func),
+ cl AS (SELECT ck, path, concat(split_part(name, '#', 1), '_', ck // 3) AS name FROM cls),
+ im AS (SELECT DISTINCT s.path, p.name AS key, concat(replace(ltrim(p.path, '/'), '/', '.'), '.', p.name) AS full_name FROM lineitem JOIN fn p ON p.pk = l_partkey JOIN file s ON s.fid = l_suppkey WHERE l_linestatus = 'F' AND l_returnflag = 'R'),
+ imports_ AS (SELECT path, key, max(full_name) AS full_name FROM im GROUP BY path, key),
+ cs AS (SELECT DISTINCT s.path, p.name, CASE l_returnflag WHEN 'R' THEN p.name WHEN 'A' THEN concat('self.', p.name) ELSE concat('obj.', p.name) END AS full_name, l_orderkey AS line FROM lineitem JOIN fn p ON p.pk = l_partkey JOIN file s ON s.fid = l_suppkey),
+ ix AS (SELECT DISTINCT name, path FROM (SELECT name, path FROM fn UNION ALL SELECT name, path FROM cl)),
+ by_ AS (SELECT name, count(*) AS files, min(path) AS first FROM ix GROUP BY name),
+ th AS (SELECT i.path AS caller, i.key, min(x.path) AS through FROM imports_ i JOIN ix x ON x.name = i.key WHERE contains(concat(x.path, '/'), concat('/', replace(i.full_name, '.', '/'), '/')) OR contains(concat(x.path, '/'), concat('/', regexp_replace(replace(i.full_name, '.', '/'), '/[^/]*$', ''), '/')) GROUP BY i.path, i.key),
+ any_ AS (SELECT c.path, c.name, min(x.path) AS rescued FROM (SELECT DISTINCT path, name FROM cs) c JOIN imports_ i ON i.path = c.path JOIN ix x ON x.name = c.name AND (contains(concat(x.path, '/'), concat('/', replace(i.full_name, '.', '/'), '/')) OR contains(concat(x.path, '/'), concat('/', regexp_replace(replace(i.full_name, '.', '/'), '/[^/]*$', ''), '/'))) GROUP BY c.path, c.name),
+ lk AS (SELECT *, CASE WHEN contains(full_name, '.') THEN split_part(full_name, '.', 1) END AS base, coalesce(CASE WHEN contains(full_name, '.') THEN split_part(full_name, '.', 1) END, name) AS lookup FROM cs),
+ res AS (SELECT lk.path, lk.name, lk.full_name, lk.line, coalesce(CASE WHEN base = 'self' THEN lk.path WHEN l.path IS NOT NULL THEN lk.path WHEN b.files = 1 THEN b.first WHEN b.files > 1 THEN th.through END, h.path, any_.rescued) AS sure, f.first
+  FROM lk LEFT JOIN ix l ON l.path = lk.path AND l.name = lk.lookup LEFT JOIN by_ b ON b.name = lk.lookup LEFT JOIN th ON th.caller = lk.path AND th.key = lk.lookup LEFT JOIN ix h ON h.path = lk.path AND h.name = lk.name LEFT JOIN any_ ON any_.path = lk.path AND any_.name = lk.name LEFT JOIN by_ f ON f.name = lk.name)
+"""
+
+
+def parse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse rows, a file for each supplier: parts are its functions, customers its classes, line items its calls and imports."""
+    e = elements(spark, sf_dir)
+    firsts = e["func"].groupBy("name").agg(F.min("pk").alias("pk")).select("pk", F.lit(True).alias("unlike"))
+    f = e["func"].join(firsts, "pk", "left")
+    f = f.select("pk", "path", F.when(F.col("unlike"), F.concat("name", F.lit("_"), F.lower(F.replace("lang", F.lit("#"), F.lit(""))))).otherwise(F.col("name")).alias("name"))
+    c = e["cls"].select("path", F.concat(F.split_part("name", F.lit("#"), F.lit(1)), F.lit("_"), F.floor(F.col("ck") / 3).cast("string")).alias("name"), F.concat(F.split_part("name", F.lit("#"), F.lit(1)), F.lit("_"), F.floor(F.col("ck") / 7).cast("string")).alias("base"))
+    s = e["file"].select(F.col("fid").alias("l_suppkey"), "path")
+    met = e["lineitem"].join(f.select(F.col("pk").alias("l_partkey"), "name", F.col("path").alias("at")), "l_partkey").join(s, "l_suppkey")
+    flag = F.col("l_returnflag")
+    full = F.when(flag == "R", F.col("name")).when(flag == "A", F.concat(F.lit("self."), "name")).otherwise(F.concat(F.lit("obj."), "name"))
+    call = F.struct("name", full.alias("full_name"), F.col("l_orderkey").cast("int").alias("line_number"), F.array().cast("array<string>").alias("args"), F.lit(None).cast("string").alias("inferred_obj_type"), F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("line")).alias("context"))
+    calls = met.select("path", call.alias("c")).distinct().groupBy("path").agg(F.collect_list("c").alias("function_calls"))
+    module = F.replace(F.expr("substring(at, 2)"), F.lit("/"), F.lit("."))
+    imports = met.where("l_linestatus = 'F' and l_returnflag = 'R'").select("path", F.struct("name", F.concat(module, F.lit("."), "name").alias("full_import_name"), F.lit(None).cast("string").alias("alias")).alias("i")).distinct()
+    imports = imports.groupBy("path").agg(F.array_sort(F.collect_list("i")).alias("imports"))  # so the greatest full name is the last of a key
+    functions = f.groupBy("path").agg(F.collect_list(F.struct("name")).alias("functions"))
+    classes = c.groupBy("path").agg(F.collect_list(F.struct("name", F.array("base").alias("bases"))).alias("classes"))
+    out = e["file"].select("path", F.lit("python").alias("lang")).join(functions, "path", "left").join(classes, "path", "left").join(calls, "path", "left").join(imports, "path", "left")
+    for name in ("functions", "classes", "function_calls", "imports"):
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+    return out
+
+
+def over_rows(name: str, sql: str):
+    """Registers f(parse rows) and its SQL over PARSED."""
+
+    def register(f):
+        QUERIES[name] = lambda spark, sf_dir: f(traverse.cut(parse_rows(spark, sf_dir)))
+        ORACLE_SQL[name] = with_clause(PARSED + sql)
+        return f
+
+    return register
+
+
+over_rows("symbol_index", "SELECT name, path FROM ix")(lambda rows: resolve.symbol_index(rows).select("name", "path"))
+over_rows("resolve_calls", "SELECT path, name AS called_name, full_name AS full_call_name, line::INT AS line_number, coalesce(sure, first, path) AS called_path, sure IS NULL AS external FROM res")(
+    lambda rows: resolve.resolve_calls(rows).select("path", "called_name", "full_call_name", "line_number", "called_path", "external")
+)
+over_rows("skip_external_calls", "SELECT path, name AS called_name, line::INT AS line_number, sure AS called_path FROM res WHERE sure IS NOT NULL")(
+    lambda rows: resolve.resolve_calls(rows, skip_external=True).select("path", "called_name", "line_number", "called_path")
+)
+over_rows(
+    "resolve_inheritance",
+    """, b AS (SELECT DISTINCT c.path, concat(split_part(c.name, '#', 1), '_', ck // 3) AS child, concat(split_part(c.name, '#', 1), '_', ck // 7) AS parent FROM cls c),
+    n AS (SELECT name, count(DISTINCT path) AS files, min(path) AS one FROM cl GROUP BY name)
+    SELECT b.path, child, parent, CASE WHEN l.path IS NOT NULL THEN b.path ELSE one END AS parent_path FROM b LEFT JOIN (SELECT DISTINCT path, name FROM cl) l ON l.path = b.path AND l.name = b.parent LEFT JOIN n ON n.name = b.parent WHERE l.path IS NOT NULL OR files = 1""",
+)(resolve.resolve_inheritance)
+
+
 def text_of(g: PropertyGraph) -> str:
     return first(g.node("File").where(F.col("path") == file_path(g)).select("relative_path"), "relative_path")
 
