@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from srcgraph.extract import parsed
 from srcgraph.functions.text import normalised_decorator, parent
-from srcgraph.graph import PropertyGraph, node_id
+from srcgraph.graph import NODE_COLUMNS, PropertyGraph, node_id, shaped
 from srcgraph.operators.traverse import cut
 
 SELF = ("self", "this", "super", "super()", "cls", "@")
@@ -62,13 +64,14 @@ def first_through(wanted: DataFrame, index: DataFrame) -> DataFrame:
     return keys.join(places, ["lang", "name", "run"]).groupBy("lang", "name", "full_name").agg(F.min("path").alias("through"))
 
 
-def resolve_calls(rows: DataFrame, skip_external: bool = False) -> DataFrame:
+def resolve_calls(rows: DataFrame, skip_external: bool = False, index: DataFrame | None = None) -> DataFrame:
     """A row for each call that is no builtin's: caller, line, called name and the file it is resolved to.
 
     In turn: self calls stay in the file; names the file defines; the first file with the type that the extractor inferred; names
     only one file of the language defines; imported names by the one file that defines the full name, or the first that the
     import names; the called name where the file itself defines it, or the first file with it that any import of the caller's
     file names; then, flagged `external`, the first file that defines the name, or the caller's own.
+    index: (name, path, lang) of the symbols that names are looked up in, the rows' own included; without it those of the rows.
     """
     calls = rows.select("path", "lang", F.explode("function_calls").alias("c")).select("path", "lang", "c.*").where(~F.col("name").isin(*BUILTINS))
     dots = F.length("full_name") - F.length(F.replace(F.col("full_name"), F.lit("."), F.lit("")))
@@ -76,7 +79,7 @@ def resolve_calls(rows: DataFrame, skip_external: bool = False) -> DataFrame:
     own = base.isin(*SELF)
     lookup = F.when((dots > 1) & own, F.col("name")).otherwise(F.coalesce(base, "name"))
     calls = calls.select("*", dots.alias("dots"), F.coalesce(own, F.lit(False)).alias("own"), lookup.alias("lookup"))
-    index = symbol_index(rows)
+    index = symbol_index(rows) if index is None else index
     imports = local_imports(rows).withColumnRenamed("full_name", "full_import")
     here = index.select("path", F.col("name").alias("lookup"), F.lit(True).alias("local"))
     here_called = index.select("path", "name", F.lit(True).alias("local_called"))
@@ -106,15 +109,17 @@ def resolve_calls(rows: DataFrame, skip_external: bool = False) -> DataFrame:
     )
 
 
-def resolve_inheritance(rows: DataFrame) -> DataFrame:
+def resolve_inheritance(rows: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(path, child, parent, parent_path) of classes and their bases.
 
     A simple base: a class of the file, else what its import names, else, if nothing is imported so, the only file that defines
     it. A dotted base: what the import of its first part names. An import that names no file with such a class links nothing.
+    classes: (name, path, lang) of the classes that names are looked up in, the rows' own included; without it those of the rows.
     """
     e = rows.select("path", "lang", F.explode("classes").alias("c")).select("path", "lang", F.col("c.name").alias("child"), F.explode("c.bases").alias("base")).where("base <> 'object'").distinct()
     e = e.withColumn("parent", F.element_at(F.split("base", r"\."), -1)).withColumn("key", F.split_part("base", F.lit("."), F.lit(1)))
-    classes = rows.select("path", "lang", F.explode(F.transform("classes", lambda c: c["name"])).alias("name")).distinct()
+    if classes is None:
+        classes = rows.select("path", "lang", F.explode(F.transform("classes", lambda c: c["name"])).alias("name")).distinct()
     only = classes.groupBy("lang", F.col("name").alias("parent")).agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("only"))
     e = e.join(classes.select("path", F.col("name").alias("parent"), F.lit(True).alias("local")), ["path", "parent"], "left").join(local_imports(rows), ["path", "key"], "left").join(only, ["lang", "parent"], "left")
     through = first_through(e.where("full_name is not null").select("lang", F.col("parent").alias("name"), "full_name"), classes).withColumnRenamed("name", "parent")
@@ -131,66 +136,99 @@ def folders(files: DataFrame, root: str) -> DataFrame:
     return files.where(n > 0).select(F.explode(prefix).alias("path")).distinct().select("path", F.element_at(F.split("path", "/"), -1).alias("name"), parent(F.col("path")).alias("up"))
 
 
-def index_repository(files: DataFrame, root: str, name: str | None = None, is_dependency: bool = False, skip_external: bool = False) -> PropertyGraph:
-    """The graph of files (path, relative_path, text) of a repository at root. Files that can't be parsed stay as files."""
-    spark, root = files.sparkSession, root.rstrip("/")
-    rows = cut(parsed(files))
-    dep = F.lit(is_dependency)
+SEP = "\u0001"
+#: Labels of symbols that calls may lead to, beside functions, and of those that functions may be in.
+TYPES, HOLDERS = ("Class", "Struct", "Enum"), ("Class", "Struct", "Enum", "Trait")
+
+
+def _file_id() -> Column:
+    return F.concat_ws(SEP, F.lit("File"), "path")
+
+
+def _united(g: PropertyGraph, labels: tuple[str, ...], *columns: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [shaped(g.node(x), NODE_COLUMNS).select(*columns) for x in labels])
+
+
+def symbol_graph(rows: DataFrame, root: str, name: str | None = None, is_dependency: bool = False) -> PropertyGraph:
+    """What parse rows hold of themselves: the repository, its folders, files and symbols, and what contains, takes, imports and decorates what."""
+    spark, dep = rows.sparkSession, F.lit(is_dependency)
     nodes, edges = {}, {}
     repo = spark.createDataFrame([(root, name or root.rsplit("/", 1)[-1], is_dependency)], "path string, name string, is_dependency boolean")
     nodes["Repository"] = repo.withColumn("id", node_id("Repository"))
     dirs = folders(rows, root)
     nodes["Directory"] = dirs.select("path", "name").withColumn("id", node_id("Directory"))
-    nodes["File"] = rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "relative_path", "lang", dep.alias("is_dependency"), "error").withColumn("id", node_id("File"))
-    sep = "\u0001"
-    file_id = F.concat_ws(sep, F.lit("File"), "path")
-    folder = lambda up: F.when(up == root, F.concat_ws(sep, F.lit("Repository"), up)).otherwise(F.concat_ws(sep, F.lit("Directory"), up))
-    contains = [dirs.select(folder(F.col("up")).alias("src"), F.concat_ws(sep, F.lit("Directory"), "path").alias("dst")), rows.select(folder(parent(F.col("path"))).alias("src"), file_id.alias("dst"))]
+    file_name = F.element_at(F.split("path", "/"), -1)
+    nodes["File"] = rows.select("path", file_name.alias("name"), "relative_path", "lang", dep.alias("is_dependency"), "error").withColumn("id", node_id("File"))
+
+    def folder(up: Column) -> Column:
+        return F.when(up == root, F.concat_ws(SEP, F.lit("Repository"), up)).otherwise(F.concat_ws(SEP, F.lit("Directory"), up))
+
+    contains = [
+        dirs.select(folder(F.col("up")).alias("src"), F.concat_ws(SEP, F.lit("Directory"), "path").alias("dst")),
+        rows.select(folder(parent(F.col("path"))).alias("src"), _file_id().alias("dst")),
+    ]
 
     def symbols(label: str, column: str, kind: str | None = None) -> DataFrame:
         x = rows.select("path", "lang", dep.alias("is_dependency"), F.explode(column).alias("s")).select("path", "lang", "is_dependency", "s.*")
         x = x.where(F.col("kind") == kind) if kind else x
         x = x.withColumn("id", node_id(label)).dropDuplicates(["id"])
         nodes[label] = x
-        contains.append(x.select(file_id.alias("src"), F.col("id").alias("dst")))
+        contains.append(x.select(_file_id().alias("src"), F.col("id").alias("dst")))
         return x
 
     f = symbols("Function", "functions")
-    for label in ("Class", "Struct", "Enum", "Trait"):
+    for label in HOLDERS:
         symbols(label, "classes", label.lower())
     symbols("Variable", "variables")
-    types = nodes["Class"].select("id", "name", "path").unionByName(nodes["Struct"].select("id", "name", "path")).unionByName(nodes["Enum"].select("id", "name", "path"))
-    holders = types.unionByName(nodes["Trait"].select("id", "name", "path"))
-    contains.append(f.join(holders.select(F.col("id").alias("src"), F.col("name").alias("class_context"), "path"), ["class_context", "path"]).select("src", F.col("id").alias("dst")))
+    holders = _united(PropertyGraph(spark, nodes), HOLDERS, "id", "name", "path")
+    in_class = holders.select(F.col("id").alias("src"), F.col("name").alias("class_context"), "path")
+    contains.append(f.join(in_class, ["class_context", "path"]).select("src", F.col("id").alias("dst")))
     outer = f.select(F.col("id").alias("src"), F.col("name").alias("context"), "path")
     contains.append(f.where("context_type = 'function_definition'").join(outer, ["context", "path"]).select("src", F.col("id").alias("dst")))
-    every = contains[0]
-    for c in contains[1:]:
-        every = every.unionByName(c)
-    edges["CONTAINS"] = every.distinct()
-    p = f.select(F.col("id").alias("src"), "path", F.col("line_number").alias("function_line_number"), F.explode(F.array_distinct("args")).alias("name")).withColumn("dst", node_id("Parameter"))
-    nodes["Parameter"], edges["HAS_PARAMETER"] = p.select(F.col("dst").alias("id"), "name", "path", "function_line_number").dropDuplicates(["id"]), p.select("src", "dst").distinct()
+    edges["CONTAINS"] = reduce(DataFrame.unionByName, contains).distinct()
+    p = f.select(F.col("id").alias("src"), "path", F.col("line_number").alias("function_line_number"), F.explode(F.array_distinct("args")).alias("name"))
+    p = p.withColumn("dst", node_id("Parameter"))
+    nodes["Parameter"] = p.select(F.col("dst").alias("id"), "name", "path", "function_line_number").dropDuplicates(["id"])
+    edges["HAS_PARAMETER"] = p.select("src", "dst").distinct()
     i = rows.select("path", F.explode("imports").alias("i")).select("path", "i.*")
     nodes["Module"] = i.groupBy("name").agg(F.max_by("alias", "path").alias("alias"), F.min("full_import_name").alias("full_import_name")).withColumn("id", node_id("Module"))
-    edges["IMPORTS"] = i.groupBy("path", "name").agg(F.max("line_number").alias("line_number"), F.max_by("alias", "line_number").alias("alias")).select(file_id.alias("src"), F.concat_ws(sep, F.lit("Module"), "name").alias("dst"), "line_number", "alias", F.col("name").alias("imported_name"))
+    i = i.groupBy("path", "name").agg(F.max("line_number").alias("line_number"), F.max_by("alias", "line_number").alias("alias"))
+    edges["IMPORTS"] = i.select(_file_id().alias("src"), F.concat_ws(SEP, F.lit("Module"), "name").alias("dst"), "line_number", "alias", F.col("name").alias("imported_name"))
     d = f.select("id", "line_number", F.explode("decorators").alias("raw")).unionByName(nodes["Class"].select("id", "line_number", F.explode("decorators").alias("raw")))
     d = d.withColumn("name", normalised_decorator(F.col("raw")))
     nodes["Decorator"] = d.select("name").distinct().withColumn("id", node_id("Decorator"))
-    edges["DECORATED_BY"] = d.select(F.col("id").alias("src"), F.concat_ws(sep, F.lit("Decorator"), "name").alias("dst"), "line_number", "raw").dropDuplicates(["src", "dst"])
+    edges["DECORATED_BY"] = d.select(F.col("id").alias("src"), F.concat_ws(SEP, F.lit("Decorator"), "name").alias("dst"), "line_number", "raw").dropDuplicates(["src", "dst"])
+    return PropertyGraph(spark, nodes, edges)
+
+
+def linked(rows: DataFrame, g: PropertyGraph, skip_external: bool = False) -> PropertyGraph:
+    """The edges across files that start in parse rows: CALLS, INHERITS and IMPLEMENTS, with both ends among the symbols of a graph, which the names are looked up in."""
+    index = _united(g, ("Function", *HOLDERS), "name", "path", "lang").distinct()
+    classes = _united(g, HOLDERS, "name", "path", "lang").distinct()
+    types, c = _united(g, TYPES, "id", "name", "path"), g.node("Class").select("id", "name", "path")
+    edges = {}
     m = rows.select("path", F.explode("impls").alias("m")).select("path", "m.*")
-    traits = nodes["Trait"].select(F.col("id").alias("dst"), F.col("name").alias("trait_name"))
+    traits = g.node("Trait").select(F.col("id").alias("dst"), F.col("name").alias("trait_name"))
     edges["IMPLEMENTS"] = m.join(types.select(F.col("id").alias("src"), F.col("name").alias("type_name"), "path"), ["type_name", "path"]).join(traits, "trait_name").select("src", "dst", "line_number").distinct()
-    h = resolve_inheritance(rows)
-    c = nodes["Class"].select("id", "name", "path")
-    edges["INHERITS"] = h.join(c.select(F.col("id").alias("src"), F.col("name").alias("child"), "path"), ["child", "path"]).join(c.select(F.col("id").alias("dst"), F.col("name").alias("parent"), F.col("path").alias("parent_path")), ["parent", "parent_path"]).select("src", "dst").distinct()
-    calls = resolve_calls(rows, skip_external)
-    to = f.select(F.col("id").alias("dst"), F.col("name").alias("called_name"), F.col("path").alias("called_path")).unionByName(types.select(F.col("id").alias("dst"), F.col("name").alias("called_name"), F.col("path").alias("called_path")))
-    calls = calls.join(to, ["called_name", "called_path"])
-    symbols_here = f.select("id", "name", "path", "line_number").unionByName(nodes["Class"].select("id", "name", "path", "line_number"))
-    callers = symbols_here.select(F.col("id").alias("caller"), F.col("name").alias("caller_name"), "path", F.col("line_number").alias("caller_line"))
-    calls = calls.join(callers, ["caller_name", "path", "caller_line"], "left").withColumn("src", F.coalesce("caller", file_id))
+    h = resolve_inheritance(rows, classes)
+    h = h.join(c.select(F.col("id").alias("src"), F.col("name").alias("child"), "path"), ["child", "path"])
+    edges["INHERITS"] = h.join(c.select(F.col("id").alias("dst"), F.col("name").alias("parent"), F.col("path").alias("parent_path")), ["parent", "parent_path"]).select("src", "dst").distinct()
+    f = g.node("Function").select("id", "name", "path", "line_number")
+    to = f.select("id", "name", "path").unionByName(types).select(F.col("id").alias("dst"), F.col("name").alias("called_name"), F.col("path").alias("called_path"))
+    calls = resolve_calls(rows, skip_external, index).join(to, ["called_name", "called_path"])
+    callers = f.unionByName(g.node("Class").select("id", "name", "path", "line_number"))
+    callers = callers.select(F.col("id").alias("caller"), F.col("name").alias("caller_name"), "path", F.col("line_number").alias("caller_line"))
+    calls = calls.join(callers, ["caller_name", "path", "caller_line"], "left").withColumn("src", F.coalesce("caller", _file_id()))
     edges["CALLS"] = calls.select("src", "dst", "line_number", "args", "full_call_name").dropDuplicates(["src", "dst", "line_number", "args", "full_call_name"])
-    return PropertyGraph(spark, nodes, edges)
+    return PropertyGraph(g.spark, {}, edges)
+
+
+def index_repository(files: DataFrame, root: str, name: str | None = None, is_dependency: bool = False, skip_external: bool = False) -> PropertyGraph:
+    """The graph of files (path, relative_path, text) of a repository at root. Files that can't be parsed stay as files, with their error."""
+    root = root.rstrip("/")
+    rows = cut(parsed(files))
+    g = symbol_graph(rows, root, name, is_dependency)
+    return PropertyGraph(g.spark, g.nodes, g.edges | linked(rows, g, skip_external).edges)
 
 
 def call_groups(g: PropertyGraph) -> DataFrame:
