@@ -36,3 +36,24 @@ def parsed(files: DataFrame) -> DataFrame:
     parts = F.split(bare, "-")
     get = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit("unknown"))
     return files.select("*", F.get(parts, F.lit(0)).alias("name"), get(1).alias("version"), get(2).alias("commit"), bare.alias("full_name"), F.concat(F.format_number(F.col("size_bytes") / (1024 * 1024), 1), F.lit("MB")).alias("size"))
+
+
+#: The suffix of snapshot files, and what a listing says where a field is missing.
+SUFFIX, UNKNOWN = ".cgc", "unknown"
+
+
+def listing(manifest: DataFrame, release: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
+    """A manifest's bundles and those of the latest release (bundle_name, size_bytes, download_url, generated_at), as one list; doubles stay."""
+    own = parsed(release.where(F.col("bundle_name").endswith(SUFFIX)))
+    both = manifest.withColumn("source", F.lit("manifest")).unionByName(own.withColumn("source", F.lit("release")), allowMissingColumns=True)
+    for c in ("version", "commit"):
+        both = both.withColumn(c, F.coalesce(c, F.lit(UNKNOWN)))
+    kind = F.lit(None).cast("string")
+    for name, category in (categories or {}).items():
+        kind = F.when(F.col("name") == name, category).otherwise(kind)
+    return both.withColumn("category", F.coalesce(kind, F.lit("other"))).orderBy("name", "full_name", "source")
+
+
+def by_language(nodes: DataFrame, label: str, lang: str) -> DataFrame:
+    """Symbols of one label in one language, from the union view of nodes; letter case of either doesn't matter."""
+    return nodes.where((F.lower("label") == label.lower()) & (F.lower("lang") == lang.lower())).select("label", "name", "path", "line_number", "lang").orderBy("path", "line_number", "name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,47 @@ def ignored_by(path: Column, patterns: list[str]) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, ignore_dirs: tuple[str, ...] = IGNORE_DIRS, max_mb: float | None = None, hidden: bool = True, tests: bool = True) -> DataFrame:
+#: The name of ignore files.
+IGNORE_FILE = ".srcgraphignore"
+
+
+def find_ignore_file(root: str | Path, explicit: str | Path | None = None) -> Path | None:
+    """The nearest ignore file from root up to the top of its git working tree; outside of one only root's own; else an explicit one."""
+    root = Path(root).resolve()
+    top = next((p for p in (root, *root.parents) if (p / ".git").exists()), root)
+    for at in (root, *root.parents):
+        if (at / IGNORE_FILE).is_file():
+            return at / IGNORE_FILE
+        if at == top:
+            break
+    return Path(explicit) if explicit and Path(explicit).is_file() else None
+
+
+def ensure_ignore_file(root: str | Path, defaults: tuple[str, ...] = DEFAULT_PATTERNS) -> Path:
+    """Root's ignore file, written with the default patterns if there is none."""
+    path = Path(root) / IGNORE_FILE
+    if not path.exists():
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("# Patterns of files that are not indexed\n" + "\n".join(defaults) + "\n")
+    return path
+
+
+def ignore_patterns(root: str | Path, explicit: str | Path | None = None, defaults: tuple[str, ...] = DEFAULT_PATTERNS) -> list[str]:
+    """The patterns that hold below root: of the nearest ignore file, or a new one, then an explicit one, then the defaults. The last that matches decides."""
+    own = find_ignore_file(root) or ensure_ignore_file(root, defaults)
+    found = pattern_lines(own.read_text())
+    if explicit and Path(explicit).is_file() and Path(explicit).resolve() != own.resolve():
+        found += pattern_lines(Path(explicit).read_text())
+    return [*found, *defaults]
+
+
+def file_text(spark: SparkSession, path: str) -> str:
+    """The text of one file, read as Spark reads it, so from any store."""
+    row = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text")).first()
+    return "" if row is None else row["text"]
+
+
+def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, ignore_dirs: tuple[str, ...] = IGNORE_DIRS, max_mb: float | None = None, hidden: bool = True, tests: bool = True, max_depth: int | None = None) -> DataFrame:
     """Files of supported kinds below root: path, relative_path, text. Folder names of ignore_dirs count in any case.
 
     Names and sizes decide before contents are read: the filters are on the file listing's columns.
@@ -75,6 +116,8 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, igno
         files = files.where(~F.exists(F.split("relative_path", "/"), lambda p: p.startswith(".")))
     if not tests:
         files = files.where(~F.element_at(F.split("relative_path", "/"), -1).rlike(r"^test_|_test\.[a-z]+$"))
+    if max_depth is not None:
+        files = files.where(F.size(folders) <= max_depth)
     if max_mb:
         files = files.where(F.col("length") <= int(max_mb * 1024 * 1024))
     return files.select("path", "relative_path", F.decode("content", "UTF-8").alias("text"))
