@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import drop, narrow, read, stage
+from .staging import drop, narrow, read, stage, unveiled, veiled
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Rows that a sender holds at once; a larger partition is several senders.
@@ -39,17 +39,20 @@ def rice(gaps: np.ndarray, k: int) -> bytes:
 def unrice(code: bytes, n: int, k: int) -> np.ndarray:
     """The n integers of rice()."""
     bits = np.unpackbits(np.frombuffer(code, np.uint8))
-    zeros = np.flatnonzero(bits == 0).tolist()
-    out, at, z = np.zeros(n, np.uint64), 0, 0
-    heads = np.empty(n, np.int64)
-    import bisect
-
-    for i in range(n):  # the end of each unary part is the first zero at or after its start
-        if zeros[z] < at:
-            z = bisect.bisect_left(zeros, at, z)
-        heads[i] = zeros[z]
-        out[i] = zeros[z] - at
-        at = zeros[z] + 1 + k
+    if k == 0:
+        heads = np.flatnonzero(bits == 0)[:n]
+        return np.diff(heads, prepend=-1).astype(np.uint64) - np.uint64(1)
+    # an integer that starts at bit i ends k bits behind the first zero from i on: follow these steps in jumps of doubling length
+    zero = np.flatnonzero(bits == 0)
+    after = np.full(len(bits) + 1, len(bits), np.int64)
+    after[: len(bits)] = np.append(zero, len(bits))[np.searchsorted(zero, np.arange(len(bits)))]
+    step = np.minimum(after + 1 + k, len(bits))
+    starts = np.zeros(1, np.int64)
+    while len(starts) < n:
+        starts = np.concatenate([starts, step[starts]])  # starts holds the first 2^j of them, step leads 2^j on
+        step = step[step]
+    heads = after[starts[:n]]
+    out = (heads - starts[:n]).astype(np.uint64)
     for j in range(k):
         out = (out << np.uint64(1)) | bits[heads + 1 + j]
     return out
@@ -122,8 +125,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are without [\\x20\\x09-\\x0D]; null counts as empty. The one with the most code points, then
-    the smallest doc_id, stays. Rows that repeat a doc_id with an equal text are copies that share keep_id and `kept`.
-    No documents, no rows.
+    the smallest doc_id, stays; a null doc_id comes after all others. Rows that repeat a doc_id with an equal text are copies that
+    share keep_id and `kept`. A very long text is hashed whole. No documents, no rows. Other columns of docs are not read.
     """
     owners = max(4, docs.rdd.getNumPartitions())
     rows = stage(digests(docs, owners), "dedup-digests")
@@ -139,8 +142,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     texts = texts.join(narrow(ids), texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     # the bytes themselves are the key; map sides have already summed them up before they are moved
     same = texts.groupBy("bare").agg(F.count(F.lit(1)).alias("group_size")).select(F.sha2("bare", 256).alias("sha"), "group_size")
-    best = suspects.groupBy("sha").agg(F.max("points").alias("points"))
-    best = suspects.join(best, ["sha", "points"]).groupBy("sha").agg(F.min("doc_id").alias("keep_id"))
+    rank = F.struct((-F.col("points")).alias("longest"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    best = suspects.groupBy("sha").agg(F.min(rank)["doc_id"].alias("keep_id"))  # an aggregate, so hot groups are combined before they are moved
     groups = stage(same.join(best, "sha"), "dedup-groups")
     doubled = suspects.join(groups, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     single = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -153,19 +156,25 @@ def op8_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(docs: DataFrame) -> DataFrame:
-    """docs without the copies that exact_dedup drops. Of rows that repeat a kept doc_id with an equal text the longest stays."""
+    """docs without the copies that exact_dedup drops: of equal texts one row stays, the longest, then the one of the least doc_id.
+
+    Rows are told apart by doc_id, null included, and text, so a number that other texts have too loses none of them. Null and
+    empty texts are equal. Of rows with one doc_id and text one stays. No documents, no rows; the columns are those of docs.
+    """
     found = stage(exact_dedup(docs), "dedup-found")
-    names = docs.columns
+    x, names = veiled(docs)
+    own_id, text = names["doc_id"], names["text"]
     # a doc_id may be null or that of other texts too, so it decides together with the digest
-    doubled = found.where("group_size > 1").select(F.col("doc_id").alias("_id"), F.substring("text_sha256", 1, 32).alias("_mark"), "kept")
-    pairs = doubled.groupBy("_id", "_mark").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("not _kept or _n > 1")
-    pairs = stage(pairs.select("_id", "_mark", "_kept"), "dedup-pairs")
-    own = docs.withColumn("_own", F.substring(F.sha2(bare(F.col("text")), 256), 1, 32))
-    x = own.join(narrow(pairs), own["doc_id"].cast("long").eqNullSafe(pairs["_id"]) & (own["_own"] == pairs["_mark"]), "left")
-    alone = x.where(F.col("_kept").isNull()).select(*names)
-    best = F.max_by(F.struct(*[F.col(n) for n in names]), F.struct(F.length("text"), "text"))
-    once = x.where("_kept").groupBy("_id", "_mark").agg(best.alias("_best")).select("_best.*")
-    return alone.unionByName(once)
+    doubled = found.where("group_size > 1").select(F.col("doc_id").alias("id"), F.substring("text_sha256", 1, 32).alias("mark"), "kept")
+    pairs = doubled.groupBy("id", "mark").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    pairs = stage(pairs.select("id", "mark", "kept"), "dedup-pairs")
+    drop(found)
+    x = x.withColumn("own", F.substring(F.sha2(bare(F.col(text)), 256), 1, 32))
+    x = x.join(narrow(pairs), x[own_id].cast("long").eqNullSafe(pairs["id"]) & (x["own"] == pairs["mark"]), "left")
+    alone = unveiled(x.where("kept is null"), names)
+    best = F.max_by(F.struct(*names.values()), F.struct(F.length(text), text))
+    once = x.where("kept").groupBy("id", "mark").agg(best.alias("best")).select("best.*")
+    return alone.unionByName(unveiled(once, names))
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .numbering import hex_key, running
-from .staging import drop, read, stage
+from .staging import drop, read, stage, unveiled, veiled
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -76,18 +76,23 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """docs as the mix reads them: each as often as its words are taken (to whole documents), each pass at its own position."""
-    names = docs.columns
+    """docs as the mix reads them: each as often as its words are taken (to whole documents), each pass at its own position.
+
+    Rows are told apart by all their columns; rows equal in all take their passes together. Texts without words are not taken.
+    No documents, no rows; the columns are those of docs.
+    """
+    x, names = veiled(docs)
     # a doc_id may be null or that of other rows too, so a hash of the whole row decides with it
-    own = docs.withColumn("_mark", F.xxhash64(*names, *[F.col(n).isNull() for n in names]))
+    x = x.withColumn("_mark", F.xxhash64(*names.values(), *[F.col(c).isNull() for c in names.values()]))
+    own = x.select(*[F.col(names[n]).alias(n) for n in ("doc_id", "source", "text")], "_mark")
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     taken = mix(own, each_pass=True).select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_row"), F.col("_key").alias("_order"), F.slice("positions", F.lit(1), times).alias("_takes"))
     taken = taken.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_n"), F.flatten(F.collect_list("_takes")).alias("_takes"), F.first("_order").alias("_order")).where("size(_takes) > 0")
-    x = own.join(taken, own["doc_id"].eqNullSafe(taken["_id"]) & (own["_mark"] == taken["_row"]))
+    x = x.join(taken, x[names["doc_id"]].eqNullSafe(taken["_id"]) & (x["_mark"] == taken["_row"]))
     # rows equal in all columns take their passes together
     x = x.where("_n = 1").unionByName(x.where("_n > 1").dropDuplicates(["_id", "_row"]))
     x = x.withColumn("_at", F.explode("_takes"))
-    return x.repartitionByRange("_at", "_order", "_row").sortWithinPartitions("_at", "_order", "_row").select(*names)
+    return unveiled(x.repartitionByRange("_at", "_order", "_row").sortWithinPartitions("_at", "_order", "_row"), names)
 
 
 ORACLE_SQL = r"""

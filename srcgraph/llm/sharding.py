@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .numbering import hex_key, running, unit
-from .staging import read
+from .staging import read, veiled
 
 SHARDS = 16
 
 
-def rendezvous(key: Column, weights: list[float]) -> Column:
+def rendezvous(key: Column, weights: tuple[float, ...]) -> Column:
     """The shard of a key: the least -ln(u)/weight, u a uniform hash of key and shard; ties go to the lower shard.
 
     A further shard takes over only the keys on which it wins, and each shard holds keys in proportion to its weight.
@@ -21,16 +21,23 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return costs[0]["s"] if len(costs) == 1 else F.array_min(F.array(*costs))["s"]
 
 
-def shard(docs: DataFrame, weights: list[float] = [1.0] * SHARDS, grown: float = 1.0, key: str = "doc_id") -> DataFrame:
-    """docs with size, text_crc32, shard, slot and grown_shard (the shard if one more of weight `grown` existed).
+NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
-    A null key counts as the empty key; a null text has size 1 and the CRC of no bytes. Repeated rows share a shard and
-    have slots of their own. Columns of docs by the names of new ones are replaced; others stay.
+
+def shard(docs: DataFrame, weights: tuple[float, ...] = (1.0,) * SHARDS, grown: float = 1.0, key: str = "doc_id") -> DataFrame:
+    """docs with size, text_crc32, law, shard, slot and grown_shard (the shard if one more of weight `grown` existed).
+
+    A null key counts as the empty key; a null text has size 1 and the CRC of no bytes. Repeated rows share a shard and have
+    slots of their own, as have equal keys, in the order of CRC and size. A very long text is read whole. No documents, no rows.
+    Columns of docs by the names of new ones are replaced; all others stay. Weights must be above 0.
     """
-    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("key"), "shard": rendezvous(F.col(key), weights), "grown_shard": rendezvous(F.col(key), [*weights, grown]), "_key": hex_key(F.col(key))})
-    return running(out, ["shard"], "_key", [key, "text_crc32", "size"], F.lit(1), docs.count(), "slot").drop("_key")
+    if not weights or min(*weights, grown) <= 0:
+        raise ValueError("weights of shards must be above 0")
+    x, names = veiled(docs.drop(*NEW))
+    own, text = F.col(names[key]), F.coalesce(F.col(names["text"]), F.lit(""))
+    x = x.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("key"), "shard": rendezvous(own, weights), "grown_shard": rendezvous(own, (*weights, grown)), "order": hex_key(own)})
+    x = running(x, ["shard"], "order", [names[key], "text_crc32", "size"], F.lit(1), docs.count(), "slot")
+    return x.select(*[F.col(c).alias(n) for n, c in names.items()], *NEW)
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

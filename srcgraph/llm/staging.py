@@ -7,19 +7,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcgraph.session import shared_folder
+
 #: A join side of at most this many narrow rows (ids and numbers) may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+#: Rows that scans read at once, where rows are wide.
+FEW_ROWS, BATCH_ROWS = 256, "spark.sql.parquet.columnarReaderBatchSize"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back."""
-    path = f"{root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def stage(df: DataFrame, name: str, compression: str = "snappy", row_group: int = 128 << 20, wide: bool = False) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read back. row_group: bytes that writers, and readers of a column, hold.
+    wide: the scans that df begins with read FEW_ROWS at once."""
+    path, conf = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    usual = conf.get(BATCH_ROWS)
+    try:
+        if wide:
+            conf.set(BATCH_ROWS, FEW_ROWS)
+        df.write.option("parquet.block.size", row_group).parquet(path, compression=compression)
+    finally:
+        conf.set(BATCH_ROWS, usual)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -41,3 +49,14 @@ def narrow(ids: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def veiled(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1 and so on, which clash with no column of an operator, and what they stand for: {name: c...}."""
+    names = {n: f"c{i}" for i, n in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def unveiled(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Only the columns that veiled() renamed, by their own names."""
+    return df.select(*[F.col(c).alias(n) for n, c in names.items()])
