@@ -6,7 +6,7 @@ gets all occurrences that end in its words, as words' hashes with document numbe
 counts to the occurrences at once; c(v) of the bigrams that count is asked of the owner of v. What is frequent would make
 owners uneven: words and bigrams of at least HOT of all are counted first. The bigrams among them are scored where they
 stand, and occurrences that end in such a word are dealt by the whole bigram. Sums by document end it.
-Words are told apart by 48 bits of a hash.
+Words are told apart by 64 bits of a hash.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .staging import read, stage
+from .staging import drop, read, stage
 
 ALPHA, MIN_COUNT = 0.4, 2
 #: Share of all words that makes a word or bigram frequent; there are at most 1 / HOT of each.
@@ -27,16 +27,16 @@ HOT = 0.001
 HELD = 1_500_000
 #: Occurrences that an owner joins to their counts at once; more words than that of one part are taken in turns.
 TURN = 250_000
-START = np.uint64(0x0123456789AB)
+START = np.uint64(0x0123456789ABCDEF)
 U = np.uint64
 
 
 def bigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word: its 48-bit hash, that of the word before or START, and the number of its text."""
+    """For every word: its hash, that of the word before or START, and the number of its text."""
     codes, starts = textkit.joined(texts)
     codes = textkit.lowered(codes)
     first, last = textkit.runs(~textkit.table("ascii_space")[codes])
-    w = textkit.hashes(codes, first, last) >> U(16)
+    w = textkit.hashes(codes, first, last)
     doc = np.searchsorted(starts, first, "right") - 1
     v = np.concatenate(([START], w[:-1])) if len(w) else w
     return w, np.where(np.diff(doc, prepend=-1) != 0, START, v), doc
@@ -80,7 +80,7 @@ def tally(docs: DataFrame, known: tuple[np.ndarray, np.ndarray] | None) -> DataF
 
 
 def part_of(w: np.ndarray, parts: int) -> np.ndarray:
-    return ((w >> U(16)) * U(parts) >> U(32)).astype(np.int64)
+    return ((w >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
 def groups(*keys: np.ndarray) -> np.ndarray:
@@ -95,12 +95,12 @@ def groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def pack_rows(words: np.ndarray, others: np.ndarray | None, docs: np.ndarray, negative: bool = False) -> bytes:
-    """Rows sorted by words as runs of them: counts, words (8 bytes), run lengths (4), others (6), docs (2 or 4)."""
+    """Rows sorted by words as runs of them: counts, words (8 bytes), run lengths (4), others (8), docs (2 or 4)."""
     head = groups(words)
     wide = len(docs) and int(docs.max()) > 65535
     out = [np.array([len(head), len(words), wide], np.uint32).tobytes(), words[head].tobytes(), np.diff(np.append(head, len(words))).astype(np.uint32).tobytes()]
     if others is not None:
-        out += [others.astype(np.uint32).tobytes(), (others >> U(32)).astype(np.uint16).tobytes()]
+        out.append(others.tobytes())
     return b"".join([*out, docs.astype(np.uint32 if wide else np.uint16).tobytes()])
 
 
@@ -115,8 +115,8 @@ def runs_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """Words, run lengths, where runs begin and end, others and docs of pack_rows()."""
     m, n, wide = np.frombuffer(blob, np.uint32, 3).tolist()
     times, at = np.frombuffer(blob, np.uint32, m, 12 + 8 * m).astype(np.int64), 12 + 12 * m
-    others = np.frombuffer(blob, np.uint32, n, at).astype(U) | np.frombuffer(blob, np.uint16, n, at + 4 * n).astype(U) << U(32)
-    return np.frombuffer(blob, U, m, 12), times, np.concatenate(([0], np.cumsum(times))), others, np.frombuffer(blob, np.uint32 if wide else np.uint16, n, at + 6 * n)
+    others = np.frombuffer(blob, U, n, at)
+    return np.frombuffer(blob, U, m, 12), times, np.concatenate(([0], np.cumsum(times))), others, np.frombuffer(blob, np.uint32 if wide else np.uint16, n, at + 8 * n)
 
 
 def pack_sums(docs: np.ndarray, values: np.ndarray, hits: np.ndarray) -> bytes:
@@ -149,9 +149,11 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT)
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(8, docs.rdd.getNumPartitions())
-    first = tally(docs, None).where(f"kind in (0, 3) or n >= {HOT} * 1").collect()  # at most 4 / HOT rows a task, before they are summed
-    total = next((r["n"] for r in first if r["kind"] == 0), 0)
-    candidates = tuple(np.array(sorted(r["key"] & (2**64 - 1) for r in first if r["kind"] == k and r["n"] >= HOT / 2 * total), U) for k in (1, 2))
+    told = stage(tally(docs, None), "lm-tally")
+    total = (told.where("kind = 0").first() or {"n": 0})["n"]
+    first = told.where(F.col("kind").isin(1, 2) & (F.col("n") >= HOT / 2 * total)).collect()  # at most 2 / HOT of either kind
+    drop(told)
+    candidates = tuple(np.array(sorted(r["key"] & (2**64 - 1) for r in first if r["kind"] == k), U) for k in (1, 2))
     exact = tally(docs, candidates).collect()
     starts = sum(r["n"] for r in exact if r["kind"] == 3)
     words_hot, pairs_hot = ({r["key"] & (2**64 - 1): r["n"] for r in exact if r["kind"] == k and r["n"] >= HOT * total} for k in (1, 2))
@@ -161,13 +163,17 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT)
     hp = np.array(sorted(pairs_hot), U)
     hpc = np.array([pairs_hot[int(k)] for k in hp], np.int64)
 
+    def beside(sender: int) -> int:
+        """A part of its own kind for rows that owners only pass on, spread evenly."""
+        return parts + int(textkit.mix64(np.array([sender], U))[0] % U(parts))
+
     def send(batches):
         task, count, size, place = TaskContext.get().partitionId(), 0, 0, 0
         held = []
 
         def tell(sender):
             w, v, d = (np.concatenate(x) for x in zip(*held))
-            part = part_of(np.where(lookup(hw, hc, w) > 0, pair(v, w) >> U(16), w), parts)
+            part = part_of(np.where(lookup(hw, hc, w) > 0, pair(v, w), w), parts)
             order = np.argsort(w, kind="stable")
             order = order[np.argsort(part[order], kind="stable")]
             w, v, d, part = w[order], v[order], d[order], part[order]
@@ -180,13 +186,13 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT)
             w, v, doc = bigrams(texts)
             sender, m = task << 20 | count, len(texts)
             n = np.bincount(doc, minlength=m)
-            yield batch([(DOCUMENT, parts + sender % parts, sender, i, place + j, k, None) for j, (i, k) in enumerate(zip(rows.column("doc_id").to_pylist(), n.tolist()))])
+            yield batch([(DOCUMENT, beside(sender), sender, i, place + j, k, None) for j, (i, k) in enumerate(zip(rows.column("doc_id").to_pylist(), n.tolist()))])
             times = lookup(hp, hpc, pair(v, w))
             local = (times > 0) & (times >= min_count)
             if local.any():
                 value = np.log(times[local]) - np.log(lookup(hw, hc, v[local]))
                 at = np.flatnonzero(hit := np.bincount(doc[local], minlength=m))
-                yield batch([(SUMS, parts + sender % parts, sender, None, None, None, pack_sums(at + place, np.bincount(doc[local], value, m)[at], hit[at]))])
+                yield batch([(SUMS, beside(sender), sender, None, None, None, pack_sums(at + place, np.bincount(doc[local], value, m)[at], hit[at]))])
             held.append((w[~local], v[~local], doc[~local] + place))
             place, size = place + m, size + int((~local).sum())
             if size >= HELD:
