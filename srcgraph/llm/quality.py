@@ -1,7 +1,9 @@
 """Text quality by positive-unlabelled learning.
 
 A linear model on statistics of whole texts minimises the non-negative risk pi R+(P) + max(0, R-(U) - pi R-(P)) with the
-logistic loss: P trusted texts, U any texts of the corpus, pi the estimated share of good ones.
+logistic loss: P trusted texts, U any texts of the corpus, pi the share of good ones, estimated from P and U alone: no region of
+scores can hold a smaller part of U than pi times its part of P, so the least ratio of the two over regions bounds pi and meets
+it where bad texts are absent. Labels of bad texts are not used.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .staging import read
 #: Trusted texts, and unlabelled ones, that are learned from, about.
 SAMPLE = 4000
 ROUNDS, RATE, DECAY = 400, 0.05, 2e-3
-#: The share of good texts where no label tells it.
-PRIOR = 0.8
+#: The share of good texts where there are none to estimate it from; and the least share of trusted texts that an estimate rests on.
+PRIOR, LEAST_TAIL = 0.8, 0.2
 #: Signs with a class of their own.
 SIGNS = ".,!?|*#$%&-_/\\:;'\"()[]{}<>@=+~^"
 KINDS = 7 + len(SIGNS)
@@ -94,30 +96,76 @@ def rows_of(docs: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(bytes(r) for r in found), np.float32).reshape(-1, WIDTH).astype(np.float64)
 
 
-def fit(good: np.ndarray, any_: np.ndarray, prior: float) -> np.ndarray:
-    """Weights for raw features and, last, the bias."""
-    if not len(good) or not len(any_):
-        out = np.zeros(WIDTH + 1)
-        out[-1] = np.log(prior / (1 - prior))
-        return out
+def scaled(good: np.ndarray, any_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     mean, std = any_.mean(0), any_.std(0) + 1e-2
-    p, u = np.clip((good - mean) / std, -8, 8), np.clip((any_ - mean) / std, -8, 8)
-    w, b = np.zeros(WIDTH), 0.0
-    m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return np.clip((good - mean) / std, -8, 8), np.clip((any_ - mean) / std, -8, 8), mean, std
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def risks(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk with the logistic loss: pi R+(P), and R-(U) - pi R-(P), which an estimate may take below zero."""
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """By each score of P and of U, the slope of the risk; where its second part is below zero, that part's alone, turned back."""
+    positive, cu = -prior * sigmoid(-gp) / len(gp), sigmoid(gu) / len(gu)
+    negative = -prior * sigmoid(gp) / len(gp)
+    if risks(gp, gu, prior)[1] >= 0:
+        return positive + negative, cu
+    return -negative, -cu
+
+
+def descend(p: np.ndarray, u: np.ndarray, slope) -> tuple[np.ndarray, float]:
+    """Weights and bias that lower a risk whose slopes by scores are slope(gp, gu)."""
+    w, b = np.zeros(p.shape[1]), 0.0
+    m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for t in range(1, ROUNDS + 1):
-        gp, gu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        cp, cu = -prior * sigmoid(-gp) / len(p), sigmoid(gu) / len(u)
-        cn = -prior * sigmoid(gp) / len(p)
-        if negative >= 0:
-            grad = np.append(p.T @ (cp + cn) + u.T @ cu, (cp + cn).sum() + cu.sum())
-        else:  # the estimate has gone below zero: step back up on that part
-            grad = -np.append(p.T @ cn + u.T @ cu, cn.sum() + cu.sum())
+        cp, cu = slope(p @ w + b, u @ w + b)
+        grad = np.append(p.T @ cp + u.T @ cu, cp.sum() + cu.sum())
         grad[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+    return w, b
+
+
+def least_ratio(gp: np.ndarray, gu: np.ndarray) -> float:
+    """The least ratio of U's part to P's part above a score, over the scores that LEAST_TAIL of P or more are above.
+
+    Each ratio counts with its standard error on top, or the least of many would be too low by chance.
+    """
+    found = []
+    for c in np.quantile(gp, np.linspace(0, 1 - LEAST_TAIL, 41)):
+        n, m = int((gp >= c).sum()), int((gu >= c).sum())
+        p, u = n / len(gp), m / len(gu)
+        found.append(u / p * (1 + np.sqrt((1 - p) / n + (1 - u) / max(m, 1))))
+    return float(min(found))
+
+
+def class_prior(good: np.ndarray, any_: np.ndarray) -> float:
+    """The estimated share of good texts among any: P is told from U on one half, the ratio taken on the other, both ways; the mean."""
+    if len(good) < 20 or len(any_) < 20:
+        return PRIOR
+    p, u, *_ = scaled(good, any_)
+    found = []
+    for k in (0, 1):
+        w, b = descend(p[k::2], u[k::2], lambda gp, gu: (-0.5 * sigmoid(-gp) / len(gp), 0.5 * sigmoid(gu) / len(gu)))
+        found.append(least_ratio(p[1 - k :: 2] @ w + b, u[1 - k :: 2] @ w + b))
+    return min(0.98, max(0.02, float(np.mean(found))))
+
+
+def fit(good: np.ndarray, any_: np.ndarray, prior: float) -> np.ndarray:
+    """Weights for raw features and, last, the bias."""
+    if not len(good) or not len(any_):
+        out = np.zeros(WIDTH + 1)
+        out[-1] = np.log(prior / (1 - prior))
+        return out
+    p, u, mean, std = scaled(good, any_)
+    w, b = descend(p, u, lambda gp, gu: slopes(gp, gu, prior))
     return np.concatenate([w / std, mean, std, [b]])
 
 
@@ -134,13 +182,15 @@ def drawn(df: DataFrame, n: int, rows: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """A model from documents (doc_id, text) and the labels (doc_id, quality) that may be learned from; null labels tell nothing."""
-    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect() if r["quality"] is not None}
-    good, bad = counts.get(1, 0), counts.get(0, 0)
-    prior = min(0.98, max(0.02, good / (good + bad))) if good and bad else PRIOR
-    ids = drawn(labels.where("quality = 1").select("doc_id"), sample, good).distinct()
-    trusted = docs.join(F.broadcast(ids), "doc_id", "left_semi")  # about `sample` rows
-    return fit(rows_of(trusted), rows_of(drawn(docs, sample, docs.count())), prior)
+    """A model from documents (doc_id, text) and the labels (doc_id, quality) of those that may be trusted, quality 1; others tell nothing.
+
+    Two bounded samples are learned from, of about `sample` rows each. Without a trusted text the score is PRIOR for every text.
+    """
+    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    ids = drawn(trusted, sample, trusted.count())
+    good = rows_of(docs.join(F.broadcast(ids), "doc_id", "left_semi"))  # about `sample` ids
+    any_ = rows_of(drawn(docs, sample, docs.count()))
+    return fit(good, any_, class_prior(good, any_))
 
 
 def predict(docs: DataFrame, model: np.ndarray, carry: list[str] | None = None) -> DataFrame:
@@ -150,7 +200,7 @@ def predict(docs: DataFrame, model: np.ndarray, carry: list[str] | None = None)
 
     def look(batches):
         for rows, texts, _ in textkit.chunks(batches):
-            score = 1 / (1 + np.exp(-np.clip(logits(features(texts).astype(np.float64), model), -40, 40)))
+            score = sigmoid(logits(features(texts).astype(np.float64), model))
             yield from rows.select(carry).append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= 0.5).astype(np.int32))).to_batches()
 
     return docs.mapInArrow(look, T.StructType([*docs.select(*carry).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
