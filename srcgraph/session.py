@@ -9,7 +9,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_CONF, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "16777216"
+BATCH_CONF, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "4194304"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
