@@ -25,9 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         to = both.groupBy("a").agg(F.min(F.col("b").bitwiseXOR(salt)).alias("b"))
         to = to.select("a", F.least("b", F.col("a").bitwiseXOR(salt)).bitwiseXOR(salt).alias("t"))
+        near = to = stage(to, "components-near")
         for _ in range(2):
-            after = to.select(F.col("a").alias("t"), F.col("t").alias("t2"))
-            to = stage(to.join(after, "t").select("a", F.col("t2").alias("t")), "components-step")
+            after = near.select(F.col("a").alias("t"), F.col("t").alias("t2"))
+            to = to.join(after, "t").select("a", F.col("t2").alias("t"))
+        to = stage(to, "components-step")
+        drop(near)
         steps.append(to)
         left = to.select(F.col("a").alias("u"), F.col("t").alias("x"))
         right = to.select(F.col("a").alias("v"), F.col("t").alias("y"))

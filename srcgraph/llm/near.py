@@ -1,41 +1,42 @@
 """Near-duplicate texts: an exact Jaccard join of word shingles.
 
 Of similar sets one shingle at least is common to both prefixes, the first quarter of each set in an order all sets share
-(frequent shingles last). Documents that share such a shingle meet in tiles: bands of set size, cut into blocks. In a tile
-the bits in which two hashed bitmaps differ bound the overlap from above; pairs that pass are intersected as sorted arrays.
-Only connected components are wanted, so first turns join each document to one or two others of its tokens, and tiles then
-compare documents of different components only; of the pairs that pass there, each set's likeliest one is intersected first,
-and pairs that this brings together are not. No pair of different components is left out.
+(frequent shingles last). Sets that share such a shingle meet in tiles: bands of set size, cut into blocks. In a tile the
+bits in which two hashed bitmaps differ bound the overlap from above; pairs that pass are intersected as sorted arrays.
+Only connected components are wanted. So in first turns only the likeliest pairs of a tile are tested, as many as could join
+all of it: for one token of each set, then for the tokens that many sets share. The last turn compares all sets that are still
+in different components, without the pairs already found unlike, and a call leaves out pairs that its own links bring together.
+No other pair is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
 from .components import components
-from .staging import BROADCAST_ROWS, drop, narrow, read, stage
+from .staging import drop, narrow, read, stage, unveiled, veiled
 
 WORDS = 5
 #: Shared / united shingles, in hundredths.
 LEAST = 75
 #: Shingles in so many documents at least may be ordered last; at most MOST_FREQUENT of them are kept, 12 bytes each.
 FREQUENT, MOST_FREQUENT = 32, 1_000_000
-#: Prefix shingles, or shingles counted, that a task holds before it sends them.
-HELD = 2_000_000
-#: Members of a block, and rows that one call compares.
+#: Shingles that a task counts together, and prefix shingles that it sends together.
+HELD, SENT = 2_000_000, 250_000
+#: Members of a block of a tile, and rows that one call compares.
 BLOCK, CALL_ROWS = 1500, 30_000
-#: Sets that meet in one tile, about, and pairs that one call intersects.
-MET, CALL_PAIRS = 200, 2000
-#: Turns in which documents are tied to leaders before all open pairs are compared.
-STARS = 3
-#: Turns in which each set is compared with the likeliest of its open pairs only, before the pairs still open are.
-PICKS = 2
+#: Sets that meet in one tile of the first turn; shingles of the sets of any tile, and of all arrays of a call, about.
+MET, TILE_SHINGLES, CALL_SHINGLES = 256, 1_000_000, 2_000_000
+#: Shingles of the sets whose bitmaps one call compares, about; a bitmap has a byte for two at most, but 32 bytes at least.
+CALL_BITMAPS = 8_000_000
 _FACTORS = textkit.mix64(np.arange(1, 64, dtype=np.uint64) * textkit.BASE) | np.uint64(1)
 
 
@@ -59,13 +60,14 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return textkit.mix64(out), edges
 
 
-def digest(own: np.ndarray) -> bytes:
-    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+def digest(own: np.ndarray) -> int:
+    """The number of a set: 64 bits of a digest, signed."""
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
 def bits(own: np.ndarray) -> bytes:
-    """The parity of how many hashes fall on each of 256 to 65536 bits, about four bits for each hash."""
-    n = 1 << min(16, max(8, int(4 * len(own) - 1).bit_length()))
+    """The parity of how many hashes fall on each of 256 bits or more, two to four bits for each hash."""
+    n = 1 << max(8, int(2 * len(own) - 1).bit_length())
     return np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(bool), bitorder="little").tobytes()
 
 
@@ -75,34 +77,43 @@ def needed(n: int) -> int:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """kind 0: a row for each document: doc_id, digest, n, bits, and mark if docs have it. kind 1: a shingle and in how many documents a task met it, if in two or more."""
-
+    """kind 0: a row for each document: doc_id, mark if docs have it, node (the number of its set), n; the first one that a task
+    meets of a set has place, unlike any other's, bits and hashes, sorted. kind 1: a shingle and in how many sets a task met it, if in two or more."""
     marked = "mark" in docs.columns
+    schema = "kind int, doc_id long, node long, n long, place long, bits binary, hashes binary, shingle long" + ", mark long" * marked
 
     def look(batches):
-        held, size = [], 0
+        part, held, size, seen = TaskContext.get().partitionId(), [], 0, set()
 
         def tell():
             values, times = np.unique(np.concatenate(held), return_counts=True)
             values, times = values[times > 1], times[times > 1]
             m = len(values)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(times.astype(np.int64)), pa.nulls(m, pa.binary()), pa.array(values.view(np.int64)), *[pa.nulls(m, pa.int64())] * marked], names=names)
+            longs = pa.nulls(m, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), longs, longs, pa.array(times.astype(np.int64)), longs, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(values.view(np.int64)), *[longs] * marked], names=names)
 
         for rows, texts, _ in textkit.chunks(batches):
             values, edges = shingles(texts)
             sets = [np.unique(values[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            nodes = [digest(s) for s in sets]
+            places, arrays = [None] * len(sets), [None] * len(sets)
+            for i, (s, node) in enumerate(zip(sets, nodes)):
+                if len(s) and node not in seen:
+                    places[i], arrays[i] = part << 32 | len(seen), s
+                    seen.add(node)
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id").combine_chunks(), pa.array([digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bits(s) for s in sets], pa.binary()), pa.nulls(m, pa.int64()), *[rows.column("mark").combine_chunks() for _ in range(marked)]], names=names)
-            held += sets
-            size += sum(map(len, sets))
+            own = pa.array([None if a is None else a.tobytes() for a in arrays], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id").combine_chunks(), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(places, pa.int64()), pa.array([None if a is None else bits(a) for a in arrays], pa.binary()), own, pa.nulls(m, pa.int64()), *[rows.column("mark").combine_chunks() for _ in range(marked)]], names=names)
+            held += [a for a in arrays if a is not None]
+            size += sum(len(a) for a in arrays if a is not None)
             if size >= HELD:
                 yield tell()
                 held, size = [], 0
         if held:
             yield tell()
 
-    names = ["kind", "doc_id", "digest", "n", "bits", "shingle", *["mark"] * marked]
-    return docs.mapInArrow(look, "kind int, doc_id long, digest binary, n long, bits binary, shingle long" + ", mark long" * marked)
+    names = ["kind", "doc_id", "node", "n", "place", "bits", "hashes", "shingle", *["mark"] * marked]
+    return docs.mapInArrow(look, schema)
 
 
 def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -137,20 +148,20 @@ def prefix(own: np.ndarray, values: np.ndarray, times: np.ndarray, maybe: np.nda
     return out if len(out) == k else np.concatenate([out, own[hot[np.lexsort((own[hot], times[at]))]][: k - len(out)]])
 
 
-def shared(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """(token, node, m, leader, sign) for every prefix shingle that two sets or more have. node: the first 64 bits of the set's digest;
-    m: how many have the token; leader: one of them; sign: a hash of them all."""
-    hot = docs.sparkSession.sparkContext.broadcast(hot)
+def shared(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+    """(token, node, m, leader, sign) for every prefix shingle that two sets or more have. m: how many have the token;
+    leader: one of them; sign: a hash of them all."""
+    hot = sets.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches):
         values, times = hot.value
         maybe = np.zeros(1 << 22, bool)
         maybe[(values >> np.uint64(42)).astype(np.int64)] = True
-        seen, held, size = set(), [], 0
+        held, size = [], 0
 
         def tell():
             tokens = np.concatenate([p for p, _ in held])
-            nodes = np.repeat(np.array([d for _, d in held], np.uint64), [len(p) for p, _ in held])
+            nodes = np.repeat(np.array([d for _, d in held], np.int64).view(np.uint64), [len(p) for p, _ in held])
             order = np.argsort(tokens)
             tokens, nodes = tokens[order], nodes[order]
             part = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -160,19 +171,13 @@ def shared(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> D
             blobs = [low[a:b].tobytes() + high[a:b].tobytes() + nodes[a:b].tobytes() for a, b in zip(edges[full], edges[full + 1])]
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-        for _, texts, _ in textkit.chunks(batches):
-            found, edges = shingles(texts)
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b > a:
-                    own = np.unique(found[a:b])
-                    name = int.from_bytes(digest(own)[:8], "big")
-                    if name not in seen:
-                        seen.add(name)
-                        held.append((prefix(own, values, times, maybe), name))
-                        size += len(held[-1][0])
-            if size >= HELD:
+        for batch in batches:
+            for node, own in zip(batch.column("node").to_pylist(), lists(batch.column("hashes"))):
+                held.append((prefix(own, values, times, maybe), node))
+                size += len(held[-1][0])
+            if size >= SENT:
                 yield tell()
-                seen, held, size = set(), [], 0
+                held, size = [], 0
         if held:
             yield tell()
 
@@ -201,25 +206,13 @@ def shared(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> D
         columns = (names, nodes, np.repeat(m, m).astype(np.uint64), np.repeat(nodes[head], m), np.repeat(sign, m))
         return pa.table([pa.array(c[more].view(np.int64)) for c in columns], names=["token", "node", "m", "leader", "sign"])
 
-    return docs.select("text").mapInArrow(send, "part int, blob binary").groupBy("part").applyInArrow(meet, "token long, node long, m long, leader long, sign long")
-
+    sent = sets.select("node", "hashes").mapInArrow(send, "part int, blob binary")
+    return sent.groupBy("part").applyInArrow(meet, "token long, node long, m long, leader long, sign long")
 
-def arrays(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, hashes), sorted hashes of the sets named in nodes (node, digest, first), from the text of that document; its repeated rows repeat it."""
 
-    def build(batches):
-        for rows, texts, _ in textkit.chunks(batches):
-            found, edges = shingles(texts)
-            sets = [np.unique(found[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            values = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array([digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "digest", "hashes"])
-
-    some = nodes if (n := nodes.count()) > BROADCAST_ROWS else F.broadcast(nodes)
-    ids = some.select("first").distinct()
-    built = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, docs["doc_id"].eqNullSafe(ids["first"]), "left_semi")
-    built = built.select("doc_id", "text").mapInArrow(build, "doc_id long, digest binary, hashes array<long>")
-    return built.join(some, (built["digest"] == some["digest"]) & built["doc_id"].eqNullSafe(some["first"])).select("node", "hashes")
+def lists(column) -> list[np.ndarray]:
+    """The arrays of hashes of a column of their bytes."""
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
 def may_match(p: np.ndarray, q: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -233,76 +226,185 @@ def fold(own: bytes, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(own, np.uint8).reshape(-1, width), 0)
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps don't rule out."""
-
-    def test(batches):
-        for t in batches:
-            x, y = t.column("x").to_pylist(), t.column("y").to_pylist()
-            apart = np.zeros(t.num_rows, np.int64)
-            for i, (p, q) in enumerate(zip(x, y)):
-                width = min(len(p), len(q))
-                apart[i] = np.bitwise_count(fold(p, width) ^ fold(q, width)).sum(dtype=np.int64)
-            keep = pa.array(may_match(t.column("p").to_numpy(), t.column("q").to_numpy(), apart))
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
-
-    both = pairs.join(classes.select(F.col("node").alias("a"), F.col("n").alias("p"), F.col("bits").alias("x")), "a")
-    both = both.join(classes.select(F.col("node").alias("b"), F.col("n").alias("q"), F.col("bits").alias("y")), "b")
-    sized = (100 * F.least("p", "q") >= LEAST * F.greatest("p", "q")) & (F.col("a") != F.col("b"))
-    return both.where(sized).select("a", "b", "p", "q", "x", "y").mapInArrow(test, "a long, b long")
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets are similar, by intersecting them."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return 100 * common >= LEAST * (len(p) + len(q) - common)
+
+
+class Forest:
+    """Which members of a call its links, and the components they came with, bring together."""
+
+    def __init__(self, comps: list[int]):
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(c, i) for i, c in enumerate(comps)]
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def tie(self, i: int, j: int) -> None:
+        self.up[self.root(i)] = self.root(j)
+
+
+def candidates(n: np.ndarray, maps: list[bytes], comps: np.ndarray, fits=None):
+    """(i, the larger members of other components that sizes and bitmaps don't rule out, the share of shingles that bitmaps tell apart) for each member i. fits(i, others): which may pair with i at all."""
+    order = np.argsort(n, kind="stable")
+    widths = np.array([len(m) for m in maps])
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    ends = np.searchsorted(n[order], (100 * n[order]) // LEAST, "right")
+    for x, i in enumerate(order.tolist()):
+        others = order[x + 1 : ends[x]]
+        others = others[comps[others] != comps[i]]
+        if fits is not None:
+            others = others[fits(i, others)]
+        if not len(others):
+            continue
+        width = int(widths[i])  # of the smaller set; the other's is as wide or twice that
+        if width not in folded:
+            own = np.flatnonzero((widths >= width) & (widths <= 2 * width))
+            at = np.full(len(n), -1)
+            at[own] = np.arange(len(own))
+            folded = {width: (at, np.array([fold(maps[j], width) for j in own]).view(np.uint64))}
+        at, words = folded[width]
+        apart = np.bitwise_count(words[at[others]] ^ words[at[i]]).sum(1, dtype=np.int64)
+        keep = may_match(np.full(len(others), n[i]), n[others], apart)
+        if keep.any():
+            yield i, others[keep], apart[keep] / (n[i] + n[others[keep]])
+
+
+def parts_of(keys: np.ndarray) -> list[np.ndarray]:
+    """The places of each key."""
+    order = np.argsort(keys, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(keys) else []
+
+
+def with_arrays(needs: DataFrame, sets: DataFrame) -> DataFrame:
+    """needs (staged, with node and place) and the hashes of each."""
+    return sets.select("node", "place", "hashes").join(narrow(needs), ["node", "place"])
+
+
+def calls_for(needs: DataFrame) -> int:
+    return max(8, -(-(needs.agg(F.sum("n")).first()[0] or 0) // CALL_SHINGLES))
+
+
+def likeliest(i: np.ndarray, j: np.ndarray, share: np.ndarray, comps: np.ndarray) -> np.ndarray:
+    """Of pairs the ones, nearest first, that would join components not joined by nearer ones: fewer than there are members."""
+    ties, kept = Forest(comps.tolist()), []
+    for k in np.argsort(share, kind="stable").tolist():
+        x, y = int(i[k]), int(j[k])
+        if ties.root(x) != ties.root(y):
+            ties.tie(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def compared(rows: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (tile, a, b) of one tile that are in different components and may be similar by size and bitmaps. rows (staged): tile, side, node,
+    place, comp, n, m. Sides 1 and 2 pair with each other only. A pair of several tiles gets the one of the largest m.
+    forest: of each tile only the likeliest pairs that would join all that may hang together there, fewer than it has members."""
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    calls = max(8, -(-size["rows"] // CALL_ROWS), -(-size["n"] // CALL_BITMAPS))
 
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays.
-
-    Pairs that hang together are dealt to the same calls, so an array is moved once for all its pairs there; where more than
-    MET sets hang together, they are cut into blocks, and the pairs of two blocks are a tile.
+    def compare(t: pa.Table) -> pa.Table:
+        tiles, side, node, comp, n, m = (t.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n", "m"))
+        maps = t.column("bits").to_pylist()
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for part in parts_of(tiles):
+            if len(part) < 2 or (comp[part] == comp[part[0]]).all():
+                continue
+            s, c = side[part], comp[part]
+            fits = None if (s == 0).all() else lambda i, others, s=s: s[others] != s[i]
+            met = list(candidates(n[part], [maps[x] for x in part], c, fits))
+            if not met:
+                continue
+            one, other = np.concatenate([np.full(len(others), i) for i, others, _ in met]), np.concatenate([others for _, others, _ in met])
+            if forest:
+                kept = likeliest(one, other, np.concatenate([share for *_, share in met]), c)
+                one, other = one[kept], other[kept]
+            x, y, rank = node[part[one]], node[part[other]], (int(m[part[0]]), int(tiles[part[0]]))
+            for pair in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()):
+                found[pair] = max(rank, found.get(pair, rank))
+        ranks = list(found.values())
+        columns = ([p[0] for p in found], [p[1] for p in found], [r[0] for r in ranks], [r[1] for r in ranks])
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "m", "tile"])
+
+    x = sets.select("node", "place", "bits").join(rows, ["node", "place"]).withColumn("call", F.pmod("tile", F.lit(calls)))
+    pairs = x.select("call", "tile", "side", "node", "comp", "n", "m", "bits").groupBy("call").applyInArrow(compare, "a long, b long, m long, tile long")
+    return stage(pairs.groupBy("a", "b").agg(F.max(F.struct("m", "tile"))["tile"].alias("tile")), "near-pairs")
+
+
+def verified(pairs: DataFrame, needs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (tile, a, b) that are not similar, as (a, b, false), and components that similar ones join, as (a, b, true).
+
+    Pairs that a call's links bring together anyway are left out. needs: tile, node, place, n, comp.
     """
-    roots = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    sized = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / MET).cast("int").alias("k"))
-    roots = roots.join(sized, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("i"))
-    roots = stage(roots, "near-roots")
-    x = pairs.join(roots.select(F.col("node").alias("a"), "root", F.col("i").alias("i")), "a").join(roots.select(F.col("node").alias("b"), F.col("i").alias("j")), "b")
-    x = stage(x.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("tile"), "a", "b"), "near-tiled")
-    calls = F.lit(max(8, -(-x.count() // CALL_PAIRS)))
-    needs = stage(x.select(F.pmod("tile", calls).alias("call"), F.explode(F.array("a", "b")).alias("node")).distinct(), "near-needs")
-    rows = sets.join(narrow(needs), "node").select("call", "node", "hashes", F.lit(None).cast("long").alias("b"))
-    rows = rows.unionByName(x.select(F.pmod("tile", calls).alias("call"), F.col("a").alias("node"), F.lit(None).cast("array<long>").alias("hashes"), "b"))
 
     def test(t: pa.Table) -> pa.Table:
         is_set = t.column("b").is_null()
         own, asked = t.filter(is_set), t.filter(t.column("b").is_valid())
-        arrays_, found = {}, ([], [])
-        for chunk in own.to_batches():
-            column = chunk.column("hashes")
-            values, edges = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-            for node, p, q in zip(chunk.column("node").to_pylist(), edges[:-1].tolist(), edges[1:].tolist()):
-                arrays_[node] = values[p:q]
-        for a, b in zip(asked.column("node").to_pylist(), asked.column("b").to_pylist()):
-            p, q = arrays_[a], arrays_[b]
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            if 100 * common >= LEAST * (len(p) + len(q) - common):
-                found[0].append(a)
-                found[1].append(b)
-        return pa.table({"u": pa.array(found[0], pa.int64()), "v": pa.array(found[1], pa.int64())})
-
-    return rows.groupBy("call").applyInArrow(test, "u long, v long")
-
-
-def crossing(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, apart) of members (token, node, m, comp, n) of a token that are in different components and may be similar.
-
-    apart: the share of their shingles that bitmaps tell apart.
-
-    Up to BLOCK members are one tile. More are dealt by size: sizes of similar sets are at most one band of ratio 4/3 apart;
-    a band is cut into blocks, and two blocks, of one band or of neighbours, meet in a tile.
+        at = {node: i for i, node in enumerate(own.column("node").to_pylist())}
+        comps = own.column("comp").to_pylist()
+        sets_, ties = lists(own.column("hashes")), Forest(comps)
+        a, b, linked = [], [], []
+        for p, q in zip(asked.column("node").to_pylist(), asked.column("b").to_pylist()):
+            i, j = at[p], at[q]
+            if ties.root(i) == ties.root(j):
+                continue
+            if alike(sets_[i], sets_[j]):
+                ties.tie(i, j)
+            else:
+                a.append(p)
+                b.append(q)
+                linked.append(False)
+        joined = {(comps[ties.root(i)], c) for i, c in enumerate(comps) if comps[ties.root(i)] != c}
+        a += [x for x, _ in joined]
+        b += [x for _, x in joined]
+        linked += [True] * len(joined)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+
+    named = pairs.select("tile", F.explode(F.array("a", "b")).alias("node")).distinct()
+    calls = calls_for(named.join(needs.dropDuplicates(["tile", "node"]), ["tile", "node"]))
+    own = needs.join(named, ["tile", "node"], "left_semi").withColumn("call", F.pmod("tile", F.lit(calls))).dropDuplicates(["call", "node"])
+    own = stage(own, "near-needs")
+    rows = with_arrays(own, sets).select("call", "node", "comp", "hashes", F.lit(None).cast("long").alias("b"))
+    rows = rows.unionByName(pairs.select(F.pmod("tile", F.lit(calls)).alias("call"), F.col("a").alias("node"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("binary").alias("hashes"), "b"))
+    out = stage(rows.groupBy("call").applyInArrow(test, "a long, b long, linked boolean"), "near-links", wide=True)
+    drop(own)
+    return out
+
+
+def relabelled(labels: DataFrame | None, joined: DataFrame) -> DataFrame:
+    """labels (node, root) after components (a, b) were joined; a node without a label is a component of its own."""
+    new = components(joined.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    if labels is None:
+        return new
+    to = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = stage(old.unionByName(new.join(labels.select("node"), "node", "left_anti")), "near-labels")
+    drop(new, labels)
+    return out
+
+
+def blocks_for(count: Column, shingles_: Column, most: int) -> Column:
+    """Into how many blocks members are cut, by their number and their shingles."""
+    return F.ceil(F.greatest(count / most, shingles_ / TILE_SHINGLES)).cast("int")
+
+
+def tiled(members: DataFrame) -> DataFrame:
+    """Tiles, for compared(), of members (token, node, place, n, m, comp) of a token.
+
+    Few members are one tile. More are dealt by size: sizes of similar sets are at most one band of ratio 4/3 apart; a band is
+    cut into blocks, and two blocks, of one band or of neighbours, meet in a tile. tile: the one of the largest token.
     """
-    band = F.when(F.col("m") <= BLOCK, 0).otherwise(F.floor(F.log("n") / float(np.log(100 / LEAST)) + 1e-9) + 1).cast("int")
-    m = members.withColumn("band", band)
-    blocks = m.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    whole = members.groupBy("token").agg(blocks_for(F.count(F.lit(1)), F.sum("n"), BLOCK).alias("whole"))
+    band = F.when(F.col("whole") == 1, 0).otherwise(F.floor(F.log("n") / float(np.log(100 / LEAST)) + 1e-9) + 1).cast("int")
+    m = members.join(whole, "token").withColumn("band", band)
+    blocks = m.groupBy("token", "band").agg(blocks_for(F.count(F.lit(1)), F.sum("n"), BLOCK).alias("k"))
     m = m.join(blocks, ["token", "band"])
     for name, step in (("up", 1), ("down", -1)):
         m = m.join(blocks.select("token", (F.col("band") - step).alias("band"), F.col("k").alias(name)), ["token", "band"], "left")
@@ -317,56 +419,22 @@ def crossing(members: DataFrame, classes: DataFrame) -> DataFrame:
         tile(F.col("up"), lambda j: F.struct(F.xxhash64(token, b + 1, j, i, F.lit(1)).alias("tile"), F.lit(1).alias("side"))),
         tile(F.col("down"), lambda j: F.struct(F.xxhash64(token, b, i, j, F.lit(1)).alias("tile"), F.lit(2).alias("side"))),
     )
-    m = stage(m.select("node", "comp", "n", F.explode(made).alias("at")).select("at.tile", "at.side", "node", "comp", "n"), "near-tiles")
-    calls = max(8, -(-m.count() // CALL_ROWS))
-    m = m.join(classes.select("node", "bits"), "node")
+    return stage(m.select("node", "place", "comp", "n", "m", F.explode(made).alias("at")).select("at.tile", "at.side", "node", "place", "comp", "n", "m"), "near-tiles")
+
+
+def labelled(kept: DataFrame, labels: DataFrame) -> DataFrame:
+    """kept with comp, the component of each node so far, for the tokens whose members are in several."""
+    x = kept.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    several = x.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    return x.join(several, "token", "left_semi")
 
-    def compare(t: pa.Table) -> pa.Table:
-        tiles, side, node, comp, n = (t.column(c).to_numpy() for c in ("tile", "side", "node", "comp", "n"))
-        own = t.column("bits").to_pylist()
-        order = np.argsort(tiles, kind="stable")
-        found = {}
-        for part in np.split(order, np.flatnonzero(np.diff(tiles[order])) + 1):
-            if len(part) < 2 or (comp[part] == comp[part[0]]).all():
-                continue
-            width = min(len(own[i]) for i in part)
-            words = np.array([fold(own[i], width) for i in part]).view(np.uint64)
-            s = side[part]
-            for x in range(len(part)):
-                if s[x] == 2:
-                    continue
-                rest = np.flatnonzero(s == 2) if s[x] == 1 else np.arange(x + 1, len(part))
-                rest = rest[comp[part[rest]] != comp[part[x]]]
-                p, q = n[part[x]], n[part[rest]]
-                rest = rest[100 * np.minimum(p, q) >= LEAST * np.maximum(p, q)]
-                if not len(rest):
-                    continue
-                apart = np.bitwise_count(words[rest] ^ words[x]).sum(1, dtype=np.int64)
-                keep = may_match(np.full(len(rest), p), n[part[rest]], apart)
-                share = apart[keep] / (p + n[part[rest[keep]]])
-                for y, d in zip(rest[keep].tolist(), share.tolist()):
-                    a, c = int(node[part[x]]), int(node[part[y]])
-                    pair = (min(a, c), max(a, c))
-                    found[pair] = max(d, found.get(pair, 0.0))
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64()), "apart": pa.array(list(found.values()), pa.float64())})
-
-    pairs = m.withColumn("call", F.pmod("tile", F.lit(calls))).groupBy("call").applyInArrow(compare, "a long, b long, apart double")
-    return pairs.groupBy("a", "b").agg(F.max("apart").alias("apart"))
-
-
-def likeliest(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, apart) the one of each set that bitmaps tell apart least; of equals, the one with the least hash."""
-    rank = F.struct("apart", F.xxhash64("a", "b").alias("h"), "a", "b")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), rank.alias("rank"))
-    return ends.groupBy("node").agg(F.min("rank").alias("rank")).select("rank.a", "rank.b").distinct()
-
-
-def still_open(pairs: DataFrame, asked: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs that were not asked for and that links don't bring together."""
-    roots = components(links)
-    x = pairs.join(asked, ["a", "b"], "left_anti")
-    x = x.join(roots.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
-    return x.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b", "apart")
+
+def first_tiles(kept: DataFrame) -> DataFrame:
+    """tile, side, node, place, n, m, comp: each node in a block of the largest of its tokens."""
+    own = kept.groupBy("node").agg(F.max(F.struct("m", "token"))["token"].alias("token"), F.first("place").alias("place"), F.first("n").alias("n"))
+    sized = own.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("m > 1")
+    own = own.join(sized.select("token", "m", blocks_for(F.col("m"), F.col("s"), MET).alias("k")), "token")
+    return own.select(F.xxhash64("token", F.pmod(F.xxhash64("node"), F.col("k"))).alias("tile"), F.lit(0).alias("side"), "node", "place", "n", "m", F.col("node").alias("comp"))
 
 
 def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
@@ -374,61 +442,51 @@ def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
 
     Links: 100 * common >= 75 * united shingles of five lower-cased words (fewer words: all as one). Without words or text:
     n_shingles 0 and a component of its own. Equal sets are linked. Rows that repeat a doc_id are documents of their own.
-    Null doc_ids are never the least one of a component that has another.
+    Null doc_ids are never the least one of a component that has another. A very long text is one set like others; only its
+    own size bounds what a call holds. No documents, no rows. Other columns of docs are not read.
     by_text: also mark, the xxhash64 of the text, and root, a number that only one component has, null without words.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stage(survey(docs.withColumn("mark", F.xxhash64("text")) if by_text else docs), "near-survey")
+    seen = stage(survey(docs.withColumn("mark", F.xxhash64("text")) if by_text else docs), "near-survey", "none", 8 << 20)  # hashes don't compress, and scans for a few of them should hold little
     more_of = ["mark"] if by_text else []
-    # a set is a node; its number is the first 64 bits of its digest
-    meta = seen.where("kind = 0").select("doc_id", "digest", "n", "bits", *more_of)
-    classes = meta.where("n > 0").groupBy("digest", "n", "bits").agg(F.min("doc_id").alias("first"))
-    classes = stage(classes.withColumn("node", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")), "near-classes")
-    tokens = stage(shared(docs, frequent(seen), max(16, 4 * docs.rdd.getNumPartitions())), "near-tokens")
+    # a set is a node
+    meta = seen.where("kind = 0").select("doc_id", "node", "n", *more_of)
+    classes = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.min("place").alias("place"))
+    classes = stage(classes, "near-classes")
+    sets = seen.where("kind = 0 and place is not null")
+    tokens = stage(shared(sets, frequent(seen), max(16, 4 * docs.rdd.getNumPartitions())), "near-tokens", wide=True)
     # tokens of the same documents, as those of a passage are, would only repeat the work: one of them stays
     once = tokens.where("node = leader").groupBy("m", "leader", "sign").agg(F.min("token").alias("token")).select("token")
-    kept = stage(tokens.drop("sign").join(once, "token", "left_semi"), "near-kept")
+    kept = tokens.select("token", "node", "m").join(once, "token", "left_semi").join(classes.select("node", "n", "place"), "node")
+    kept = stage(kept, "near-kept")
     drop(tokens)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return stage(arrays(docs, stage(classes.join(nodes, "node").select("node", "digest", "first"), "near-nodes")), "near-sets")
-
-    links = None
-    labels = kept.select("node", F.col("node").alias("root")).limit(0)
-    for turn in range(STARS):  # each turn ties documents to another leader of a small and of a large group
-        h = F.xxhash64("node", F.lit(turn))
-        x = kept.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).select("token", "node", "m", "comp", h.alias("h"))
-        lead = x.groupBy("token").agg(F.min("h").alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token", "h")
-        lead = x.join(lead, ["token", "h"]).select("token", F.col("node").alias("leader"), F.col("comp").alias("of"))
-        rank = F.struct("m", "token", "leader")
-        stars = x.join(lead, "token").where("comp <> of").groupBy("node").agg(F.min(rank)["leader"].alias("p"), F.max(rank)["leader"].alias("q"))
-        stars = stars.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("p", "q"))).alias("a"))
-        stars = stage(plausible(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes), "near-stars")
-        sets = sets_of(stars)
-        found = stage(verified(stars, sets), "near-links")
-        drop(sets)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-    members = stage(kept.join(labels, "node", "left").select("token", "node", "m", F.coalesce("root", "node").alias("comp")), "near-members")
-    open_ = members.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    members = members.join(open_, "token", "left_semi").join(classes.select("node", "n"), "node")
-    more = stage(crossing(members, classes), "near-crossing")
-    sets = sets_of(more)
-    for _ in range(PICKS):
-        asked = stage(likeliest(more), "near-asked")
-        links = links.unionByName(stage(verified(asked, sets), "near-links"))
-        rest = stage(still_open(more, asked, links), "near-open")
-        drop(more, asked)
-        more = rest
-    links = links.unionByName(stage(verified(more.select("a", "b"), sets), "near-links"))
-    drop(sets, kept)
-    labels = components(links)
-    named = classes.join(labels, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
-    named = stage(named, "near-named")
+    tested, labels = [], None
+    # the likeliest pairs for one token of each set, then for the tokens of more sets than a tile of that has, so that few are left when all are compared
+    for turn in range(3):
+        if turn == 0:
+            tiles = stage(first_tiles(kept), "near-first")
+        else:
+            tiles = tiled(labelled(kept.where(F.col("m") > MET) if turn == 1 else kept, labels))
+        if turn == 1 and tiles.isEmpty():
+            drop(tiles)
+            continue
+        pairs = compared(tiles, sets, turn < 2)
+        if turn:
+            failed = reduce(DataFrame.unionByName, tested).where("not linked").select("a", "b")
+            left = stage(pairs.join(failed, ["a", "b"], "left_anti"), "near-open")
+            drop(pairs)
+            pairs = left
+        found = verified(pairs, tiles.select("tile", "node", "place", "n", "comp"), sets)
+        labels = relabelled(labels, found.where("linked"))
+        tested.append(found)
+        drop(tiles, pairs)
+    drop(kept, *tested)
+    named = stage(classes.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-named")
+    drop(labels, classes)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id", "root")
-    out = meta.join(named, "digest", "left")
+    named = named.join(least, "root").select("node", "component_id", "root")
+    out = meta.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more_of, *["root"] * by_text)
 
 
@@ -437,19 +495,23 @@ def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; of rows that repeat it, one. Without words, all stay."""
+    """docs with one document of each component, the one with the least doc_id; of rows that repeat it, one. Without words, all stay.
+
+    Rows are told apart by doc_id, null included, and text. Null doc_ids come after all others. No documents, no rows; the
+    columns are those of docs.
+    """
     found = stage(near_groups(docs, by_text=True).where("root is not null").select("doc_id", "mark", "root"), "near-found")
-    names = docs.columns
+    x, names = veiled(docs)
     # a doc_id may be null or in other components too, so it decides together with the text's hash
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     sized = found.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.min(rank).alias("least")).where("m > 1")
-    grouped = found.join(sized, "root").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), rank.eqNullSafe(F.col("least")).alias("_stays"))
-    pairs = grouped.groupBy("_id", "_mark").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_n")).where("not _stays or _n > 1")
-    pairs = stage(pairs.select("_id", "_mark", "_stays"), "near-pairs")
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    x = own.join(narrow(pairs), own["doc_id"].cast("long").eqNullSafe(pairs["_id"]) & (own["_own"] == pairs["_mark"]), "left")
-    alone = x.where(F.col("_stays").isNull()).select(*names)
-    return alone.unionByName(x.where("_stays").dropDuplicates(["_id", "_mark"]).select(*names))
+    grouped = found.join(sized, "root").select(F.col("doc_id").alias("id"), "mark", rank.eqNullSafe(F.col("least")).alias("stays"))
+    pairs = grouped.groupBy("id", "mark").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    pairs = stage(pairs.select("id", "mark", "stays"), "near-pairs")
+    drop(found)
+    x = x.withColumn("own", F.xxhash64(names["text"]))
+    x = x.join(narrow(pairs), x[names["doc_id"]].cast("long").eqNullSafe(pairs["id"]) & (x["own"] == pairs["mark"]), "left")
+    return unveiled(x.where("stays is null"), names).unionByName(unveiled(x.where("stays").dropDuplicates(["id", "mark"]), names))
 
 
 ORACLE_SQL = r"""

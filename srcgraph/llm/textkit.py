@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Code points that a chunk holds unless a single text is longer.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
