@@ -47,6 +47,15 @@ def most_calling(g: PropertyGraph) -> str:
     return first(g.node("Function").join(top.select(F.col("src").alias("id")), "id").select("name"), "name")
 
 
+def settled(g: PropertyGraph) -> PropertyGraph:
+    """The graph with its calls worked out once, for queries that read them several times."""
+    return PropertyGraph(g.spark, g.nodes, g.edges | {"CALLS": traverse.cut(g.edge("CALLS"))})
+
+
+def over_calls(f: Callable[[PropertyGraph], DataFrame]) -> Callable[[PropertyGraph], DataFrame]:
+    return lambda g: f(settled(g))
+
+
 HOT = "(SELECT f.name FROM (SELECT dst, count(*) AS c FROM calls GROUP BY dst ORDER BY c DESC, dst LIMIT 1) x JOIN func f ON f.id = x.dst)"
 BUSY = "(SELECT f.name FROM (SELECT src, count(*) AS c FROM calls GROUP BY src ORDER BY c DESC, src LIMIT 1) x JOIN func f ON f.id = x.src)"
 NAME = "(SELECT min(name) FROM func)"
@@ -91,11 +100,11 @@ for _n, _cs, _p in (("find_pattern_ci", False, "BRAND"), ("find_pattern_cs", Tru
 # relations
 CALLERS = f"SELECT DISTINCT a.name AS caller_name, a.path AS caller_path, a.line_number AS caller_line_number, a.is_dependency AS caller_is_dependency, c.line_number AS call_line, c.arg AS call_args, {FULL} AS full_call_name, b.name AS callee_name, b.path AS callee_path FROM calls c JOIN func a ON a.id = c.src JOIN func b ON b.id = c.dst"
 ORDER = " ORDER BY caller_is_dependency, caller_path, caller_line_number, call_line, call_args, full_call_name, callee_path LIMIT 20"
-query("who_calls", f"{CALLERS} WHERE b.name = {HOT}{ORDER}")(lambda g: relations.callers(g, most_called(g)))
+query("who_calls", f"{CALLERS} WHERE b.name = {HOT}{ORDER}")(over_calls(lambda g: relations.callers(g, most_called(g))))
 query("who_calls_in_file", f"{CALLERS} WHERE b.name = {HOT} AND b.path = (SELECT min(b.path) FROM calls c JOIN func b ON b.id = c.dst WHERE b.name = {HOT}){ORDER}")(
-    lambda g: relations.callers(g, n := most_called(g), first(g.node("Function").where(F.col("name") == n).join(g.edge("CALLS").select(F.col("dst").alias("id")), "id", "left_semi").select("path"), "path"))
+    over_calls(lambda g: relations.callers(g, n := most_called(g), first(g.node("Function").where(F.col("name") == n).join(g.edge("CALLS").select(F.col("dst").alias("id")), "id", "left_semi").select("path"), "path")))
 )
-query("what_calls", f"SELECT DISTINCT b.name AS callee_name, b.path AS callee_path, b.line_number AS callee_line_number, b.is_dependency AS callee_is_dependency, c.line_number AS call_line, c.arg AS call_args FROM calls c JOIN func a ON a.id = c.src JOIN func b ON b.id = c.dst WHERE a.name = {BUSY} ORDER BY callee_is_dependency, callee_name, callee_path, callee_line_number, call_line, call_args LIMIT 20")(lambda g: relations.callees(g, most_calling(g)))
+query("what_calls", f"SELECT DISTINCT b.name AS callee_name, b.path AS callee_path, b.line_number AS callee_line_number, b.is_dependency AS callee_is_dependency, c.line_number AS call_line, c.arg AS call_args FROM calls c JOIN func a ON a.id = c.src JOIN func b ON b.id = c.dst WHERE a.name = {BUSY} ORDER BY callee_is_dependency, callee_name, callee_path, callee_line_number, call_line, call_args LIMIT 20")(over_calls(lambda g: relations.callees(g, most_calling(g))))
 CLOSE = "SELECT name, path, line_number, is_dependency, min(depth)::INT AS depth FROM ({}) r JOIN func f ON f.id = r.id GROUP BY f.id, name, path, line_number, is_dependency ORDER BY is_dependency, path, line_number LIMIT 50"
 
 
@@ -103,14 +112,14 @@ def closure_sql(name: str, one: str, other: str) -> str:
     return f", e AS (SELECT DISTINCT src, dst FROM calls), lv AS (SELECT DISTINCT e.{other} AS id, 1 AS depth FROM e JOIN func f ON f.id = e.{one} WHERE f.name = {name} UNION SELECT e.{other}, lv.depth + 1 FROM lv JOIN e ON e.{one} = lv.id WHERE lv.depth < 40) " + CLOSE.format("SELECT id, depth FROM lv")
 
 
-query("all_callers", closure_sql(HOT, "dst", "src"))(lambda g: traverse.all_callers(g, most_called(g)))
-query("all_callees", closure_sql(BUSY, "src", "dst"))(lambda g: traverse.all_callees(g, most_calling(g)))
+query("all_callers", closure_sql(HOT, "dst", "src"))(over_calls(lambda g: traverse.all_callers(g, most_called(g))))
+query("all_callees", closure_sql(BUSY, "src", "dst"))(over_calls(lambda g: traverse.all_callees(g, most_calling(g))))
 query(
     "call_chain",
     f""", e AS (SELECT c.src, c.dst, concat(c.src, '|', c.dst, '|', c.line_number, '|', c.arg, '|', {FULL}) AS eid FROM calls c JOIN func b ON b.id = c.dst),
 t AS (SELECT f.id AS last, [f.id] AS nodes, []::VARCHAR[] AS cs, 0 AS n FROM func f WHERE f.name = {BUSY} UNION ALL SELECT e.dst, list_append(nodes, e.dst), list_append(cs, e.eid), n + 1 FROM t JOIN e ON e.src = t.last WHERE n < 3 AND NOT list_contains(cs, e.eid))
 SELECT n::INT AS chain_length, array_to_string(nodes, '>') AS nodes, array_to_string(cs, '>') AS calls FROM t JOIN func f ON f.id = t.last WHERE n > 0 AND f.name = {HOT} ORDER BY 1, 2, 3 LIMIT 20""",
-)(lambda g: traverse.call_chains(g, most_calling(g), most_called(g)))
+)(over_calls(lambda g: traverse.call_chains(g, most_calling(g), most_called(g))))
 query("who_imports", """SELECT f.path, f.is_dependency, count(*) AS n_imports, string_agg(concat(m.name, ':', i.line_number, ':', i.alias), ';' ORDER BY m.name, i.line_number, i.alias) AS imports FROM imports i JOIN file f ON f.id = i.src JOIN mod m ON m.id = i.dst
  WHERE m.name = 'Brand#1' OR contains(m.full_import_name, 'Brand#1') GROUP BY f.path, f.is_dependency ORDER BY is_dependency, path LIMIT 20""")(lambda g: relations.importers(g, "Brand#1"))
 query("who_modifies", "SELECT 'file' AS container_type, f.name AS container_name, f.path, v.line_number AS variable_line, v.value, f.is_dependency FROM var v JOIN file f ON f.id = v.up WHERE status <> 'P' AND v.name = (SELECT min(name) FROM var) ORDER BY is_dependency, path, variable_line LIMIT 20")(lambda g: relations.modifiers(g, first(g.node("Variable").select("name"), "name")))
@@ -277,7 +286,7 @@ query(
 )(lambda g: run(g, "MATCH (f:Function) WHERE f.id IN $hubs MATCH p = (f)-[*0..2]-(x) RETURN f.id AS hub, x.id AS node, length(p) AS hops, count(*) AS n", {"hubs": [r["id"] for r in hubs(g).collect()]}))
 
 # all relations through one entry
-query("analyze_find_callers", f"SELECT caller_name, caller_path, call_line FROM ({CALLERS} WHERE b.name = {HOT}{ORDER})")(lambda g: analyze(g, "find_callers", most_called(g)).results.select("caller_name", "caller_path", "call_line"))
+query("analyze_find_callers", f"SELECT caller_name, caller_path, call_line FROM ({CALLERS} WHERE b.name = {HOT}{ORDER})")(over_calls(lambda g: analyze(g, "find_callers", most_called(g)).results.select("caller_name", "caller_path", "call_line")))
 query("analyze_overrides", f"SELECT c.name AS class_name, f.name, f.path, f.line_number, f.is_dependency FROM methods m JOIN cls c ON c.id = m.src JOIN func f ON f.id = m.dst WHERE f.name = {ON} ORDER BY is_dependency, class_name, f.path, f.line_number LIMIT 20")(
     lambda g: analyze(g, "Polymorphism ", first(g.node("Function").join(g.pairs("CONTAINS").where("src like 'C%'").select(F.col("dst").alias("id")), "id", "left_semi").select("name"), "name")).results
 )
