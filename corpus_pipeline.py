@@ -50,12 +50,15 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Learned languages and token ids are beyond SQL; tests hold the stages of dedup, near-duplicates and mixing against brute force.
+#: Learned languages and token ids are beyond SQL; tests/llm/test_pipeline.py holds every stage and the whole against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents."""
+    """The rows of the last stage over documents.
+
+    Each stage states what it does with nulls, repeated rows, long texts and clashing columns. No documents, no rows.
+    """
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage_of) in enumerate(STAGES):
         out = stage(stage_of(spark, docs, sf_dir), f"pipeline-{i}")
