@@ -284,8 +284,15 @@ REJECT = 0.5
 
 
 def langid_stage(docs: DataFrame) -> DataFrame:
-    """docs without those of no language: no letter, or no language likelier than the others together."""
+    """docs without those of no language: no letter, or no language likelier than the others together.
+
+    Null and empty texts go; a very long text is scored whole. Rows that repeat are judged alike, whatever their doc_id. Without a
+    text whose language is known nothing can be learned, and only texts without letters go. The columns are those of docs.
+    """
+    model = learn(docs.select("doc_id", "text", "lang"))
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}  # such columns stay as they are
-    found = predict(docs.withColumnsRenamed(own), learn(docs.select("doc_id", "text", "lang")))
+    found = predict(docs.withColumnsRenamed(own), model)
     kept = found.where((F.col("lang_pred") != NONE) & (F.col("score") >= REJECT)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({new: c for c, new in own.items()}).select(*docs.columns)

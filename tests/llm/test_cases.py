@@ -61,6 +61,11 @@ def test_stages_keep_columns_and_take_clashing_names(docs, name):
     assert STAGES[name](docs.limit(0)).count() == 0
 
 
+def test_no_language_is_known(docs):
+    got = langid.langid_stage(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(i) for i, t, *_ in ROWS if t and t.strip())
+
+
 def test_license_words_of_odd_texts(docs):
     got = {r["doc_id"]: r for r in licenses.scan(docs).where("doc_id in (9, 10)").collect()}
     assert (got[9]["n_base"], got[9]["first_word"], got[9]["last_word"], got[9]["base_labels"]) == (2, 3, 8, "mit")
