@@ -15,6 +15,7 @@ EXTRACTORS: dict[str, Callable[[str], dict]] = {}
 #: Indexed suffixes and their language.
 LANGUAGES = {".py": "python", ".ipynb": "python", ".rs": "rust"}
 CONTEXT = "name string, kind string, line int"
+#: The fields of a parse row.
 ROW = f"""error string,
 functions array<struct<name string, line_number int, end_line int, args array<string>, cyclomatic_complexity int, context string, context_type string, class_context string, decorators array<string>, is_async boolean, source string, docstring string>>,
 classes array<struct<name string, line_number int, end_line int, bases array<string>, context string, decorators array<string>, kind string, source string, docstring string>>,
@@ -51,8 +52,8 @@ def extract(path: str, text: str) -> dict:
         return empty | {"error": f"{type(e).__name__}: {e}"[:500]}
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """files (path, text) with their language and what extract() finds, in one pass over the texts."""
+def parsed(files: DataFrame, sources: bool = True) -> DataFrame:
+    """files (path, text) with their language and what extract() finds, in one pass over the texts; without sources, symbols have neither source nor docstring."""
     carried = [c for c in files.columns if c != "text"]
     row = files.sparkSession.createDataFrame([], ROW).schema
     schema = T.StructType([*files.select(*carried).schema.fields, *row.fields])
@@ -61,6 +62,9 @@ def parsed(files: DataFrame) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             rows = [extract(p, t or "") for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist())]
+            for r in [] if sources else rows:
+                for symbol in (*r["functions"], *r["classes"]):
+                    symbol["source"] = symbol["docstring"] = None
             found = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *found], names=[*carried, *arrow.names])
 

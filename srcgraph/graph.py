@@ -87,6 +87,14 @@ class PropertyGraph:
         new = rows if old is None else old.join(rows.select(*key), list(key), "left_anti").unionByName(rows, allowMissingColumns=True)
         return PropertyGraph(self.spark, self.nodes, self.edges | {kind: new})
 
+    def violations(self) -> DataFrame:
+        """What breaks the graph's rules: (rule, name, n) for labels with ids that are not unique, and for edge types with an end that is no node. No rows if none does."""
+        ids = self.all_nodes().groupBy("label", "id").agg(F.count(F.lit(1)).alias("c"))
+        twice = ids.where("c > 1").groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit("unique id").alias("rule"), F.col("label").alias("name"), "n")
+        ends = self.all_edges().select("type", F.explode(F.array_distinct(F.array("src", "dst"))).alias("id"))
+        loose = ends.join(ids.select("id"), "id", "left_anti").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+        return twice.unionByName(loose.select(F.lit("both ends").alias("rule"), F.col("type").alias("name"), "n"))
+
     def write(self, path: str) -> None:
         """A table of nodes by label and one of edges by type."""
         self.all_nodes().write.mode("overwrite").partitionBy("label").parquet(f"{path}/nodes")

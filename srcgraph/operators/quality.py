@@ -85,3 +85,17 @@ def dominant_type(values: DataFrame, key: str, kind: str) -> DataFrame:
     """The most frequent non-null kind of each key; ties go to the first by name."""
     n = values.where(F.col(kind).isNotNull()).groupBy(key, kind).agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(key).agg(F.min(F.struct(-F.col("n"), F.col(kind)))[kind].alias("dominant"), F.max("n").alias("n"))
+
+
+def coerced(values: DataFrame, key: str, kind: str, value: str) -> DataFrame:
+    """values whose texts have one type for each key, that most of them have: Integer, Float, Boolean or String.
+
+    What can't be read as that type, and null, becomes 0, false or the empty text. Dominant types are few rows a key, and joined by key.
+    """
+    of = dominant_type(values, key, kind).select(key, "dominant")
+    v, k, to = F.col(value), F.col(kind), F.col("dominant")
+    number = F.when(k == "Boolean", (F.lower(v) == "true").cast("int").cast("double")).otherwise(F.expr(f"try_cast(`{value}` as double)"))
+    true = F.when(k == "Boolean", F.lower(v) == "true").when(k.isin("Integer", "Float"), number != 0).otherwise(v != "")
+    out = F.when(to == "Integer", F.coalesce(number, F.lit(0.0)).cast("long").cast("string")).when(to == "Float", F.coalesce(number, F.lit(0.0)).cast("string"))
+    out = out.when(to == "Boolean", F.coalesce(true, F.lit(False)).cast("string")).otherwise(F.coalesce(v, F.lit("")))
+    return values.join(of, key, "left").withColumn("coerced", out)

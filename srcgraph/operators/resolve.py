@@ -223,10 +223,13 @@ def linked(rows: DataFrame, g: PropertyGraph, skip_external: bool = False) -> Pr
     return PropertyGraph(g.spark, {}, edges)
 
 
-def index_repository(files: DataFrame, root: str, name: str | None = None, is_dependency: bool = False, skip_external: bool = False) -> PropertyGraph:
-    """The graph of files (path, relative_path, text) of a repository at root. Files that can't be parsed stay as files, with their error."""
+def index_repository(files: DataFrame, root: str, name: str | None = None, is_dependency: bool = False, skip_external: bool = False, sources: bool = True) -> PropertyGraph:
+    """The graph of files (path, relative_path, text) of a repository at root. Files that can't be parsed stay as files, with their error.
+
+    sources: whether symbols keep their source and docstring.
+    """
     root = root.rstrip("/")
-    rows = cut(parsed(files))
+    rows = cut(parsed(files, sources))
     g = symbol_graph(rows, root, name, is_dependency)
     return PropertyGraph(g.spark, g.nodes, g.edges | linked(rows, g, skip_external).edges)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from srcgraph.extract.names import resolve_loosely
 from srcgraph.functions import text
 from srcgraph.graph import PropertyGraph
 from srcgraph.operators import maintain, quality, relations, resolve, search, traverse
@@ -173,6 +174,16 @@ query("dominant_type_coerce", "SELECT name AS key, kind AS dominant, n FROM (SEL
     lambda g: quality.dominant_type(g.node("Variable").select(F.col("name").alias("key"), F.when(F.col("value").cast("int") % 3 == 0, "Integer").otherwise("String").alias("kind")), "key", "kind")
 )
 
+query(
+    "coerced_values",
+    """, k AS (SELECT id, name, value, CASE WHEN value::INT % 3 = 0 THEN 'Integer' ELSE 'String' END AS kind FROM var), u AS (SELECT value[1:1] AS lk, kind, count(*) AS c FROM k GROUP BY 1, 2), d AS (SELECT lk, kind AS dominant FROM (SELECT *, row_number() OVER (PARTITION BY lk ORDER BY c DESC, kind) AS r FROM u) WHERE r = 1)
+    SELECT id, dominant, CASE WHEN dominant = 'Integer' THEN coalesce(try_cast(CASE WHEN kind = 'String' THEN concat('x', value) ELSE value END AS BIGINT), 0)::VARCHAR ELSE CASE WHEN kind = 'String' THEN concat('x', value) ELSE value END END AS coerced FROM k JOIN d ON d.lk = value[1:1]""",
+)(lambda g: quality.coerced(typed_values(g), "key", "kind", "text").select("id", "dominant", "coerced"))
+query("schema_violations", f"SELECT 'both ends' AS rule, type AS name, count(*) AS n FROM (SELECT DISTINCT type, src, dst, unnest(list_distinct([src, dst])) AS id FROM (SELECT DISTINCT * FROM {EDGES})) WHERE id NOT IN (SELECT id FROM {NODES} WHERE label <> 'Trait') GROUP BY type")(lambda g: hanging(g).violations())
+query("loose_resolution", """, s AS (SELECT id, name, path, 'Function' AS label, pk AS ord FROM func UNION ALL SELECT id, name, path, 'Class', ck FROM cls), q AS (SELECT f.id AS caller, f.path, b.name FROM calls c JOIN func b ON b.id = c.dst JOIN file f ON f.path = (SELECT path FROM func a WHERE a.id = c.src)),
+    r AS (SELECT DISTINCT caller, coalesce((SELECT min(id) FROM s WHERE s.name = q.name AND label = 'Function' HAVING count(*) = 1), (SELECT arg_min(id, ord) FROM s WHERE s.name = q.name AND s.path = q.path AND label = 'Function'), (SELECT arg_min(id, ord) FROM s WHERE s.name = q.name AND label = 'Function')) AS target FROM (SELECT DISTINCT * FROM q) q)
+    SELECT caller, target FROM r WHERE target <> caller""")(lambda g: loosely(g))
+
 # catalogue of documented patterns
 query("cookbook_08_decorated_classes", "SELECT name, path FROM func WHERE context = (SELECT max(context) FROM func)")(lambda g: g.node("Function").where(F.array_contains("decorators", F.lit("@" + first(g.node("Function").select("context"), F.desc("context"))))).select("name", "path"))
 query("cookbook_15_imported_modules", "SELECT DISTINCT m.name FROM imports i JOIN mod m ON m.id = i.dst JOIN file f ON f.id = i.src WHERE ends_with(f.path, '1')")(lambda g: g.edge("IMPORTS").join(g.node("File").where(F.col("path").endswith("1")).select(F.col("id").alias("src")), "src", "left_semi").join(g.node("Module").select(F.col("id").alias("dst"), "name"), "dst").select("name").distinct())
@@ -364,6 +375,26 @@ over_rows(
 )(resolve.resolve_inheritance)
 
 
+def typed_values(g: PropertyGraph) -> DataFrame:
+    """Values of variables as texts of two types: those that three divides are integers, the others start with a letter."""
+    v = g.node("Variable")
+    integer = F.col("value").cast("int") % 3 == 0
+    return v.select("id", F.substring("value", 1, 1).alias("key"), F.when(integer, "Integer").otherwise("String").alias("kind"), F.when(integer, F.col("value")).otherwise(F.concat(F.lit("x"), "value")).alias("text"))
+
+
+def hanging(g: PropertyGraph) -> PropertyGraph:
+    """The graph without its traits, and with one edge of each pair and type: edges to traits have no end."""
+    return PropertyGraph(g.spark, {k: n for k, n in g.nodes.items() if k != "Trait"}, {k: e.select("src", "dst").distinct() for k, e in g.edges.items()})
+
+
+def loosely(g: PropertyGraph) -> DataFrame:
+    """Calls from files, by the called functions' names, as the loose rule resolves them."""
+    f, c = g.node("Function"), g.node("Class")
+    symbols = f.select("id", F.lit("Function").alias("label"), "name", "path", F.col("line_number").alias("ord")).unionByName(c.select("id", F.lit("Class").alias("label"), "name", "path", F.col("line_number").alias("ord")))
+    calls = g.pairs("CALLS").join(f.select(F.col("id").alias("src"), "path"), "src").join(f.select(F.col("id").alias("dst"), "name"), "dst")
+    return resolve_loosely(calls.join(g.node("File").select(F.col("id").alias("caller"), "path"), "path").select("caller", "name", "path"), symbols)
+
+
 def text_of(g: PropertyGraph) -> str:
     return first(g.node("File").where(F.col("path") == file_path(g)).select("relative_path"), "relative_path")
 

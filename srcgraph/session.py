@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable
@@ -39,6 +41,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/srcgraph-checkpoints"
 
 
+def settle(spark: SparkSession) -> None:
+    """Gives back the driver's memory that models and long chains of plans leave behind: Python's, and the JVM's with its compiled plans.
+
+    Collecting there also lets Spark delete the shuffle files of plans that are gone.
+    """
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+    spark._jvm.System.gc()
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

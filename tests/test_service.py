@@ -140,3 +140,37 @@ def test_one_entry_for_questions(repo):
         with pytest.raises(analyze.UnknownQuestion):
             analyze.analyze(repo, kind, target)
     assert registry.by_language(repo.all_nodes(), "function", "Rust").where(F.col("name") == "helper").count() == 1
+
+
+def test_indexing_jobs_add_to_a_stored_graph(spark, tmp_path):
+    from srcgraph.service import indexing
+
+    root = tmp_path / "code"
+    root.mkdir()
+    (root / "m.py").write_text('x = 1\n\n\ndef f():\n    """Doc."""\n    return g()\n\n\ndef g():\n    return 2\n')
+    log, store = jobs.JobLog(spark, str(tmp_path / "jobs")), indexing.Store(spark, str(tmp_path / "store"))
+    s = settings.Settings(tmp_path / "home", environment={"INDEX_VARIABLES": "false", "INDEX_SOURCE": "false"})
+    job = indexing.add_code(log, store, str(root), settings=s)
+    log.close()
+    assert (job["files"], job["seconds"]) == (1, 0.05) and log.status(job["job_id"]).first()["state"] == "completed"
+    g = store.graph()
+    assert {r["name"] for r in g.node("Function").collect()} == {"f", "g"} and g.edge("CALLS").count() == 1
+    assert g.node("Variable").isEmpty() and g.node("Function").where("source is not null or docstring is not null").isEmpty()
+    assert g.violations().isEmpty()
+    with pytest.raises(ValueError):
+        indexing.add_code(log, store, str(root))
+    with pytest.raises(FileNotFoundError):
+        indexing.add_code(log, store, str(tmp_path / "none"))
+    with pytest.raises(FileNotFoundError):
+        indexing.add_package(log, store, "no_such_package")
+    bundle.export(g, str(tmp_path / "s"))
+    again = indexing.load_bundle(indexing.Store(spark, str(tmp_path / "other")), bundle.archive(str(tmp_path / "s"), str(tmp_path / "s.cgc")), str(tmp_path / "t"))
+    assert {r["id"] for r in again.node("Function").collect()} == {r["id"] for r in g.node("Function").collect()}
+
+
+def test_values_get_the_type_that_most_have(spark):
+    from srcgraph.operators import quality
+
+    rows = [("a", "Integer", "5"), ("a", "Integer", "7"), ("a", "String", "x"), ("a", "Boolean", "true"), ("a", None, None), ("b", "Boolean", "false"), ("b", "Boolean", "true"), ("b", "Integer", "3"), ("b", "String", ""), ("c", "String", "t"), ("c", None, None), ("d", "Float", "1.5"), ("d", None, None)]
+    got = quality.coerced(spark.createDataFrame(rows, "key string, kind string, value string").coalesce(1), "key", "kind", "value").orderBy("key", "kind", "value").collect()
+    assert sorted((r["key"], r["value"] or "", r["coerced"]) for r in got) == [("a", "", "0"), ("a", "5", "5"), ("a", "7", "7"), ("a", "true", "1"), ("a", "x", "0"), ("b", "", "false"), ("b", "3", "true"), ("b", "false", "false"), ("b", "true", "true"), ("c", "", ""), ("c", "t", "t"), ("d", "", "0.0"), ("d", "1.5", "1.5")]
