@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from srcgraph.session import settle
+
 from . import textkit
 from .staging import read
 
@@ -240,7 +242,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, path: str = VOCABUL
     samples: dict[str, list[str]] = {}
     for r in known.where(drawn).select("lang", "text").orderBy("lang", F.xxhash64("text")).collect():
         samples.setdefault(r["lang"], []).append(r["text"])
-    return fit(samples, path)
+    model = fit(samples, path)
+    del samples
+    settle(docs.sparkSession)
+    return model
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str = VOCABULARY, carry: list[str] | None = None) -> DataFrame:

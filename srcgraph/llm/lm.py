@@ -165,7 +165,7 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT)
 
     def beside(sender: int) -> int:
         """A part of its own kind for rows that owners only pass on, spread evenly."""
-        return parts + int(textkit.mix64(np.array([sender], U))[0] % U(parts))
+        return parts + int(textkit.mix64(np.array([sender], U))[0] % U(64 * parts))
 
     def send(batches):
         task, count, size, place = TaskContext.get().partitionId(), 0, 0, 0

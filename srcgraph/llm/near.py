@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcgraph.session import settle
+
 from . import textkit
 from .components import components
 from .staging import drop, narrow, read, stage, unveiled, veiled
@@ -481,6 +483,7 @@ def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
         labels = relabelled(labels, found.where("linked"))
         tested.append(found)
         drop(tiles, pairs)
+        settle(docs.sparkSession)
     drop(kept, *tested)
     named = stage(classes.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-named")
     drop(labels, classes)
