@@ -98,6 +98,24 @@ for _n, _cs, _p in (("find_pattern_ci", False, "BRAND"), ("find_pattern_cs", Tru
     _c = "contains(name, 'Brand')" if _cs else "contains(lower(name), 'brand')"
     query(_n, f"SELECT 'Module' AS label, name, NULL::VARCHAR AS path, NULL::INT AS line_number, false AS is_dependency FROM mod WHERE {_c} ORDER BY name LIMIT 50")(lambda g, p=_p, cs=_cs: search.by_pattern(g, p, cs))
 
+query("find_content_class", f"SELECT {PLACES}, 'class' AS type FROM cls WHERE contains(lower(name), '#00000001') ORDER BY is_dependency, path, line_number, id LIMIT 20")(lambda g: search.by_content(g, "#00000001"))
+query(
+    "find_pattern_mixed",
+    """SELECT * FROM (SELECT 'Function' AS label, name, path, line_number, is_dependency FROM func UNION ALL SELECT 'Class', name, path, line_number, is_dependency FROM cls UNION ALL SELECT 'Module', name, NULL, NULL, false FROM mod
+    UNION ALL SELECT 'Variable', name, path, line_number, is_dependency FROM var) WHERE contains(lower(name), 'r') ORDER BY is_dependency, name, label, path NULLS LAST, line_number LIMIT 2000""",
+)(lambda g: search.by_pattern(g, "R", n=2000))
+query(
+    "find_name_all_kinds",
+    f"""SELECT * FROM (SELECT name, path, line_number, 'variable' AS type FROM var WHERE contains(name, '1') ORDER BY is_dependency, name, path, line_number, id LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT name, name, NULL::INT, 'module' FROM mod WHERE contains(name, '1') ORDER BY name LIMIT 20)""",
+)(lambda g: search.everything_named(g, "1"))
+query(
+    "find_related_class",
+    f"""SELECT {PLACES}, search_type, relevance, count(*) OVER () AS total FROM (
+    SELECT * FROM (SELECT {PLACES}, 'class' AS search_type, CASE WHEN is_dependency THEN 0.6 ELSE 0.8 END::DOUBLE AS relevance, 1 AS turn FROM cls WHERE name = (SELECT max(name) FROM cls) ORDER BY path, line_number, id LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT {PLACES}, 'content', CASE WHEN is_dependency THEN 0.4 ELSE 0.6 END::DOUBLE, 3 FROM cls WHERE contains(lower(name), lower((SELECT max(name) FROM cls))) ORDER BY is_dependency, path, line_number, id LIMIT 20)) ORDER BY relevance DESC, turn, path, line_number, id LIMIT 15""",
+)(lambda g: search.related(g, first(g.node("Class").select("name"), F.desc("name"))))
+
 # relations
 CALLERS = f"SELECT DISTINCT a.name AS caller_name, a.path AS caller_path, a.line_number AS caller_line_number, a.is_dependency AS caller_is_dependency, c.line_number AS call_line, c.arg AS call_args, {FULL} AS full_call_name, b.name AS callee_name, b.path AS callee_path FROM calls c JOIN func a ON a.id = c.src JOIN func b ON b.id = c.dst"
 ORDER = " ORDER BY caller_is_dependency, caller_path, caller_line_number, call_line, call_args, full_call_name, callee_path LIMIT 20"
