@@ -30,7 +30,7 @@ ROUNDS, SMOOTH, SCALE = 4, 0.05, 24.0
 BLOCKS = 64
 NONE = "und"
 #: Words that a worker keeps.
-KEPT = 300_000
+KEPT = 150_000
 
 
 class Vocabulary:
@@ -244,6 +244,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, path: str = VOCABUL
         samples.setdefault(r["lang"], []).append(r["text"])
     model = fit(samples, path)
     del samples
+    vocabulary.cache_clear()  # workers have their own
     settle(docs.sparkSession)
     return model
 

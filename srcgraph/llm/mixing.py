@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from srcgraph.session import settle
+
 from .numbering import hex_key, running
 from .staging import drop, read, stage, unveiled, veiled
 
@@ -81,6 +83,7 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     Rows are told apart by all their columns; rows equal in all take their passes together. Texts without words are not taken.
     No documents, no rows; the columns are those of docs.
     """
+    settle(docs.sparkSession)  # what earlier stages shuffled can go before whole texts are moved here
     x, names = veiled(docs)
     # a doc_id may be null or that of other rows too, so a hash of the whole row decides with it
     x = x.withColumn("_mark", F.xxhash64(*names.values(), *[F.col(c).isNull() for c in names.values()]))

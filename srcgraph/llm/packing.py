@@ -7,11 +7,12 @@ what is left is packed best-fit decreasing. Pieces then find their place by thei
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 import zlib
 from collections import defaultdict
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ VOCABULARY = "byte_bpe_50k"
 SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 #: Distinct pieces whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 150_000
 
 
 @cache
@@ -86,15 +87,22 @@ class Tokens:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.path = public_tokenizers.path(f"{name}.json")
+        with open(self.path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.clear()
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, which only few texts need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def clear(self) -> None:
         self.at: dict[int, int] = {}
         self.ids, self.from_ = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64)
