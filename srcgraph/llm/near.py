@@ -452,7 +452,7 @@ def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
     seen = stage(survey(docs.withColumn("mark", F.xxhash64("text")) if by_text else docs), "near-survey", "none", 8 << 20)  # hashes don't compress, and scans for a few of them should hold little
     more_of = ["mark"] if by_text else []
     # a set is a node
-    meta = seen.where("kind = 0").select("doc_id", "node", "n", *more_of)
+    meta = stage(seen.where("kind = 0").select("doc_id", "node", "n", *more_of), "near-meta")
     classes = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.min("place").alias("place"))
     classes = stage(classes, "near-classes")
     sets = seen.where("kind = 0 and place is not null")
@@ -484,7 +484,7 @@ def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
         tested.append(found)
         drop(tiles, pairs)
         settle(docs.sparkSession)
-    drop(kept, *tested)
+    drop(kept, seen, *tested)
     named = stage(classes.join(labels, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "near-named")
     drop(labels, classes)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
