@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_50k"
 SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 #: Distinct pieces whose ids a worker keeps.
-KEPT = 150_000
+KEPT = 400_000
 
 
 @cache
