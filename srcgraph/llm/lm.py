@@ -1,11 +1,12 @@
 """Stupid-backoff scores of documents under word bigram counts of the whole corpus.
 
 S(w | v) = c(v w) / c(v) if c(v w) >= min_count, else alpha * c(w) / N. Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; a
-document's first word follows a start mark, which c counts too. The count tables are partitioned by a hash of w. An owner
-gets all occurrences that end in its words, as words' hashes with document numbers, and so counts w and v w and joins the
-counts to the occurrences at once; c(v) of the bigrams that count is asked of the owner of v. What is frequent would make
-owners uneven: words and bigrams of at least HOT of all are counted first. The bigrams among them are scored where they
-stand, and occurrences that end in such a word are dealt by the whole bigram. Sums by document end it.
+document's first word follows a start mark, which c counts too. A sender, about HELD words of one task, sends each of its
+different words and bigrams once, with how often it has it, to the owner of the key's hash range. An owner adds up the counts
+of all senders and answers each with the whole counts, in the order of its keys, so that counts need no keys with them. The
+sender's documents, as numbers of its words, go round the owners and meet the answers, which are joined to the occurrences
+there; a document is never cut, so its sum is made in one place. A key comes to its owner once for each sender however
+frequent it is, and what is sent and held for a word doesn't grow with the corpus.
 Words are told apart by 64 bits of a hash.
 """
 
@@ -18,15 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from .staging import drop, read, stage
+from .staging import read, stage
 
 ALPHA, MIN_COUNT = 0.4, 2
-#: Share of all words that makes a word or bigram frequent; there are at most 1 / HOT of each.
-HOT = 0.001
-#: Occurrences that a sender packs at once.
+#: Words, or documents, of a sender, about; a longer text is a sender of its own.
 HELD = 1_500_000
-#: Occurrences that an owner joins to their counts at once; more words than that of one part are taken in turns.
-TURN = 250_000
+#: Bytes of rows that a task gives to Spark at once, about.
+GIVEN = 4_000_000
 START = np.uint64(0x0123456789ABCDEF)
 U = np.uint64
 
@@ -46,99 +45,97 @@ def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return textkit.mix64(v * textkit.BASE + w)
 
 
-def tally(docs: DataFrame, known: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(kind, key, n) by task: words (1), bigrams (2), all words (0), texts with words (3). known: the only keys of kinds 1 and 2, counted exactly; else a task tells those that are HOT / 2 of its own."""
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The owner of each key; owners have ranges of keys, in order."""
+    return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
-    def count(batches):
-        total = texts_with = 0
-        found = ([], [])
-        sums = [np.zeros(len(k), np.int64) for k in known or ((), ())]
-        for _, texts, _ in textkit.chunks(batches):
-            w, v, doc = bigrams(texts)
-            total += len(w)
-            texts_with += int((v == START).sum())
-            for i, keys in enumerate((w, pair(v, w))):
-                if known is None:
-                    values, times = np.unique(keys, return_counts=True)
-                    some = times >= max(2, HOT / 4 * len(w))
-                    found[i].append((values[some], times[some]))
-                elif len(known[i]):
-                    at = np.minimum(np.searchsorted(known[i], keys), len(known[i]) - 1)
-                    sums[i] += np.bincount(at[known[i][at] == keys], minlength=len(known[i]))
-        rows = [(0, 0, total), (3, 0, texts_with)]
-        for i in range(2):
-            if known is not None:
-                values, times = known[i], sums[i]
-            else:
-                values, inverse = np.unique(np.concatenate([k for k, _ in found[i]] or [np.zeros(0, U)]), return_inverse=True)
-                times = np.bincount(inverse.ravel(), np.concatenate([t for _, t in found[i]] or [np.zeros(0)]), len(values)).astype(np.int64)
-                values, times = values[times >= HOT / 2 * total], times[times >= HOT / 2 * total]
-            rows += [(i + 1, k, n) for k, n in zip(values.view(np.int64).tolist(), times.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["kind", "key", "n"])
-
-    return docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def part_of(w: np.ndarray, parts: int) -> np.ndarray:
-    return ((w >> U(32)) * U(parts) >> U(32)).astype(np.int64)
-
-
-def groups(*keys: np.ndarray) -> np.ndarray:
-    """Where in sorted rows a new key starts."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(keys[0]), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
-
-
-def pack_rows(words: np.ndarray, others: np.ndarray | None, docs: np.ndarray, negative: bool = False) -> bytes:
-    """Rows sorted by words as runs of them: counts, words (8 bytes), run lengths (4), others (8), docs (2 or 4)."""
-    head = groups(words)
-    wide = len(docs) and int(docs.max()) > 65535
-    out = [np.array([len(head), len(words), wide], np.uint32).tobytes(), words[head].tobytes(), np.diff(np.append(head, len(words))).astype(np.uint32).tobytes()]
-    if others is not None:
-        out.append(others.tobytes())
-    return b"".join([*out, docs.astype(np.uint32 if wide else np.uint16).tobytes()])
-
-
-def unpack_asked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Words and docs of pack_rows() without others."""
-    m, n, wide = np.frombuffer(blob, np.uint32, 3).tolist()
-    words = np.repeat(np.frombuffer(blob, U, m, 12), np.frombuffer(blob, np.uint32, m, 12 + 8 * m))
-    return words, np.frombuffer(blob, np.uint32 if wide else np.uint16, n, 12 + 12 * m).astype(np.int64)
-
-
-def runs_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, run lengths, where runs begin and end, others and docs of pack_rows()."""
-    m, n, wide = np.frombuffer(blob, np.uint32, 3).tolist()
-    times, at = np.frombuffer(blob, np.uint32, m, 12 + 8 * m).astype(np.int64), 12 + 12 * m
-    others = np.frombuffer(blob, U, n, at)
-    return np.frombuffer(blob, U, m, 12), times, np.concatenate(([0], np.cumsum(times))), others, np.frombuffer(blob, np.uint32 if wide else np.uint16, n, at + 8 * n)
-
-
-def pack_sums(docs: np.ndarray, values: np.ndarray, hits: np.ndarray) -> bytes:
-    return docs.astype(np.uint32).tobytes() + values.astype(np.float64).tobytes() + hits.astype(np.uint32).tobytes()
-
-
-COLUMNS = (("kind", pa.int32()), ("part", pa.int64()), ("sender", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("words", pa.int64()), ("blob", pa.binary()))
-SCHEMA = "kind int, part long, sender long, doc_id long, place long, words long, blob binary"
-#: Kinds of rows: a document; occurrences for an owner; sums for a sender; c(v) asked of an owner; an owner's counts.
-DOCUMENT, OCCURRENCES, SUMS, ASKED, COUNTS = range(5)
 
+def groups(keys: np.ndarray) -> np.ndarray:
+    """Where in sorted keys a new one starts."""
+    return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
-def batch(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(COLUMNS)], names=[c for c, _ in COLUMNS])
+
+def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, sorted, how often each is there, and which of them each key is."""
+    order = np.argsort(keys)
+    head = groups(ordered := keys[order])
+    times = np.diff(np.append(head, len(keys)))
+    which = np.empty(len(keys), np.uint32)
+    which[order] = np.repeat(np.arange(len(head), dtype=np.uint32), times)
+    return ordered[head], times, which
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys; many of them as their lower 48 bits, with how many there are of each of the upper 16."""
+    top = (keys >> U(48)).astype(np.int64)
+    first, width = int(top[0]), int(top[-1] - top[0]) + 1
+    if width * 2 > len(keys):
+        return np.array([len(keys), 0, 0], np.uint32).tobytes() + keys.tobytes()
+    head = np.array([len(keys), width, first], np.uint32).tobytes() + np.bincount(top - first, minlength=width).astype(np.uint32).tobytes()
+    return head + keys.astype(np.uint32).tobytes() + (keys >> U(32)).astype(np.uint16).tobytes()
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, int]:
+    """The keys of pack_keys(), and where in the blob they end."""
+    n, width, first = np.frombuffer(blob, np.uint32, 3).tolist()
+    if not width:
+        return np.frombuffer(blob, U, n, 12), 12 + 8 * n
+    at = 12 + 4 * width
+    top = np.repeat(np.arange(first, first + width, dtype=U), np.frombuffer(blob, np.uint32, width, 12))
+    low, middle = np.frombuffer(blob, np.uint32, n, at), np.frombuffer(blob, np.uint16, n, at + 4 * n)
+    return top << U(48) | middle.astype(U) << U(32) | low, at + 6 * n
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as a byte each; larger ones beside, with their places."""
+    large = np.flatnonzero(counts > 254)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype(np.uint32).tobytes() + counts[large].astype(np.int64).tobytes()
+
+
+def unpack_counts(blob: bytes, n: int, at: int = 0) -> np.ndarray:
+    """The n counts of pack_counts() that stand at the end of a blob."""
+    counts = np.frombuffer(blob, np.uint8, n, at).astype(np.int64)
+    m = (len(blob) - at - n) // 12
+    counts[np.frombuffer(blob, np.uint32, m, at + n)] = np.frombuffer(blob, np.int64, m, at + n + 4 * m)
+    return counts
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as all their lowest bytes, then the next ones: Spark's compression takes out those that are zero."""
+    return np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplanes(blob: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, at).reshape(4, n).T).view(np.uint32).ravel()
 
 
-def lookup(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """The counts of asked by sorted keys; 0 where there is none."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, counts[at], 0)
+def pack_documents(ids: pa.Array, n: np.ndarray, times: np.ndarray, which: np.ndarray) -> bytes:
+    """Documents' ids and numbers of words, and which word of the sender's sorted ones each word is, by rank of frequency."""
+    by_rank = np.argsort(-times, kind="stable")
+    rank = np.empty(len(by_rank), np.uint32)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    missing = ids.is_null().to_numpy(zero_copy_only=False)
+    head = np.array([len(n), len(by_rank), len(which)], np.int64).tobytes() + ids.fill_null(0).to_numpy().astype(np.int64).tobytes()
+    return b"".join([head, missing.tobytes(), n.astype(np.int64).tobytes(), planes(by_rank), planes(rank[which])])
+
+
+def unpack_documents(blob: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """ids, numbers of words, and the words' places among the sender's sorted ones."""
+    m, k, total = np.frombuffer(blob, np.int64, 3).tolist()
+    ids = pa.array(np.frombuffer(blob, np.int64, m, 24), mask=np.frombuffer(blob, bool, m, 24 + 8 * m))
+    at = 24 + 9 * m
+    n = np.frombuffer(blob[at : at + 8 * m], np.int64)
+    return ids, n, unplanes(blob, k, at + 8 * m)[unplanes(blob, total, at + 8 * m + 4 * k)]
+
+
+COLUMNS = (("kind", pa.int32()), ("part", pa.int64()), ("sender", pa.int64()), ("n", pa.int64()), ("blob", pa.binary()))
+SCHEMA = "kind int, part long, sender long, n long, blob binary"
+#: Kinds of rows: a sender's documents; keys and counts of its words, its bigrams, and, from owners, whole counts; how many words an owner has.
+DOCUMENTS, WORDS, PAIRS, TOTAL = range(4)
+
+
+def batch(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(COLUMNS)], names=[c for c, _ in COLUMNS])
 
 
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
@@ -148,160 +145,121 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT)
     sums; rows that repeat a doc_id are documents of their own. No documents, no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(8, docs.rdd.getNumPartitions())
-    told = stage(tally(docs, None), "lm-tally")
-    total = (told.where("kind = 0").first() or {"n": 0})["n"]
-    first = told.where(F.col("kind").isin(1, 2) & (F.col("n") >= HOT / 2 * total)).collect()  # at most 2 / HOT of either kind
-    drop(told)
-    candidates = tuple(np.array(sorted(r["key"] & (2**64 - 1) for r in first if r["kind"] == k), U) for k in (1, 2))
-    exact = tally(docs, candidates).collect()
-    starts = sum(r["n"] for r in exact if r["kind"] == 3)
-    words_hot, pairs_hot = ({r["key"] & (2**64 - 1): r["n"] for r in exact if r["kind"] == k and r["n"] >= HOT * total} for k in (1, 2))
-    words_hot[int(START)] = starts
-    hw = np.array(sorted(words_hot), U)
-    hc = np.array([words_hot[int(k)] for k in hw], np.int64)
-    hp = np.array(sorted(pairs_hot), U)
-    hpc = np.array([pairs_hot[int(k)] for k in hp], np.int64)
+    parts, most = max(8, docs.rdd.getNumPartitions()), HELD
 
     def beside(sender: int) -> int:
         """A part of its own kind for rows that owners only pass on, spread evenly."""
         return parts + int(textkit.mix64(np.array([sender], U))[0] % U(64 * parts))
 
-    def send(batches):
-        task, count, size, place = TaskContext.get().partitionId(), 0, 0, 0
-        held = []
-
-        def tell(sender):
-            w, v, d = (np.concatenate(x) for x in zip(*held))
-            part = part_of(np.where(lookup(hw, hc, w) > 0, pair(v, w), w), parts)
-            order = np.argsort(w, kind="stable")
-            order = order[np.argsort(part[order], kind="stable")]
-            w, v, d, part = w[order], v[order], d[order], part[order]
-            edges = np.searchsorted(part, np.arange(parts + 1))
+    def rows_of(sender: int, held: list[tuple]):
+        w, v, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+        ids = pa.concat_arrays([a for h in held for a in h[3].chunks])
+        held.clear()
+        pairs, starts = pair(v, w), np.full((v == START).sum(), START)
+        del v
+        # the start mark is a word that is counted but stands nowhere
+        words, times, which = different(np.append(w, starts))
+        yield DOCUMENTS, beside(sender), sender, None, pack_documents(ids, n, times, which[: len(w)])
+        del w, which
+        pairs.sort()
+        head = groups(pairs)
+        for kind, keys, counts in ((WORDS, words, times), (PAIRS, pairs[head], np.diff(np.append(head, len(pairs))))):
+            edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 a, b = edges[p], edges[p + 1]
-                yield batch([(OCCURRENCES, p, sender, None, None, None, pack_rows(w[a:b], v[a:b], d[a:b]))])
+                yield kind, p, sender, None, pack_keys(keys[a:b]) + pack_counts(counts[a:b])
+
+    def send(batches):
+        task, count, held, size, place = TaskContext.get().partitionId(), 0, [], 0, 0
+
+        def tell():
+            rows, given = [], 0
+            for row in rows_of(task << 20 | count, held):
+                rows.append(row)
+                given += len(row[-1])
+                if given >= GIVEN:
+                    yield from batch(rows).to_batches()
+                    rows, given = [], 0
+            if rows:
+                yield from batch(rows).to_batches()
 
         for rows, texts, _ in textkit.chunks(batches):
             w, v, doc = bigrams(texts)
-            sender, m = task << 20 | count, len(texts)
-            n = np.bincount(doc, minlength=m)
-            yield batch([(DOCUMENT, beside(sender), sender, i, place + j, k, None) for j, (i, k) in enumerate(zip(rows.column("doc_id").to_pylist(), n.tolist()))])
-            times = lookup(hp, hpc, pair(v, w))
-            local = (times > 0) & (times >= min_count)
-            if local.any():
-                value = np.log(times[local]) - np.log(lookup(hw, hc, v[local]))
-                at = np.flatnonzero(hit := np.bincount(doc[local], minlength=m))
-                yield batch([(SUMS, beside(sender), sender, None, None, None, pack_sums(at + place, np.bincount(doc[local], value, m)[at], hit[at]))])
-            held.append((w[~local], v[~local], doc[~local] + place))
-            place, size = place + m, size + int((~local).sum())
-            if size >= HELD:
-                yield from tell(sender)
+            if held and size + len(w) > most:
+                yield from tell()
+                held, size, place, count = [], 0, 0, count + 1
+            held.append((w, v, np.bincount(doc, minlength=len(texts)), rows.column("doc_id")))
+            size, place = size + len(w), place + len(texts)
+            if max(size, place) >= most:
+                yield from tell()
                 held, size, place, count = [], 0, 0, count + 1
         if held:
-            yield from tell(task << 20 | count)
-
-    def sends(batches):
-        for t in send(batches):
-            yield from t.to_batches()
+            yield from tell()
 
     def own(t: pa.Table) -> pa.Table:
-        if t.column("kind")[0].as_py() != OCCURRENCES:
+        kinds = t.column("kind").to_numpy()
+        if kinds[0] == DOCUMENTS:
             return t
-        senders = t.column("sender").to_numpy()
-        names, which = np.unique(senders, return_inverse=True)
-        held = [(*runs_of(b), i) for b, i in zip(t.column("blob").to_pylist(), which.ravel().tolist())]
-        del t
-        top = max(int(d.max()) for *_, d, _ in held) + 1
-        sums, hits = np.zeros((len(names), top)), np.zeros((len(names), top), np.int64)
-        heads, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(heads)
-        total_rows = np.cumsum(sizes[order])
-        ends = np.unique(heads[order][np.minimum(np.searchsorted(total_rows, np.arange(TURN, total_rows[-1] + TURN, TURN)), len(heads) - 1)])
-        del heads, sizes, order, total_rows
-        rows, tables, below = [], [], None
-        asks: dict[tuple[int, int], list] = {}
-        for end in ends:
-            w, v, d, s = [], [], [], []
-            for words, times, edges, others, docs, i in held:
-                a, b = 0 if below is None else int(np.searchsorted(words, below, "right")), int(np.searchsorted(words, end, "right"))
-                w.append(np.repeat(words[a:b], times[a:b]))
-                v.append(others[edges[a] : edges[b]])
-                d.append(docs[edges[a] : edges[b]])
-                s.append(np.full(edges[b] - edges[a], i, np.int64))
-            below = end
-            w, v, d, s = (np.concatenate(x) for x in (w, v, d, s))
-            if not len(w):
+        part, senders, rows = t.column("part")[0].as_py(), t.column("sender").to_pylist(), []
+        for kind in (WORDS, PAIRS):
+            at = np.flatnonzero(kinds == kind)
+            if not len(at):
                 continue
-            order = np.lexsort((v, w))
-            w, v, d, s = w[order], v[order], d[order].astype(np.int64), s[order]
-            head = groups(w)
-            counts = np.diff(np.append(head, len(w)))
-            frequent = lookup(hw, hc, w[head])
-            several = (frequent == 0) & (counts >= min_count)
-            tables.append(np.stack([w[head][several], counts[several].astype(U)]))
-            c_w = np.repeat(np.where(frequent > 0, frequent, counts), counts)
-            k = np.diff(np.append(groups(w, v), len(w)))
-            c_vw = np.repeat(k, k)
-            seen = c_vw >= min_count
-            c_v = lookup(hw, hc, v)
-            value = np.where(seen, np.log(c_vw) - np.log(np.maximum(c_v, 1)), np.log(alpha) + np.log(c_w) - np.log(total))
-            sums += np.bincount(s * top + d, value, sums.size).reshape(sums.shape)
-            hits += np.bincount(s * top + d, seen, hits.size).astype(np.int64).reshape(hits.shape)
-            ask = np.flatnonzero(seen & (c_v == 0))
-            p = part_of(v[ask], parts)
-            order = np.lexsort((v[ask], s[ask], p))
-            ask, p = ask[order], p[order]
-            cut = np.append(groups(p, s[ask]), len(ask))
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                asks.setdefault((int(p[a]), int(s[ask[a]])), []).append((v[ask[a:b]], d[ask[a:b]].astype(np.uint32)))
-        for i, name in enumerate(names.tolist()):
-            place = np.flatnonzero((sums[i] != 0) | (hits[i] > 0))
-            rows.append((SUMS, None, name, None, None, None, pack_sums(place, sums[i, place], hits[i, place])))
-        for (p, i), found in asks.items():
-            v, d = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(v, kind="stable")
-            rows.append((ASKED, p, int(names[i]), None, None, None, pack_rows(v[order], None, d[order])))
-        table = np.concatenate(tables, 1)
-        part = part_of(table[0], parts)
-        for q in np.unique(part).tolist():
-            rows.append((COUNTS, q, None, None, None, None, table[:, part == q].tobytes()))
+            blobs = t.column("blob").take(pa.array(at)).to_pylist()
+            keys, counts, ends = [], [], []
+            for blob in blobs:
+                own, end = unpack_keys(blob)
+                keys.append(own)
+                counts.append(unpack_counts(blob, len(own), end))
+                ends.append(end)
+            sizes = [len(k) for k in keys]
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            del own
+            if kind == WORDS:
+                rows.append((TOTAL, part, None, int(counts[keys != START].sum()), None))
+            order = np.argsort(keys)
+            head = groups(keys[order])
+            counts[order] = np.repeat(np.add.reduceat(counts[order], head), np.diff(np.append(head, len(keys))))
+            del keys, order, head
+            edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+            for i, a, b, blob, end in zip(at.tolist(), edges[:-1], edges[1:], blobs, ends):
+                rows.append((kind, part, senders[i], b - a, (blob[:end] if kind == WORDS else b"") + pack_counts(counts[a:b])))
         return batch(rows)
 
-    def reply(t: pa.Table) -> pa.Table:
-        kinds, blobs, senders = t.column("kind").to_numpy(), t.column("blob").to_pylist(), t.column("sender").to_pylist()
-        tables = [np.frombuffer(b, U).reshape(2, -1) for b, k in zip(blobs, kinds) if k == COUNTS]
-        keys, counts = np.concatenate(tables, 1) if tables else np.zeros((2, 0), U)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(np.int64)
-        rows = []
-        for kind, blob, sender in zip(kinds, blobs, senders):
-            if kind == ASKED:
-                v, d = unpack_asked(blob)
-                place, which = np.unique(d, return_inverse=True)
-                value = np.bincount(which.ravel(), -np.log(lookup(keys, counts, v)))
-                rows.append((SUMS, None, sender, None, None, None, pack_sums(place, value, np.zeros(len(place)))))
-        return batch(rows)
+    owned = stage(docs.mapInArrow(send, SCHEMA).groupBy("part").applyInArrow(own, SCHEMA), "lm-owned", row_group=16 << 20)
+    total = owned.where(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
 
     def close(t: pa.Table) -> pa.Table:
-        kinds = t.column("kind").to_numpy()
-        own = t.filter(pa.array(kinds == DOCUMENT))
-        place = own.column("place").to_numpy()
-        n = int(place.max()) + 1
-        total, hits = np.zeros(n), np.zeros(n, np.int64)
-        for blob in t.filter(pa.array(kinds == SUMS)).column("blob").to_pylist():
-            k = len(blob) // 16
-            at = np.frombuffer(blob, np.uint32, k).astype(np.int64)
-            total[at] += np.frombuffer(blob, np.float64, k, 4 * k)
-            hits[at] += np.frombuffer(blob, np.uint32, k, 12 * k)
-        words = own.column("words").to_numpy()
-        mean = pa.array(total[place] / np.maximum(words, 1), mask=words == 0)
-        return pa.table({"doc_id": own.column("doc_id"), "n_words": own.column("words"), "n_seen": hits[place], "log_score": total[place], "score": mean})
-
-    owned = stage(docs.mapInArrow(sends, SCHEMA).groupBy("part").applyInArrow(own, SCHEMA), "lm-owned")
-    replied = owned.where(F.col("kind").isin(ASKED, COUNTS)).groupBy("part").applyInArrow(reply, SCHEMA)
-    sums = owned.where(F.col("kind").isin(DOCUMENT, SUMS)).unionByName(replied)
-    return sums.groupBy("sender").applyInArrow(close, "doc_id long, n_words long, n_seen long, log_score double, score double")
+        t = t.sort_by("part")  # owners have ranges of keys, so answers in their order are in the order of the keys
+        kinds, sizes, blobs = t.column("kind").to_numpy(), t.column("n").to_pylist(), t.column("blob").to_pylist()
+        ids, n, which = unpack_documents(blobs[int(np.flatnonzero(kinds == DOCUMENTS)[0])])
+        doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+        sums, hits = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        if len(which):
+            keys, c = [], []
+            for i in np.flatnonzero(kinds == WORDS).tolist():
+                own, end = unpack_keys(blobs[i])
+                keys.append(own)
+                c.append(unpack_counts(blobs[i], len(own), end))
+            keys, c = np.concatenate(keys), np.concatenate(c)
+            c_pair = np.concatenate([unpack_counts(blobs[i], sizes[i]) for i in np.flatnonzero(kinds == PAIRS).tolist()])
+            before = np.concatenate((which[:1], which[:-1]))
+            before[np.concatenate(([True], doc[1:] != doc[:-1]))] = np.searchsorted(keys, START)
+            pairs = pair(keys[before], keys[which])
+            order = np.argsort(pairs)
+            head = groups(pairs[order])
+            v, w = c[before[order[head]]], c[which[order[head]]]
+            seen = c_pair >= min_count
+            value = np.where(seen, np.log(c_pair) - np.log(v), np.log(alpha) + np.log(w) - np.log(total))
+            times, doc = np.diff(np.append(head, len(order))), doc[order]
+            del pairs, order, before, which
+            sums = np.bincount(doc, np.repeat(value, times), len(n))
+            hits = np.bincount(doc, np.repeat(seen, times), len(n)).astype(np.int64)
+        mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
+        return pa.table({"doc_id": ids, "n_words": n, "n_seen": hits, "log_score": sums, "score": mean})
+
+    answers = owned.where(F.col("kind") != TOTAL)
+    return answers.groupBy("sender").applyInArrow(close, "doc_id long, n_words long, n_seen long, log_score double, score double")
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
