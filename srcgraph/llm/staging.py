@@ -15,19 +15,23 @@ BROADCAST_ROWS = 500_000
 
 #: Rows that scans read at once, where rows are wide.
 FEW_ROWS, BATCH_ROWS = 256, "spark.sql.parquet.columnarReaderBatchSize"
+#: Whether shuffle files of a query go when it ends, not when the driver comes to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage(df: DataFrame, name: str, compression: str = "snappy", row_group: int = 128 << 20, wide: bool = False) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back. row_group: bytes that writers, and readers of a column, hold.
-    wide: the scans that df begins with read FEW_ROWS at once."""
+    wide: the scans that df begins with read FEW_ROWS at once. Nothing that df shuffled stays on disk beside the table."""
     path, conf = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
-    usual = conf.get(BATCH_ROWS)
+    usual, freed = conf.get(BATCH_ROWS), conf.get(FREED, "false")
     try:
+        conf.set(FREED, "true")
         if wide:
             conf.set(BATCH_ROWS, FEW_ROWS)
         df.write.option("parquet.block.size", row_group).parquet(path, compression=compression)
     finally:
         conf.set(BATCH_ROWS, usual)
+        conf.set(FREED, freed)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
