@@ -7,6 +7,8 @@ Only connected components are wanted. So in first turns only the likeliest pairs
 all of it: for one token of each set, then for the tokens that many sets share. The last turn compares all sets that are still
 in different components, without the pairs already found unlike, and a call leaves out pairs that its own links bring together.
 No other pair is left out.
+A shingle's hash takes more bytes than its share of the text. So of sets only the bitmaps are staged; hashes are worked out again
+from the texts, once for all prefixes and in each turn for the sets of pairs that bitmaps don't rule out.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from srcgraph.session import settle
 
 from . import textkit
 from .components import components
-from .staging import drop, narrow, read, stage, unveiled, veiled
+from .staging import BROADCAST_ROWS, drop, narrow, read, stage, unveiled, veiled
 
 WORDS = 5
 #: Shared / united shingles, in hundredths.
@@ -37,6 +39,8 @@ HELD, SENT = 2_000_000, 250_000
 BLOCK, CALL_ROWS = 1500, 30_000
 #: Sets that meet in one tile of the first turn; shingles of the sets of any tile, and of all arrays of a call, about.
 MET, TILE_SHINGLES, CALL_SHINGLES = 256, 1_000_000, 2_000_000
+#: Scans of the documents for the sets of one turn, each for BROADCAST_ROWS of them; for more, the texts are shuffled.
+SCANS = 8
 #: Shingles of the sets whose bitmaps one call compares, about; a bitmap has a byte for two at most, but 32 bytes at least.
 CALL_BITMAPS = 8_000_000
 _FACTORS = textkit.mix64(np.arange(1, 64, dtype=np.uint64) * textkit.BASE) | np.uint64(1)
@@ -73,16 +77,33 @@ def bits(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(bool), bitorder="little").tobytes()
 
 
+def sets_of(batches):
+    """(rows, their sets, the numbers of these) of batches of documents."""
+    for rows, texts, _ in textkit.chunks(batches):
+        values, edges = shingles(texts)
+        sets = [np.unique(values[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        yield rows, sets, [digest(s) for s in sets]
+
+
+def first_sets(batches):
+    """Lists of (number, set) of batches of documents, without empty sets; each set once."""
+    seen = set()
+    for _, sets, nodes in sets_of(batches):
+        own = {node: s for s, node in zip(sets, nodes) if len(s) and node not in seen}
+        seen.update(own)
+        yield list(own.items())
+
+
 def needed(n: int) -> int:
     """The least overlap of a set of n with a similar one."""
     return -(-LEAST * n // 100)
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """kind 0: a row for each document: doc_id, mark if docs have it, node (the number of its set), n; the first one that a task
-    meets of a set has place, unlike any other's, bits and hashes, sorted. kind 1: a shingle and in how many sets a task met it, if in two or more."""
-    marked = "mark" in docs.columns
-    schema = "kind int, doc_id long, node long, n long, place long, bits binary, hashes binary, shingle long" + ", mark long" * marked
+    """kind 0: a row for each document: doc_id, row, mark if docs have it, node (the number of its set), n; the first one that a task
+    meets of a set has place, unlike any other's, and bits. kind 1: a shingle and in how many sets a task met it, if in two or more."""
+    more = ["row", *["mark"] * ("mark" in docs.columns)]
+    schema = "kind int, doc_id long, node long, n long, place long, bits binary, shingle long" + "".join(f", {c} long" for c in more)
 
     def look(batches):
         part, held, size, seen = TaskContext.get().partitionId(), [], 0, set()
@@ -92,20 +113,16 @@ def survey(docs: DataFrame) -> DataFrame:
             values, times = values[times > 1], times[times > 1]
             m = len(values)
             longs = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), longs, longs, pa.array(times.astype(np.int64)), longs, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(values.view(np.int64)), *[longs] * marked], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), longs, longs, pa.array(times.astype(np.int64)), longs, pa.nulls(m, pa.binary()), pa.array(values.view(np.int64)), *[longs] * len(more)], names=names)
 
-        for rows, texts, _ in textkit.chunks(batches):
-            values, edges = shingles(texts)
-            sets = [np.unique(values[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            nodes = [digest(s) for s in sets]
+        for rows, sets, nodes in sets_of(batches):
             places, arrays = [None] * len(sets), [None] * len(sets)
             for i, (s, node) in enumerate(zip(sets, nodes)):
                 if len(s) and node not in seen:
                     places[i], arrays[i] = part << 32 | len(seen), s
                     seen.add(node)
             m = len(sets)
-            own = pa.array([None if a is None else a.tobytes() for a in arrays], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id").combine_chunks(), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(places, pa.int64()), pa.array([None if a is None else bits(a) for a in arrays], pa.binary()), own, pa.nulls(m, pa.int64()), *[rows.column("mark").combine_chunks() for _ in range(marked)]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), rows.column("doc_id").combine_chunks(), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(places, pa.int64()), pa.array([None if a is None else bits(a) for a in arrays], pa.binary()), pa.nulls(m, pa.int64()), *[rows.column(c).combine_chunks() for c in more]], names=names)
             held += [a for a in arrays if a is not None]
             size += sum(len(a) for a in arrays if a is not None)
             if size >= HELD:
@@ -114,7 +131,7 @@ def survey(docs: DataFrame) -> DataFrame:
         if held:
             yield tell()
 
-    names = ["kind", "doc_id", "node", "n", "place", "bits", "hashes", "shingle", *["mark"] * marked]
+    names = ["kind", "doc_id", "node", "n", "place", "bits", "shingle", *more]
     return docs.mapInArrow(look, schema)
 
 
@@ -150,10 +167,10 @@ def prefix(own: np.ndarray, values: np.ndarray, times: np.ndarray, maybe: np.nda
     return out if len(out) == k else np.concatenate([out, own[hot[np.lexsort((own[hot], times[at]))]][: k - len(out)]])
 
 
-def shared(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+def shared(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
     """(token, node, m, leader, sign) for every prefix shingle that two sets or more have. m: how many have the token;
     leader: one of them; sign: a hash of them all."""
-    hot = sets.sparkSession.sparkContext.broadcast(hot)
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches):
         values, times = hot.value
@@ -173,13 +190,13 @@ def shared(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> D
             blobs = [low[a:b].tobytes() + high[a:b].tobytes() + nodes[a:b].tobytes() for a, b in zip(edges[full], edges[full + 1])]
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
-        for batch in batches:
-            for node, own in zip(batch.column("node").to_pylist(), lists(batch.column("hashes"))):
+        for sets in first_sets(batches):
+            for node, own in sets:
                 held.append((prefix(own, values, times, maybe), node))
                 size += len(held[-1][0])
-            if size >= SENT:
-                yield tell()
-                held, size = [], 0
+                if size >= SENT:
+                    yield tell()
+                    held, size = [], 0
         if held:
             yield tell()
 
@@ -208,7 +225,7 @@ def shared(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> D
         columns = (names, nodes, np.repeat(m, m).astype(np.uint64), np.repeat(nodes[head], m), np.repeat(sign, m))
         return pa.table([pa.array(c[more].view(np.int64)) for c in columns], names=["token", "node", "m", "leader", "sign"])
 
-    sent = sets.select("node", "hashes").mapInArrow(send, "part int, blob binary")
+    sent = docs.select("text").mapInArrow(send, "part int, blob binary")
     return sent.groupBy("part").applyInArrow(meet, "token long, node long, m long, leader long, sign long")
 
 
@@ -285,9 +302,21 @@ def parts_of(keys: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(keys) else []
 
 
-def with_arrays(needs: DataFrame, sets: DataFrame) -> DataFrame:
-    """needs (staged, with node and place) and the hashes of each."""
-    return sets.select("node", "place", "hashes").join(narrow(needs), ["node", "place"])
+def with_arrays(needs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """needs (staged, with node) and the hashes of each, sorted, from the text of one document that has them."""
+
+    def look(batches):
+        for sets in first_sets(batches):
+            for node, own in sets:
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["node", "hashes"])
+
+    asked, docs = classes.select("node", "row").join(narrow(needs.select("node")), "node", "left_semi").select("row"), docs.select("row", "text")
+    scans = max(1, -(-asked.count() // BROADCAST_ROWS))
+    if scans <= SCANS:
+        found = reduce(DataFrame.unionByName, [docs.join(F.broadcast(asked.where(F.pmod("row", F.lit(scans)) == i)), "row", "left_semi") for i in range(scans)])
+    else:
+        found = docs.join(asked, "row", "left_semi")
+    return found.select("text").mapInArrow(look, "node long, hashes binary").join(narrow(needs), "node")
 
 
 def calls_for(needs: DataFrame) -> int:
@@ -340,10 +369,10 @@ def compared(rows: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     return stage(pairs.groupBy("a", "b").agg(F.max(F.struct("m", "tile"))["tile"].alias("tile")), "near-pairs")
 
 
-def verified(pairs: DataFrame, needs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, needs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (tile, a, b) that are not similar, as (a, b, false), and components that similar ones join, as (a, b, true).
 
-    Pairs that a call's links bring together anyway are left out. needs: tile, node, place, n, comp.
+    Pairs that a call's links bring together anyway are left out. needs: tile, node, n, comp.
     """
 
     def test(t: pa.Table) -> pa.Table:
@@ -373,7 +402,7 @@ def verified(pairs: DataFrame, needs: DataFrame, sets: DataFrame) -> DataFrame:
     calls = calls_for(named.join(needs.dropDuplicates(["tile", "node"]), ["tile", "node"]))
     own = needs.join(named, ["tile", "node"], "left_semi").withColumn("call", F.pmod("tile", F.lit(calls))).dropDuplicates(["call", "node"])
     own = stage(own, "near-needs")
-    rows = with_arrays(own, sets).select("call", "node", "comp", "hashes", F.lit(None).cast("long").alias("b"))
+    rows = with_arrays(own, docs, classes).select("call", "node", "comp", "hashes", F.lit(None).cast("long").alias("b"))
     rows = rows.unionByName(pairs.select(F.pmod("tile", F.lit(calls)).alias("call"), F.col("a").alias("node"), F.lit(None).cast("long").alias("comp"), F.lit(None).cast("binary").alias("hashes"), "b"))
     out = stage(rows.groupBy("call").applyInArrow(test, "a long, b long, linked boolean"), "near-links", wide=True)
     drop(own)
@@ -446,17 +475,18 @@ def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
     n_shingles 0 and a component of its own. Equal sets are linked. Rows that repeat a doc_id are documents of their own.
     Null doc_ids are never the least one of a component that has another. A very long text is one set like others; only its
     own size bounds what a call holds. No documents, no rows. Other columns of docs are not read.
+    docs are read several times, and must give the same rows each time.
     by_text: also mark, the xxhash64 of the text, and root, a number that only one component has, null without words.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = stage(survey(docs.withColumn("mark", F.xxhash64("text")) if by_text else docs), "near-survey", "none", 8 << 20)  # hashes don't compress, and scans for a few of them should hold little
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    seen = stage(survey(docs.withColumn("mark", F.xxhash64("text")) if by_text else docs), "near-survey", "none", 8 << 20)  # bitmaps don't compress, and scans for a few of them should hold little
     more_of = ["mark"] if by_text else []
     # a set is a node
     meta = stage(seen.where("kind = 0").select("doc_id", "node", "n", *more_of), "near-meta")
-    classes = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.min("place").alias("place"))
+    classes = seen.where("kind = 0 and n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.min("place").alias("place"), F.min("row").alias("row"))
     classes = stage(classes, "near-classes")
     sets = seen.where("kind = 0 and place is not null")
-    tokens = stage(shared(sets, frequent(seen), max(16, 4 * docs.rdd.getNumPartitions())), "near-tokens", wide=True)
+    tokens = stage(shared(docs, frequent(seen), max(16, 4 * docs.rdd.getNumPartitions())), "near-tokens", wide=True)
     # tokens of the same documents, as those of a passage are, would only repeat the work: one of them stays
     once = tokens.where("node = leader").groupBy("m", "leader", "sign").agg(F.min("token").alias("token")).select("token")
     kept = tokens.select("token", "node", "m").join(once, "token", "left_semi").join(classes.select("node", "n", "place"), "node")
@@ -479,7 +509,7 @@ def near_groups(docs: DataFrame, by_text: bool = False) -> DataFrame:
             left = stage(pairs.join(failed, ["a", "b"], "left_anti"), "near-open")
             drop(pairs)
             pairs = left
-        found = verified(pairs, tiles.select("tile", "node", "place", "n", "comp"), sets)
+        found = verified(pairs, tiles.select("tile", "node", "n", "comp"), docs, classes)
         labels = relabelled(labels, found.where("linked"))
         tested.append(found)
         drop(tiles, pairs)
