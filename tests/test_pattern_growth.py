@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from srcgraph.graph import PropertyGraph
 from srcgraph.pattern import run
 from srcgraph.pattern.parser import Parser
-from srcgraph.pattern.planner import only_counted
+from srcgraph.pattern.planner import Plan, needed, only_counted
 
 WAYS = "MATCH (c:Class) OPTIONAL MATCH p = (c)-[:INHERITS*]->(x:Class) RETURN c.id AS id, length(p) AS k, count(*) AS n"
 NEAR = "MATCH (f:Function) WHERE f.id IN ['a', 'c'] MATCH p = (f)-[*0..2]-(x) RETURN f.id AS f, x.id AS x, length(p) AS k, count(*) AS n"
@@ -47,3 +47,18 @@ def test_counts_of_two_hops_use_no_edge_twice(spark):
 def test_paths_that_are_read_are_listed(spark):
     for text, counted in ((WAYS, True), (NEAR, True), (WAYS.replace("length(p) AS k", "p AS k"), False), (WAYS.replace("count(*)", "count(x)"), False)):
         assert only_counted(Parser(text, {}).query()) == counted
+
+
+def test_only_what_is_read_of_a_node_is_joined(spark):
+    """And a condition that ties a node to a bound one is met when the node is joined, before pairs of names multiply."""
+    g = graph(spark, "Class", "INHERITS", [("a", "b")])
+    clauses = Parser("MATCH (c:Class)-[:INHERITS]->(p:Class) WHERE c.name <> p.name RETURN p.name AS name", {}).query()
+    plan = Plan(g, needed(clauses))
+    plan.match(*clauses[0][1:])
+    assert plan.frame.schema["c"].dataType.names == ["id", "label", "name"]
+    names = spark.range(3000).select(F.concat(F.lit("m"), "id").alias("id"), F.concat(F.lit("n"), "id").alias("name"))
+    g = PropertyGraph(spark, g.nodes | {"Function": names}, g.edges | {"CONTAINS": names.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("src"), F.col("id").alias("dst"))})
+    df = run(g, "MATCH (c:Class)-[:INHERITS]->(p:Class), (c)-[:CONTAINS]->(m:Function), (p)-[:CONTAINS]->(n:Function) WHERE m.name = n.name RETURN DISTINCT m.name AS method, p.name AS parent")
+    joins = [x.strip() for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert any("_a#" in x and x.count(" = ") == 2 for x in joins), joins
+    assert df.count() == 3000
