@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from srcgraph.extract import parsed
 from srcgraph.functions.text import normalised_decorator, parent
 from srcgraph.graph import NODE_COLUMNS, PropertyGraph, node_id, shaped
-from srcgraph.operators.traverse import cut
+from srcgraph.operators.traverse import cut, drop
 
 SELF = ("self", "this", "super", "super()", "cls", "@")
 #: Builtins whose calls are not linked.
@@ -78,37 +78,62 @@ def resolve_calls(rows: DataFrame, skip_external: bool = False, index: DataFrame
     base = F.when(dots > 0, F.split_part("full_name", F.lit("."), F.lit(1)))
     own = base.isin(*SELF)
     lookup = F.when((dots > 1) & own, F.col("name")).otherwise(F.coalesce(base, "name"))
-    calls = calls.select("*", dots.alias("dots"), F.coalesce(own, F.lit(False)).alias("own"), lookup.alias("lookup"))
+    mine = F.coalesce(own & (dots <= 1), F.lit(False))
+    calls = calls.select("*", mine.alias("mine"), lookup.alias("lookup"))
+    # what decides where a call leads is the same for most calls of a file: it is worked out once, and calls are moved once
+    what = ["path", "lang", "name", "mine", "lookup", "inferred_obj_type"]
+    asked = cut(calls.select(*what).distinct())
     index = symbol_index(rows) if index is None else index
-    imports = local_imports(rows).withColumnRenamed("full_name", "full_import")
+    imports = cut(local_imports(rows).withColumnRenamed("full_name", "full_import"))
     here = index.select("path", F.col("name").alias("lookup"), F.lit(True).alias("local"))
     here_called = index.select("path", "name", F.lit(True).alias("local_called"))
-    by = index.groupBy("lang", "name").agg(F.countDistinct("path").alias("files"), F.min("path").alias("first"))
+    by = cut(index.groupBy("lang", "name").agg(F.countDistinct("path").alias("files"), F.min("path").alias("first")))
     only = by.select("lang", F.col("name").alias("lookup"), "files", F.col("first").alias("only"))
     typed = by.select("lang", F.col("name").alias("inferred_obj_type"), F.col("first").alias("typed"))
-    x = calls.join(here, ["path", "lookup"], "left").join(here_called, ["path", "name"], "left").join(only, ["lang", "lookup"], "left")
+    x = asked.join(here, ["path", "lookup"], "left").join(here_called, ["path", "name"], "left").join(only, ["lang", "lookup"], "left")
     x = x.join(imports.withColumnRenamed("key", "lookup"), ["path", "lookup"], "left").join(typed, ["lang", "inferred_obj_type"], "left")
-    x = x.join(by.select("lang", "name", F.col("first").alias("first_called")), ["lang", "name"], "left")
+    x = cut(x.join(by.select("lang", "name", F.col("first").alias("first_called")), ["lang", "name"], "left"))
     # an imported name that several files define: the one its import names, or that defines the full name
     several = x.where((F.col("files") > 1) & F.col("full_import").isNotNull()).select("lang", F.col("lookup").alias("name"), F.col("full_import").alias("full_name"))
     through = first_through(several, index).select("lang", F.col("name").alias("lookup"), F.col("full_name").alias("full_import"), "through")
     direct = by.where("files = 1").select("lang", F.col("name").alias("full_import"), F.col("first").alias("direct"))
+    tried = x
     x = x.join(through, ["lang", "lookup", "full_import"], "left").join(direct, ["lang", "full_import"], "left")
     imported = F.coalesce(F.when(F.col("files") > 1, F.col("direct")), "through")
-    sure = F.when(F.col("own") & (F.col("dots") <= 1), F.col("path")).when(F.col("local"), F.col("path")).otherwise(F.coalesce("typed", F.when(F.col("files") == 1, F.col("only")), imported, F.when(F.col("local_called"), F.col("path"))))
-    x = x.withColumn("sure", sure)
+    sure = F.when(F.col("mine"), F.col("path")).when(F.col("local"), F.col("path")).otherwise(F.coalesce("typed", F.when(F.col("files") == 1, F.col("only")), imported, F.when(F.col("local_called"), F.col("path"))))
+    x = cut(x.select(*what, "first_called", sure.alias("sure")))
     # what is left, by any import of the caller's file
-    open_ = x.where("sure is null and first_called is not null").select("path", "lang", "name").distinct().join(imports.select("path", F.col("full_import").alias("full_name")).distinct(), "path")
-    rescued = open_.join(first_through(open_.select("lang", "name", "full_name"), index), ["lang", "name", "full_name"]).groupBy("path", "lang", "name").agg(F.min("through").alias("rescued"))
-    x = x.join(rescued, ["path", "lang", "name"], "left").withColumn("sure", F.coalesce("sure", "rescued"))
-    out = x.withColumn("called_path", F.coalesce("sure", "first_called", "path")).withColumn("external", F.col("sure").isNull())
-    out = out.where(~F.col("external")) if skip_external else out
+    open_ = cut(x.where("sure is null and first_called is not null").select("path", "lang", "name").distinct())
+    x = x.join(through_any(open_, imports.select("path", F.col("full_import").alias("full_name")).distinct(), index), ["path", "lang", "name"], "left").withColumn("sure", F.coalesce("sure", "rescued"))
+    x = x.where("sure is not null") if skip_external else x
+    x = cut(x.select(*what, F.coalesce("sure", "first_called", "path").alias("called_path"), F.col("sure").isNull().alias("external")))
+    drop(asked, imports, by, tried, open_)
+    out = calls.join(x.withColumnRenamed("inferred_obj_type", "_type"), [c for c in what if c != "inferred_obj_type"]).where(F.col("inferred_obj_type").eqNullSafe(F.col("_type")))
     return out.select(
         "path", "lang", F.col("context.name").alias("caller_name"), F.col("context.kind").alias("caller_kind"), F.col("context.line").alias("caller_line"),
         "line_number", "args", F.col("name").alias("called_name"), "called_path", F.col("full_name").alias("full_call_name"), "external",
     )
 
 
+def through_any(wanted: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:
+    """wanted (path, lang, name) with `rescued`, the first path that defines the name and that any import (path, full_name) of the file names.
+
+    A file either meets all names of the places that it imports, or asks for each of its names in each of them: the fewer rows of the two.
+    """
+    runs = wanted.select("path", "lang").distinct().join(imports, "path").select("path", "lang", F.explode(import_keys(F.col("full_name"))).alias("run")).distinct()
+    named = index.join(wanted.select("lang", "name").distinct(), ["lang", "name"], "left_semi")
+    places = named.select("lang", "name", "path", F.explode(segment_runs(F.col("path"))).alias("run")).join(runs.select("lang", "run").distinct(), ["lang", "run"], "left_semi")
+    places = cut(places.groupBy("lang", "run", "name").agg(F.min("path").alias("at")))
+    runs = cut(runs.join(places.groupBy("lang", "run").agg(F.count(F.lit(1)).alias("held")), ["lang", "run"]))
+    cost = runs.groupBy("path", "lang").agg(F.sum("held").alias("met"), F.count(F.lit(1)).alias("n")).join(wanted.groupBy("path", "lang").agg(F.count(F.lit(1)).alias("names")), ["path", "lang"])
+    few = cut(cost.where("met <= n * names").select("path", "lang"))
+    met = runs.join(few, ["path", "lang"], "left_semi").join(places, ["lang", "run"]).groupBy("path", "lang", "name").agg(F.min("at").alias("rescued"))
+    met = wanted.join(met, ["path", "lang", "name"])
+    asked = wanted.join(few, ["path", "lang"], "left_anti").join(runs.drop("held"), ["path", "lang"])
+    asked = asked.join(places, ["lang", "run", "name"]).groupBy("path", "lang", "name").agg(F.min("at").alias("rescued"))
+    return met.unionByName(asked)
+
+
 def resolve_inheritance(rows: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(path, child, parent, parent_path) of classes and their bases.
 
