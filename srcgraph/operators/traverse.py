@@ -125,13 +125,16 @@ def subgraph(g: PropertyGraph, repo: str) -> DataFrame:
 
 
 def inheritance_depth(g: PropertyGraph) -> DataFrame:
-    """(id, depth): the longest way up from each class; 0 without a parent. Levels of longest ways only, so ways don't multiply."""
-    edges = g.pairs("INHERITS").select("src", "dst").distinct()
+    """(id, depth): the longest way up from each class; 0 without a parent. Levels of longest ways only, so ways don't multiply.
+
+    Merge joins: broadcasts of every round would pass through the driver.
+    """
+    edges = cut(g.pairs("INHERITS").select("src", "dst").distinct())
     level = cut(g.node("Class").select("id", F.lit(0).alias("depth")))
     best, depth, most = level, 0, level.count()
     while True:
         depth += 1
-        level = cut(edges.join(level.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().select("id", F.lit(depth).alias("depth")))
+        level = cut(edges.join(level.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi").select(F.col("src").alias("id")).distinct().select("id", F.lit(depth).alias("depth")))
         if level.isEmpty():
             return best.groupBy("id").agg(F.max("depth").alias("depth"))
         if depth >= most:  # a way through every class and one more goes round a cycle
