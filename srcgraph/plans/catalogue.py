@@ -312,7 +312,7 @@ query(
     p AS (SELECT id AS hub, id AS node, 0 AS hops, 0 AS r FROM h UNION ALL SELECT h.id, u.b, 1, u.r FROM h JOIN u ON u.a = h.id),
     q AS (SELECT * FROM p UNION ALL SELECT p.hub, u.b, 2, u.r FROM p JOIN u ON u.a = p.node AND u.r <> p.r WHERE p.hops = 1)
     SELECT hub, node, hops, count(*) AS n FROM q GROUP BY ALL""",
-)(lambda g: run(g, "MATCH (f:Function) WHERE f.id IN $hubs MATCH p = (f)-[*0..2]-(x) RETURN f.id AS hub, x.id AS node, length(p) AS hops, count(*) AS n", {"hubs": [r["id"] for r in hubs(g).collect()]}))
+)(over_calls(lambda g: run(g, "MATCH (f:Function) WHERE f.id IN $hubs MATCH p = (f)-[*0..2]-(x) RETURN f.id AS hub, x.id AS node, length(p) AS hops, count(*) AS n", {"hubs": [r["id"] for r in hubs(g).collect()]})))
 
 # all relations through one entry
 query("analyze_find_callers", f"SELECT caller_name, caller_path, call_line FROM ({CALLERS} WHERE b.name = {HOT}{ORDER})")(over_calls(lambda g: analyze(g, "find_callers", most_called(g)).results.select("caller_name", "caller_path", "call_line")))
