@@ -36,7 +36,30 @@ def with_clause(body: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({sql.format(**names)})" for n, sql in ELEMENTS.items()) + "\n" + body
 
 
+#: Bytes of the tables' files for each partition that shuffles begin with. Joins and counts of strings hold many times as much.
+SHARE, INITIAL = 4 << 20, "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def spread(spark: SparkSession, sf_dir: str) -> None:
+    """Lets shuffles begin with as many partitions as the tables ask for, so that what a task holds doesn't grow with them; small ones are merged again.
+
+    What the session itself sets stays.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = sum(files.getContentSummary(spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")).getLength() for t in TABLES)
+    most, mine = size // SHARE + 1, getattr(spark, "_spread_by_graph", None)
+    if spark.conf.get(INITIAL, None) not in (None, mine):
+        return
+    if most > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL, str(most))
+        spark._spread_by_graph = str(most)
+    else:
+        spark.conf.unset(INITIAL)
+
+
 def elements(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    spread(spark, sf_dir)
     found: dict[str, DataFrame] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     for name, sql in ELEMENTS.items():
         found[name] = spark.sql(sql, **{k: v for k, v in found.items() if "{" + k + "}" in sql})
